@@ -50,17 +50,24 @@ def revenue(digits: int | None = 2) -> Column:
     return F.col("revenue") if digits is None else F.round("revenue", digits)
 
 
+def rounded_mean(total: Column, n: Column, digits: int | None = 2) -> Column:
+    """total / n, null when n is 0. Rounding goes through decimals: a double sum depends
+    on the order of its terms in the last place, which would tip exact ties either way."""
+    mean = F.try_divide(total, n)
+    if digits is None:
+        return mean
+    exact = F.try_divide(total.try_cast("decimal(30,6)"), n)
+    return F.coalesce(F.round(exact, digits).cast("double"), F.round(mean, digits))
+
+
 def mean_amount(digits: int | None = 2) -> Column:
-    mean = F.try_divide(F.col("revenue"), F.col("amounts"))
-    return mean if digits is None else F.round(mean, digits)
+    return rounded_mean(F.col("revenue"), F.col("amounts"), digits)
 
 
 def mean_units(digits: int | None = 2) -> Column:
-    mean = F.try_divide(F.col("units"), F.col("unit_rows"))
-    return mean if digits is None else F.round(mean, digits)
+    return rounded_mean(F.col("units"), F.col("unit_rows"), digits)
 
 
 def revenue_per_row(digits: int | None = 2) -> Column:
     """Revenue over all rows of the group, rows without an amount included."""
-    mean = F.try_divide(F.col("revenue"), F.col("rows"))
-    return mean if digits is None else F.round(mean, digits)
+    return rounded_mean(F.col("revenue"), F.col("rows"), digits)

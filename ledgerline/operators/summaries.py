@@ -7,17 +7,20 @@ what an average divides by. "Dropped" means rows without a key are left out.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.columns import rounded
 from ledgerline.functions.measures import (
     mean_amount,
     mean_units,
     merge,
     revenue,
     revenue_per_row,
+    rounded_mean,
 )
 from ledgerline.sources.sales import Sales, as_sales, distinct_count
 
@@ -185,7 +188,7 @@ def segment_analysis(data: Data) -> DataFrame:
         "customer_segment",
         revenue().alias("total_revenue"),
         "customer_count",
-        F.round(revenue() / F.col("customer_count"), 2).alias("avg_customer_value"),
+        rounded_mean(revenue(), F.col("customer_count")).alias("avg_customer_value"),
     )
 
 
@@ -318,24 +321,34 @@ def key_summaries(data: Data, keys: dict[str, str], digits: int | None = None) -
 
 
 def grouped_key_summaries(
-    df: DataFrame, keys: dict[str, str], amount: str = "amount", digits: int | None = None
+    df: DataFrame,
+    keys: dict[str, str],
+    amount: str = "amount",
+    digits: int | None = None,
+    within: Sequence[str] = (),
 ) -> DataFrame:
-    """The same from one scan of a flat frame, with one grouping set per key."""
+    """The same from one scan of a flat frame, with one grouping set per key. `within`
+    names columns that every set keeps, such as the run date."""
     columns = list(keys.values())
-    label = F.when(F.lit(False), F.lit(""))
-    value = F.when(F.lit(False), F.lit(""))
-    for name, key in keys.items():
-        label = label.when(F.grouping(key) == 0, F.lit(name))
-        value = value.when(F.grouping(key) == 0, F.col(key).cast("string"))
+
+    def of_set(values: dict[str, Column]) -> Column:
+        return F.coalesce(*[F.when(F.grouping(k) == 0, v) for k, v in values.items()])
+
+    label = of_set({key: F.lit(name) for name, key in keys.items()})
+    value = of_set({key: F.col(key).cast("string") for key in columns})
     total = F.sum(amount)
-    mean = total / F.count(F.lit(1))
-    return df.groupingSets([[F.col(c)] for c in columns], *columns).agg(
-        label.alias("summary"),
-        value.alias("key"),
-        (total if digits is None else F.round(total, digits)).alias("total_amount"),
-        F.count(F.lit(1)).alias("count"),
-        (mean if digits is None else F.round(mean, digits)).alias("average_amount"),
-    ).drop(*columns)
+    sets = [[F.col(c) for c in (*within, key)] for key in columns]
+    return (
+        df.groupingSets(sets, *within, *columns)
+        .agg(
+            label.alias("summary"),
+            value.alias("key"),
+            rounded(total, digits).alias("total_amount"),
+            F.count(F.lit(1)).alias("count"),
+            rounded_mean(total, F.count(F.lit(1)), digits).alias("average_amount"),
+        )
+        .drop(*columns)
+    )
 
 
 # Filtered analysis

@@ -1,44 +1,89 @@
 """Named record layouts. Every field is nullable: bad input becomes null, never an error."""
 
-from pyspark.sql.types import StructType
+from __future__ import annotations
 
-SALES = StructType.fromDDL(
-    "transaction_id string, customer_id string, product_id string, quantity int, "
-    "unit_price double, transaction_date string, region string, "
-    "product_category string, total_amount double"
+from pyspark.sql.types import (
+    DataType,
+    DateType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
 )
 
-SALES_EXT = StructType.fromDDL(
-    "transaction_id string, customer_id string, product_id string, quantity int, "
-    "unit_price double, transaction_date string, transaction_time string, region string, "
-    "product_category string, customer_segment string, sales_channel string, "
-    "total_amount double"
+TEXT, INT, LONG, DOUBLE = StringType(), IntegerType(), LongType(), DoubleType()
+
+
+def layout(**fields: DataType) -> StructType:
+    return StructType([StructField(name, kind, True) for name, kind in fields.items()])
+
+
+SALES = layout(
+    transaction_id=TEXT,
+    customer_id=TEXT,
+    product_id=TEXT,
+    quantity=INT,
+    unit_price=DOUBLE,
+    transaction_date=TEXT,
+    region=TEXT,
+    product_category=TEXT,
+    total_amount=DOUBLE,
+)
+
+SALES_EXT = layout(
+    transaction_id=TEXT,
+    customer_id=TEXT,
+    product_id=TEXT,
+    quantity=INT,
+    unit_price=DOUBLE,
+    transaction_date=TEXT,
+    transaction_time=TEXT,
+    region=TEXT,
+    product_category=TEXT,
+    customer_segment=TEXT,
+    sales_channel=TEXT,
+    total_amount=DOUBLE,
 )
 
 # Column order of the shipped CSV file; the reader renames category.
-SALES_CSV = StructType.fromDDL(
-    "transaction_id string, customer_id string, product_id string, category string, "
-    "region string, quantity int, unit_price double, total_amount double, "
-    "transaction_date string"
+SALES_CSV = layout(
+    transaction_id=TEXT,
+    customer_id=TEXT,
+    product_id=TEXT,
+    category=TEXT,
+    region=TEXT,
+    quantity=INT,
+    unit_price=DOUBLE,
+    total_amount=DOUBLE,
+    transaction_date=TEXT,
 )
 
-SIMPLE_SALES = StructType.fromDDL(
-    "transaction_id string, customer_id string, amount double, date string, region string"
+SIMPLE_SALES = layout(
+    transaction_id=TEXT, customer_id=TEXT, amount=DOUBLE, date=TEXT, region=TEXT
 )
 
-SIMPLE_SALES_CAT = StructType.fromDDL(
-    "transaction_id string, customer_id string, amount double, date string, region string, "
-    "category string"
+SIMPLE_SALES_CAT = layout(
+    transaction_id=TEXT, customer_id=TEXT, amount=DOUBLE, date=TEXT, region=TEXT, category=TEXT
 )
 
-PAYMENTS = StructType.fromDDL(
-    "customer_id bigint, transaction_date timestamp, amount double, category string, "
-    "payment_method string"
+PAYMENTS = layout(
+    customer_id=LONG,
+    transaction_date=TimestampType(),
+    amount=DOUBLE,
+    category=TEXT,
+    payment_method=TEXT,
 )
 
-DEMO_SALES = StructType.fromDDL(
-    "date date, region string, product string, sales_amount double, quantity int, "
-    "customer_id string"
+DEMO_SALES = layout(
+    date=DateType(),
+    region=TEXT,
+    product=TEXT,
+    sales_amount=DOUBLE,
+    quantity=INT,
+    customer_id=TEXT,
 )
 
-METRICS = StructType.fromDDL("category string, value double, score double")
+METRICS = layout(category=TEXT, value=DOUBLE, score=DOUBLE)

@@ -8,28 +8,10 @@ a batch that is retried after a lost executor gives the same result.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ledgerline.operators.sets import dedupe
-
-
-def date_summaries(rows: DataFrame, keys: dict[str, str], date: str, amount: str) -> DataFrame:
-    """Key summaries per date from one scan: a grouping set (date, key) for each key."""
-    columns = list(keys.values())
-    label = F.when(F.lit(False), F.lit(""))
-    value = F.when(F.lit(False), F.lit(""))
-    for name, key in keys.items():
-        label = label.when(F.grouping(key) == 0, F.lit(name))
-        value = value.when(F.grouping(key) == 0, F.col(key).cast("string"))
-    grouped = rows.groupingSets([[F.col(date), F.col(c)] for c in columns], date, *columns)
-    return grouped.agg(
-        label.alias("summary"),
-        value.alias("key"),
-        F.sum(amount).alias("total_amount"),
-        F.count(F.lit(1)).alias("count"),
-        (F.sum(amount) / F.count(F.lit(1))).alias("average_amount"),
-    ).drop(*columns)
+from ledgerline.operators.summaries import grouped_key_summaries
 
 
 def refresh_key_summaries(
@@ -49,7 +31,7 @@ def refresh_key_summaries(
         rows = batch.sparkSession.read.schema(schema).json(landing)
         affected = rows.join(touched, date, "left_semi")
         (
-            date_summaries(affected, keys, date, amount)
+            grouped_key_summaries(affected, keys, amount, within=[date])
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(date)
