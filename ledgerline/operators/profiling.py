@@ -120,15 +120,22 @@ def describe(
     df: DataFrame, columns: Sequence[str] | None = None, digits: int | None = None
 ) -> DataFrame:
     """Count, mean, std, min, quartiles (interpolated, exact) and max per numeric column."""
-    cells = _cells(df, columns or numeric_columns(df))
-    moments = cells.groupBy("column").agg(
-        F.count("value").alias("count"),
-        rounded(F.avg("value"), digits).alias("mean"),
-        rounded(F.stddev("value"), digits).alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    quartiles = exact_quantiles(cells, "value", QUARTILES, ["column"]).select(
+    names = list(columns or numeric_columns(df))
+    rows = []
+    for name in names:
+        c = present(df, name).cast("double")
+        rows.append(
+            F.struct(
+                F.lit(name).alias("column"),
+                F.count(c).alias("count"),
+                rounded(F.avg(c), digits).alias("mean"),
+                rounded(F.stddev(c), digits).alias("std"),
+                F.min(c).alias("min"),
+                F.max(c).alias("max"),
+            )
+        )
+    moments = df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    quartiles = exact_quantiles(_cells(df, names), "value", QUARTILES, ["column"]).select(
         "column", *[rounded(F.col(q), digits).alias(q) for q in QUARTILES]
     )
     return moments.join(quartiles, "column", "left").select(

@@ -22,7 +22,7 @@ from ledgerline.functions.measures import (
     revenue_per_row,
     rounded_mean,
 )
-from ledgerline.sources.sales import Sales, as_sales, distinct_count
+from ledgerline.sources.sales import Sales, as_sales, key_facts
 
 Data = Sales | DataFrame
 
@@ -95,20 +95,26 @@ def daily_metrics(data: Data) -> DataFrame:
     )
 
 
-def final_counts(data: Data) -> DataFrame:
-    """Row total, revenue and distinct keys; a missing key counts as one value."""
-    sales = as_sales(data)
+def _with_facts(sales: Sales, customers: Sequence[str], products: Sequence[str]) -> DataFrame:
+    """One row with the totals and the facts about customer and product keys. The two
+    families meet only in the sales rows, so each is folded on its own path."""
+    goods = key_facts(sales, *products)
+    people = key_facts(sales, *customers).select(F.struct("*")).scalar()
+    return goods.withColumn("people", people)
 
-    def values(column: str) -> Column:
-        return distinct_count(sales, column, null_is_value=True)
 
-    return sales.tally().select(
+def final_counts(data: Data) -> DataFrame:
+    """Row total, revenue and distinct keys; a missing key counts as one value."""
+    facts = _with_facts(
+        as_sales(data), ["customer_id", "region"], ["product_id", "product_category"]
+    )
+    return facts.select(
         F.col("rows").alias("total_records"),
         revenue().alias("total_revenue"),
-        values("customer_id").alias("unique_customers"),
-        values("product_id").alias("unique_products"),
-        values("region").alias("unique_regions"),
-        values("product_category").alias("unique_categories"),
+        F.col("people.customer_id_values").alias("unique_customers"),
+        F.col("product_id_values").alias("unique_products"),
+        F.col("people.region_values").alias("unique_regions"),
+        F.col("product_category_values").alias("unique_categories"),
     )
 
 
@@ -146,16 +152,18 @@ def daily_sales(data: Data) -> DataFrame:
 
 
 def processing_summary(data: Data, processing_date: str, digits: int | None = None) -> DataFrame:
-    sales = as_sales(data)
-    return sales.tally().select(
+    facts = _with_facts(
+        as_sales(data), ["customer_id", "region"], ["product_id", "product_category"]
+    )
+    return facts.select(
         F.lit(processing_date).alias("processing_date"),
         F.col("rows").alias("total_records_processed"),
         revenue(digits).alias("total_revenue"),
         mean_amount(digits).alias("avg_order_value"),
-        distinct_count(sales, "customer_id").alias("unique_customers"),
-        distinct_count(sales, "product_id").alias("unique_products"),
-        distinct_count(sales, "region").alias("regions_covered"),
-        distinct_count(sales, "product_category").alias("categories_covered"),
+        F.col("people.customer_id_known").alias("unique_customers"),
+        F.col("product_id_known").alias("unique_products"),
+        F.col("people.region_known").alias("regions_covered"),
+        F.col("product_category_known").alias("categories_covered"),
     )
 
 
@@ -217,27 +225,24 @@ def top_region(data: Data) -> DataFrame:
 
 
 def executive_summary(data: Data, processing_date: str) -> DataFrame:
-    sales = as_sales(data)
-
-    def values(column: str) -> Column:
-        return distinct_count(sales, column, null_is_value=True)
-
-    def best(column: str) -> Column:
-        return top_group(sales, column).select(column).scalar()
-
-    return sales.tally().select(
+    facts = _with_facts(
+        as_sales(data),
+        ["customer_id", "region", "customer_segment", "sales_channel"],
+        ["product_id", "product_category"],
+    )
+    return facts.select(
         F.lit(processing_date).alias("processing_date"),
         F.col("rows").alias("total_records_processed"),
         revenue().alias("total_revenue"),
         revenue_per_row().alias("avg_transaction_value"),
-        values("customer_id").alias("unique_customers"),
-        values("product_id").alias("unique_products"),
-        values("region").alias("regions_covered"),
-        values("product_category").alias("categories_covered"),
-        best("region").alias("top_region"),
-        best("product_category").alias("top_category"),
-        best("customer_segment").alias("top_segment"),
-        best("sales_channel").alias("top_channel"),
+        F.col("people.customer_id_values").alias("unique_customers"),
+        F.col("product_id_values").alias("unique_products"),
+        F.col("people.region_values").alias("regions_covered"),
+        F.col("product_category_values").alias("categories_covered"),
+        F.col("people.region_top").alias("top_region"),
+        F.col("product_category_top").alias("top_category"),
+        F.col("people.customer_segment_top").alias("top_segment"),
+        F.col("people.sales_channel_top").alias("top_channel"),
     )
 
 
@@ -262,13 +267,12 @@ def top5_customers(data: Data, k: int = 5, digits: int | None = None) -> DataFra
 
 
 def simple_totals(data: Data, processing_date: str) -> DataFrame:
-    sales = as_sales(data)
-    return sales.tally().select(
+    return key_facts(as_sales(data), "customer_id").select(
         F.lit(processing_date).alias("processing_date"),
         F.col("rows").alias("total_records_processed"),
         revenue().alias("total_revenue"),
         revenue_per_row().alias("avg_transaction_value"),
-        distinct_count(sales, "customer_id", null_is_value=True).alias("unique_customers"),
+        F.col("customer_id_values").alias("unique_customers"),
     )
 
 

@@ -19,6 +19,7 @@ from ledgerline.operators import cleaning, profiling, quality, sets, summaries
 from ledgerline.session import scratch_dir
 from ledgerline.sinks import documents, verify
 from ledgerline.sources import files, generators, readers
+from ledgerline.sources.readers import read_star_table
 from ledgerline.sources.sales import FlatSales, StarSales
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,21 +34,13 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 EVENT_RULES = quality.QualityRules(
     allowed={"category": EVENT_TYPES, "payment_method": generators.PAYMENT_METHODS}
 )
-TABLES = [
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-]
-
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
 
 def order_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"))
+    return read_star_table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"))
 
 
 def metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").select(
+    return read_star_table(spark, folder, "lineitem").select(
         F.col("l_returnflag").alias("category"),
         F.col("l_extendedprice").alias("value"),
         F.col("l_discount").alias("score"),
@@ -55,14 +48,14 @@ def metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def line_numbers(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").select(
+    return read_star_table(spark, folder, "lineitem").select(
         "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"
     )
 
 
 def payments(spark: SparkSession, folder: str) -> DataFrame:
     row = F.col("event_id")
-    return table(spark, folder, "events").select(
+    return read_star_table(spark, folder, "events").select(
         row.alias("id"),
         (F.col("user_id") + 1).alias("customer_id"),
         F.col("ts").alias("transaction_date"),
@@ -83,7 +76,7 @@ def gappy(spark: SparkSession, folder: str) -> DataFrame:
     def kept(column: str, every: int) -> Column:
         return F.when((row % 101 != 0) & (row % every != 0), F.col(column))
 
-    return table(spark, folder, "events").select(
+    return read_star_table(spark, folder, "events").select(
         F.when(row % 101 != 0, row).alias("event_id"),
         kept("user_id", 71).alias("user_id"),
         kept("event_type", 89).alias("event_type"),
@@ -122,7 +115,7 @@ def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def verify_outputs(spark: SparkSession, folder: str) -> DataFrame:
-    expected = [f"{t}.parquet" for t in [*TABLES, "absent"]]
+    expected = [f"{t}.parquet" for t in [*schemas.STAR, "absent"]]
     return verify.verify_outputs(spark, folder, expected).drop("last_modified")
 
 
@@ -210,7 +203,7 @@ def random_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 def random_demo_sales(spark: SparkSession, folder: str) -> DataFrame:
     """Days with orders, and days that did not get 10 to 49 demo sales."""
-    days = table(spark, folder, "orders").select(F.col("o_orderdate").cast("date").alias("date"))
+    days = read_star_table(spark, folder, "orders").select(F.col("o_orderdate").cast("date").alias("date"))
     per_day = generators.demo_sales(sets.dedupe(days)).groupBy("date").agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -250,7 +243,7 @@ def _sound(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events")
+    return read_star_table(spark, folder, "events")
 
 
 # Name of each key summary and the sales column behind it.
@@ -261,7 +254,7 @@ QUERIES: dict[str, Query] = {
     # Sources, generators, sinks
     "daily_slice": daily_slice,
     "profile_range": lambda s, d: profiling.profile_range(
-        table(s, d, "orders").withColumn(
+        read_star_table(s, d, "orders").withColumn(
             "o_orderdate", F.col("o_orderdate").cast("date").cast("string")
         ),
         "o_orderdate",
@@ -308,7 +301,7 @@ QUERIES: dict[str, Query] = {
     "final_counts": _star(summaries.final_counts),
     # Numeric profile
     "numeric_stats": _on(line_numbers, profiling.numeric_stats, 4),
-    "frame_summary": lambda s, d: profiling.frame_summary(table(s, d, "lineitem")).drop(
+    "frame_summary": lambda s, d: profiling.frame_summary(read_star_table(s, d, "lineitem")).drop(
         "processing_timestamp"
     ),
     # Dated aggregates
@@ -371,10 +364,10 @@ QUERIES: dict[str, Query] = {
     ),
     "top_region": _star(summaries.top_region),
     "union_all": lambda s, d: sets.append_rows(
-        table(s, d, "customer").select(
+        read_star_table(s, d, "customer").select(
             F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")
         ),
-        table(s, d, "supplier").select(
+        read_star_table(s, d, "supplier").select(
             F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")
         ),
     ),

@@ -11,6 +11,7 @@ from pyspark.sql.types import (
     StringType,
     StructField,
     StructType,
+    TimestampNTZType,
     TimestampType,
 )
 
@@ -87,3 +88,50 @@ DEMO_SALES = layout(
 )
 
 METRICS = layout(category=TEXT, value=DOUBLE, score=DOUBLE)
+
+# The star tables. Naming the types spares a look at file footers before every query.
+STAR = {
+    "region": layout(r_regionkey=INT, r_name=TEXT),
+    "nation": layout(n_nationkey=INT, n_name=TEXT, n_regionkey=INT),
+    "customer": layout(
+        c_custkey=LONG, c_name=TEXT, c_nationkey=INT, c_acctbal=DOUBLE, c_mktsegment=TEXT
+    ),
+    "supplier": layout(s_suppkey=LONG, s_name=TEXT, s_nationkey=INT, s_acctbal=DOUBLE),
+    "part": layout(
+        p_partkey=LONG,
+        p_name=TEXT,
+        p_brand=TEXT,
+        p_type=TEXT,
+        p_size=INT,
+        p_retailprice=DOUBLE,
+    ),
+    "orders": layout(
+        o_orderkey=LONG,
+        o_custkey=LONG,
+        o_orderstatus=TEXT,
+        o_totalprice=DOUBLE,
+        o_orderdate=TimestampNTZType(),
+        o_orderpriority=TEXT,
+    ),
+    "lineitem": layout(
+        l_orderkey=LONG,
+        l_partkey=LONG,
+        l_suppkey=LONG,
+        l_linenumber=INT,
+        l_quantity=DOUBLE,
+        l_extendedprice=DOUBLE,
+        l_discount=DOUBLE,
+        l_tax=DOUBLE,
+        l_returnflag=TEXT,
+        l_linestatus=TEXT,
+        l_shipdate=TimestampNTZType(),
+    ),
+    "events": layout(
+        event_id=LONG,
+        ts=TimestampNTZType(),
+        user_id=LONG,
+        event_type=TEXT,
+        value=DOUBLE,
+        props=TEXT,
+    ),
+}

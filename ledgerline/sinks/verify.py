@@ -23,7 +23,8 @@ def _relative(base: str) -> Column:
 def verify_outputs(spark: SparkSession, base: str, expected: Sequence[str]) -> DataFrame:
     """For each expected file or folder below the base: whether it exists, its number of
     files, their total size and the latest change. A missing base means nothing exists."""
-    wanted = spark.createDataFrame([(e,) for e in dict.fromkeys(expected)], "expected string")
+    listed = F.array(*[F.lit(e) for e in dict.fromkeys(expected)])
+    wanted = spark.range(1).select(F.explode(listed).alias("expected"))
     try:
         files = file_inventory(spark, base)
     except AnalysisException as error:

@@ -84,3 +84,7 @@ def read_or_create(
     """Reuse the CSV at the path, or write the example there first."""
     example.write.mode("ignore").option("header", True).csv(path)
     return read_csv(spark, path, schema)
+
+
+def read_star_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(schemas.STAR[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import nan_to_null
 from ledgerline.functions.measures import merge, tally
+from ledgerline.sources.readers import read_star_table
 
 
 class FlatSales:
@@ -74,7 +75,7 @@ class StarSales:
         return StarSales(self.spark, self.folder, {**self.filters, column: value})
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return read_star_table(self.spark, self.folder, name)
 
     def _lines(self) -> DataFrame:
         lines = self._table("lineitem")
@@ -184,7 +185,37 @@ def as_sales(data: Sales | DataFrame) -> Sales:
     return FlatSales(data) if isinstance(data, DataFrame) else data
 
 
-def distinct_count(sales: Sales, column: str, null_is_value: bool = False) -> Column:
-    """How many values a column has, as a scalar subquery."""
-    counted = F.lit(1) if null_is_value else F.col(column)
-    return sales.tally(column).agg(F.count(counted)).scalar()
+def key_facts(data: Sales, *keys: str) -> DataFrame:
+    """One row about several keys and the totals, from one pass over the sales.
+
+    For each key k: `k_values` (distinct values, a missing one included), `k_known` (missing
+    left out) and `k_top` (most revenue to the cent, the smaller key on a tie); and the
+    measures over everything. Grouping sets expand the tally, never the rows.
+    """
+    fine = data.tally(*keys)
+    sets = [[F.col(k)] for k in keys] + [[]]
+    grouped = fine.groupingSets(sets, *keys).agg(
+        F.sum("rows").alias("rows"),
+        F.sum("amounts").alias("amounts"),
+        F.sum("revenue").alias("revenue"),
+        *[(F.grouping(k) == 0).alias(f"of_{k}") for k in keys],
+    )
+    facts = []
+    nothing_grouped = F.lit(True)
+    for k in keys:
+        of_key = F.col(f"of_{k}")
+        nothing_grouped = nothing_grouped & ~of_key
+        money = F.round("revenue", 2)
+        place = F.when(of_key, F.struct(money.isNull(), -money, F.col(k)))
+        facts += [
+            F.count_if(of_key).alias(f"{k}_values"),
+            F.count(F.when(of_key, F.col(k))).alias(f"{k}_known"),
+            F.min_by(F.col(k), place).alias(f"{k}_top"),
+        ]
+    totals = [F.max(F.when(nothing_grouped, F.col(c))) for c in ("rows", "amounts", "revenue")]
+    return grouped.agg(
+        F.coalesce(totals[0], F.lit(0).cast("bigint")).alias("rows"),
+        F.coalesce(totals[1], F.lit(0).cast("bigint")).alias("amounts"),
+        totals[2].alias("revenue"),
+        *facts,
+    )
