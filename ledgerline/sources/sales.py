@@ -133,48 +133,53 @@ class StarSales:
         return df
 
     def rows(self, *columns: str) -> DataFrame:
-        """The line-level frame with the named columns (all by default)."""
-        wanted = set(columns) | set(self.filters)
-        needs = lambda names: not columns or bool(wanted & set(names))
+        """The line-level frame with the named columns (all by default).
+
+        Orders meet customers first, so the lines are shuffled once per foreign key they
+        hold themselves and a filter on any dimension shrinks what they meet.
+        """
+        wanted = {*columns, *self.filters}
+
+        def needs(names: tuple[str, ...]) -> bool:
+            return not columns or not wanted.isdisjoint(names)
+
         df = self._lines().withColumn(
             "transaction_id", F.concat(F.col("order_id"), F.lit("-"), F.col("line"))
         )
         if needs(self.ORDER_COLUMNS + self.CUSTOMER_COLUMNS):
-            df = df.join(self._orders(), "order_id", "left")
-        if needs(self.CUSTOMER_COLUMNS):
-            df = df.join(self._customers(), "customer_id", "left")
+            orders = self._orders()
+            if needs(self.CUSTOMER_COLUMNS):
+                orders = orders.join(self._customers(), "customer_id", "left")
+            df = df.join(orders, "order_id", "left")
         if needs(self.PART_COLUMNS):
             df = df.join(self._parts(), "product_id", "left")
         df = self._filtered(df)
         return df.select(*columns) if columns else df.drop("order_id", "line")
 
     def tally(self, *keys: str) -> DataFrame:
-        wanted = set(keys) | set(self.filters)
+        wanted = {*keys, *self.filters}
         in_order = wanted & set(self.ORDER_COLUMNS)
         in_customer = wanted & set(self.CUSTOMER_COLUMNS)
         in_part = wanted & set(self.PART_COLUMNS)
-        if not wanted:
-            first = []
-        else:
-            first = ["order_id"] if in_order or in_customer else []
-            first += ["product_id"] if in_part or "product_id" in wanted else []
+        grain = ["order_id"] if in_order or in_customer else []
+        grain += ["product_id"] if in_part or "product_id" in wanted else []
 
-        lines = self._lines()
         whole = F.col("order_id").isNotNull() & F.col("line").isNotNull()
         folded = tally(
-            lines, first, F.when(whole, True), F.col("total_amount"), F.col("quantity")
+            self._lines(), grain, F.when(whole, True), F.col("total_amount"), F.col("quantity")
         )
-        if "order_id" in first:
-            onward = sorted(in_order | ({"customer_id"} if in_customer else set()))
-            onward += [k for k in first if k != "order_id"]
-            folded = merge(folded.join(self._orders(), "order_id", "left"), onward)
+        if "order_id" in grain:
+            folded = folded.join(self._orders(), "order_id", "left")
+            grain = [k for k in grain if k != "order_id"]
+            grain += sorted(in_order | ({"customer_id"} if in_customer else set()))
+            folded = merge(folded, grain)
             if in_customer:
                 folded = folded.join(self._customers(), "customer_id", "left")
         if in_part:
             folded = folded.join(self._parts(), "product_id", "left")
         folded = self._filtered(folded)
-        if sorted(keys) == sorted(first):
-            return folded.select(*keys, *[c for c in folded.columns if c not in keys])
+        if grain and set(grain) <= set(keys):
+            return folded  # one row per key combination already
         return merge(folded, list(keys))
 
 
