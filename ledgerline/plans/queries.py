@@ -26,7 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Parameters that queries and their SQL share.
 RUN_DATE = "2024-01-01"
-SLICE_DATE = "1997-05-28"
+SLICE_DATE = "1999-01-16"
 REGION = "ASIA"
 SPARSE_FAULTS = 1000
 DENSE_FAULTS = 100

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerline import schemas
+from ledgerline.session import materialize
 
 CORRUPT = "_corrupt_record"
 
@@ -22,16 +23,19 @@ def read_json(
     spark: SparkSession, path: str, schema: StructType, quarantine: bool = False
 ) -> DataFrame:
     """JSON lines under a fixed schema. An unparsable line becomes an all-null row; with
-    quarantine its text is kept in `_corrupt_record`."""
+    quarantine its text is kept in `_corrupt_record` (see split_corrupt)."""
     if quarantine:
         schema = StructType([*schema.fields, StructField(CORRUPT, StringType())])
     return spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and the raw text of the lines that did not parse."""
+    """Good rows, and the raw text of the lines that did not parse or hold a value of the
+    wrong type. The parsed rows are written out first: a later query that reads fewer
+    columns would otherwise parse only those and miss errors in the others."""
+    parsed = materialize(df)
     bad = F.col(CORRUPT).isNotNull()
-    return df.filter(~bad).drop(CORRUPT), df.filter(bad).select(CORRUPT)
+    return parsed.filter(~bad).drop(CORRUPT), parsed.filter(bad).select(CORRUPT)
 
 
 def require_rows(df: DataFrame, what: str = "input") -> DataFrame:

@@ -17,7 +17,7 @@ def one_file(df, path, kind="json"):
     """Write a frame as the single file that one run leaves behind."""
     path.parent.mkdir(parents=True, exist_ok=True)
     if kind == "json":
-        path.write_text("\n".join(r[0] for r in df.toJSON().toDF("v").collect()))
+        path.write_text("\n".join(df.toJSON().collect()))
     else:
         df.toPandas().to_csv(path, index=False)
 

@@ -83,7 +83,7 @@ def test_the_code_never_decreases(spark):
         + list(rng.normal(0, 1, 500)) + list(np.exp(rng.normal(0, 200, 500)))
         + [float(np.nextafter(2.0**e, d)) for e in range(-5, 60) for d in (-np.inf, np.inf)]
     )
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double")
     codes = [r[0] for r in df.orderBy("i").select(order_code(F.col("v"))).collect()]
     assert codes == sorted(codes)
     assert 0 <= codes[0] and codes[-1] <= 2**quantiles.CODE_BITS

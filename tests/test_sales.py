@@ -30,7 +30,7 @@ def test_star_tally_equals_flat_tally(spark, folder, keys):
 
 @pytest.mark.parametrize(
     "column, value",
-    [("region", "ASIA"), ("transaction_date", "1997-05-28"), ("product_category", "ECONOMY")],
+    [("region", "ASIA"), ("transaction_date", "1999-01-16"), ("product_category", "ECONOMY")],
 )
 def test_filters_agree(spark, folder, column, value):
     star = StarSales(spark, folder).where(column, value)
