@@ -1,9 +1,10 @@
 """Exact quantiles that never gather a group in one task.
 
 Every value gets an order-preserving 53-bit code. A round counts rows per group and
-leading bits of the code (combined on the map side, at most 2**16 counters per group),
-finds the counter that holds the wanted rank and keeps only its rows for the next round.
-A wanted rank therefore costs a few narrow scans and no shuffle of the values. Once the
+leading bits of the code (combined on the map side, at most 2**16 counters per group)
+and finds the counter that holds the wanted rank. A counter whose least and greatest
+value are equal is the answer; the others keep only their rows for the next round. A
+wanted rank therefore costs a few narrow scans and no shuffle of the values. Once the
 rows left are few, or the code is used up, their distinct values are ranked directly.
 """
 
@@ -21,6 +22,12 @@ from ledgerline.session import materialize
 CODE_BITS = 53
 ROUND_SHIFTS = (37, 21, 0)
 FEW_ROWS = 1_000_000
+# A state row is a few dozen bytes, so this many are safe to broadcast; beyond it the
+# planner chooses by the size of the written state.
+BROADCAST_ROWS = 100_000
+
+
+STATE = ["group", "rank", "total", "prefix", "below", "inside", "least", "most"]
 
 
 def order_code(value: Column) -> Column:
@@ -73,49 +80,56 @@ def exact_quantiles(
         .withColumn("code", order_code(F.col("value")))
     )
 
-    first = values.groupBy("group", F.shiftright("code", ROUND_SHIFTS[0]).alias("prefix")).agg(
-        F.count(F.lit(1)).alias("inside")
-    )
+    def counted(rows: DataFrame, keys: list[str], shift: int) -> DataFrame:
+        return rows.groupBy(*keys, F.shiftright("code", shift).alias("prefix")).agg(
+            F.count(F.lit(1)).alias("inside"),
+            F.min("value").alias("least"),
+            F.max("value").alias("most"),
+        )
+
     by_group = Window.partitionBy("group")
-    by_code = by_group.orderBy("prefix")
-    total = F.sum("inside").over(by_group)
     first = (
-        first.withColumn("total", total)
-        .withColumn("below", F.sum("inside").over(by_code) - F.col("inside"))
+        counted(values, ["group"], ROUND_SHIFTS[0])
+        .withColumn("total", F.sum("inside").over(by_group))
+        .withColumn("before", F.sum("inside").over(by_group.orderBy("prefix")) - F.col("inside"))
         .withColumn("ranks", _ranks(F.col("total"), list(probabilities.values()), interpolate))
         .withColumn("rank", F.explode("ranks"))
         .filter(
-            (F.col("below") <= F.col("rank"))
-            & (F.col("rank") < F.col("below") + F.col("inside"))
+            (F.col("before") <= F.col("rank"))
+            & (F.col("rank") < F.col("before") + F.col("inside"))
         )
-        .select("group", "rank", "total", "prefix", "below", "inside")
+        .withColumnRenamed("before", "below")
+        .select(*STATE)
     )
     state = materialize(first)
+    open_ = F.col("least") < F.col("most")
     target = ["group", "rank", "total", "below"]
 
-    def survivors(shift: int) -> DataFrame:
-        holders = state.select(*target, "prefix")
+    def survivors(shift: int, few: bool) -> DataFrame:
+        holders = state.filter(open_).select(*target, "prefix")
         coded = values.withColumn("prefix", F.shiftright("code", shift))
-        return coded.join(holders, ["group", "prefix"]).drop("prefix")
-
-    shift = ROUND_SHIFTS[0]
-    for next_shift in ROUND_SHIFTS[1:]:
-        widest = state.agg(F.max("inside")).first()[0]
-        if widest is None or widest <= FEW_ROWS:
+        joined = coded.join(F.broadcast(holders) if few else holders, ["group", "prefix"])
+        return joined.drop("prefix")
+
+    shift, rounds = ROUND_SHIFTS[0], list(ROUND_SHIFTS[1:])
+    while True:
+        unsettled = state.filter(open_).agg(F.count(F.lit(1)), F.max("inside")).first()
+        few = unsettled[0] <= BROADCAST_ROWS
+        if not unsettled[0] or unsettled[1] <= FEW_ROWS or not rounds:
             break
-        counts = (
-            survivors(shift)
-            .groupBy(*target, F.shiftright("code", next_shift).alias("prefix"))
-            .agg(F.count(F.lit(1)).alias("inside"))
-        )
-        state = materialize(_holding(counts, ["group", "rank"], "prefix"))
+        next_shift = rounds.pop(0)
+        counts = counted(survivors(shift, few), target, next_shift)
+        narrowed = _holding(counts, ["group", "rank"], "prefix").select(*STATE)
+        state = materialize(narrowed.unionByName(state.filter(~open_)))
         shift = next_shift
 
-    found = _holding(
-        survivors(shift).groupBy(*target, "value").agg(F.count(F.lit(1)).alias("inside")),
-        ["group", "rank"],
-        "value",
-    )
+    found = state.filter(~open_).select("group", "rank", "total", F.col("least").alias("value"))
+    if unsettled[0]:
+        distinct = survivors(shift, few).groupBy(*target, "value").agg(
+            F.count(F.lit(1)).alias("inside")
+        )
+        ranked = _holding(distinct, ["group", "rank"], "value")
+        found = found.unionByName(ranked.select("group", "rank", "total", "value"))
     # At most two ranks per probability, so the map has a fixed bound.
     at = found.groupBy("group").agg(
         F.max("total").alias("total"),

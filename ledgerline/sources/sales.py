@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import nan_to_null
 from ledgerline.functions.measures import merge, tally
+from ledgerline.session import materialize
 from ledgerline.sources.readers import read_star_table
 
 
@@ -95,18 +96,21 @@ class StarSales:
         orders = self._table("orders")
         if "transaction_date" in self.filters:
             # A range on the stored timestamp reaches the scan; a test on its date does not.
+            # Written out, the slice has a known size: a small one is then broadcast
+            # and the lines are cut down before they are shuffled.
             day = dt.date.fromisoformat(str(self.filters["transaction_date"]))
             after = day + dt.timedelta(days=1)
             orders = orders.filter(
                 (F.col("o_orderdate") >= F.lit(day.isoformat()).cast("timestamp_ntz"))
                 & (F.col("o_orderdate") < F.lit(after.isoformat()).cast("timestamp_ntz"))
             )
-        return orders.select(
+        orders = orders.select(
             F.col("o_orderkey").alias("order_id"),
             F.col("o_custkey").alias("customer_id"),
             F.col("o_orderdate").cast("date").alias("transaction_date"),
             F.col("o_orderpriority").alias("sales_channel"),
         )
+        return materialize(orders) if "transaction_date" in self.filters else orders
 
     def _customers(self) -> DataFrame:
         nations = self._table("nation").join(
@@ -164,12 +168,16 @@ class StarSales:
         grain = ["order_id"] if in_order or in_customer else []
         grain += ["product_id"] if in_part or "product_id" in wanted else []
 
+        lines = self._lines()
+        orders = self._orders() if "order_id" in grain else None
+        if "transaction_date" in self.filters:
+            lines = lines.join(orders, "order_id", "left_semi")
         whole = F.col("order_id").isNotNull() & F.col("line").isNotNull()
         folded = tally(
-            self._lines(), grain, F.when(whole, True), F.col("total_amount"), F.col("quantity")
+            lines, grain, F.when(whole, True), F.col("total_amount"), F.col("quantity")
         )
-        if "order_id" in grain:
-            folded = folded.join(self._orders(), "order_id", "left")
+        if orders is not None:
+            folded = folded.join(orders, "order_id", "left")
             grain = [k for k in grain if k != "order_id"]
             grain += sorted(in_order | ({"customer_id"} if in_customer else set()))
             folded = merge(folded, grain)
