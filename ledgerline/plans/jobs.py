@@ -194,3 +194,20 @@ def run_analysis_job(
     for folder, result in results.items():
         writers.write_run(result, f"{base}/{folder}", analysis_date, column="run_date")
     return summary
+
+
+def run_metrics_job(df: DataFrame, output_base: str, execution_date: str) -> DataFrame:
+    """Profile metrics: description, per-category figures, distribution and summary CSVs."""
+    base = output_base.rstrip("/")
+    summary = profiling.summary_metrics(df, execution_date)
+    results = {
+        "describe": profiling.describe(df, ["value", "score"]),
+        "category_stats": profiling.category_stats(df),
+        "box_stats": profiling.box_stats(df, "value", "category"),
+        "histogram": profiling.histogram(df, "value"),
+        "value_counts": profiling.value_counts(df, "category"),
+        "summary_metrics": summary,
+    }
+    for folder, result in results.items():
+        writers.write_run(result, f"{base}/{folder}", execution_date, column="run_date")
+    return summary

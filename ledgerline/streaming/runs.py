@@ -1,49 +1,64 @@
 """Incremental key summaries over a file-per-run landing folder.
 
-A file source notices files that arrived since the last call. The dates they belong to
-are summarised again from all of their rows and replace their own output partition, so
-a batch that is retried after a lost executor gives the same result.
+A file source notices the files that arrived since the last call. Each batch folds only
+its own rows into partial sums and writes them to a partition of its own, so late files
+need no second look at earlier ones and a batch that is retried replaces itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ledgerline.operators.sets import dedupe
+from ledgerline.functions.measures import rounded_mean
 from ledgerline.operators.summaries import grouped_key_summaries
 
+BATCH = "batch_id"
+
 
-def refresh_key_summaries(
+def collect_key_summaries(
     spark: SparkSession,
     landing: str,
-    output: str,
+    partials: str,
     progress: str,
     schema: StructType,
     keys: dict[str, str],
     date: str = "date",
     amount: str = "amount",
 ) -> None:
-    """Process every file that arrived in the landing folder, then stop."""
+    """Fold every file that arrived in the landing folder into the partial sums, then stop."""
 
-    def rewrite(batch: DataFrame, _: int) -> None:
-        touched = dedupe(batch.select(date))
-        rows = batch.sparkSession.read.schema(schema).json(landing)
-        affected = rows.join(touched, date, "left_semi")
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        folded = grouped_key_summaries(batch, keys, amount, within=[date])
         (
-            grouped_key_summaries(affected, keys, amount, within=[date])
+            folded.drop("average_amount")
+            .withColumn(BATCH, F.lit(batch_id))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(date)
-            .parquet(output)
+            .partitionBy(BATCH)
+            .parquet(partials)
         )
 
     query = (
         spark.readStream.schema(schema)
         .json(landing)
-        .writeStream.foreachBatch(rewrite)
+        .writeStream.foreachBatch(fold)
         .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
+
+
+def merged_key_summaries(
+    partials: DataFrame, by: Sequence[str] = ("date",), digits: int | None = None
+) -> DataFrame:
+    """The key summaries over all batches, per date or, with no columns, over all dates."""
+    totals = partials.groupBy(*by, "summary", "key").agg(
+        F.sum("total_amount").alias("total_amount"), F.sum("count").alias("count")
+    )
+    mean = rounded_mean(F.col("total_amount"), F.col("count"), digits)
+    return totals.withColumn("average_amount", mean)

@@ -6,9 +6,10 @@ from conftest import one, rows
 from pyspark.sql import functions as F
 
 from ledgerline import schemas
+from ledgerline.operators import summaries
 from ledgerline.plans import jobs
 from ledgerline.sources import generators
-from ledgerline.streaming.runs import refresh_key_summaries
+from ledgerline.streaming.runs import collect_key_summaries, merged_key_summaries
 
 DAY = "2024-01-01"
 
@@ -134,20 +135,39 @@ def test_analysis_job(spark, tmp_path):
 
 def test_incremental_key_summaries(spark, tmp_path):
     landing = tmp_path / "landing"
-    places = [str(tmp_path / n) for n in ("out", "progress")]
+    partials, progress = str(tmp_path / "partials"), str(tmp_path / "progress")
     keys = {"region": "region", "category": "category"}
-
-    def refresh():
-        refresh_key_summaries(spark, str(landing), *places, schemas.SIMPLE_SALES_CAT, keys)
-        found = spark.read.parquet(places[0]).filter("summary = 'region'")
-        return {
-            str(r[0]): r[1]
-            for r in rows(found.groupBy("date").agg(F.sum("count")))
-        }
-
-    one_file(generators.simple_sales_cat(spark.range(40), DAY), landing / "a.json")
-    assert refresh() == {DAY: 40}
-    one_file(generators.simple_sales_cat(spark.range(8), "2024-01-02"), landing / "b.json")
-    one_file(generators.simple_sales_cat(spark.range(4), DAY), landing / "late.json")
-    assert refresh() == {DAY: 44, "2024-01-02": 8}
-    assert refresh() == {DAY: 44, "2024-01-02": 8}
+    arrivals = []
+
+    def arrive(made, name):
+        one_file(made, landing / name)
+        arrivals.append(made)
+        collect_key_summaries(
+            spark, str(landing), partials, progress, schemas.SIMPLE_SALES_CAT, keys
+        )
+        return spark.read.parquet(partials)
+
+    def per_date(found):
+        regions = merged_key_summaries(found).filter("summary = 'region'")
+        return {r[0]: r[1] for r in rows(regions.groupBy("date").agg(F.sum("count")))}
+
+    first = arrive(generators.simple_sales_cat(spark.range(40), DAY), "a.json")
+    assert per_date(first) == {DAY: 40}
+    arrive(generators.simple_sales_cat(spark.range(8), "2024-01-02"), "b.json")
+    last = arrive(generators.simple_sales_cat(spark.range(4), DAY), "late.json")
+    assert per_date(last) == {DAY: 44, "2024-01-02": 8}
+    everything = arrivals[0].unionByName(arrivals[1]).unionByName(arrivals[2])
+    columns = ["summary", "key", "total_amount", "count", "average_amount"]
+    expected = summaries.grouped_key_summaries(everything, keys).select(columns)
+    assert sorted(rows(merged_key_summaries(last, []).select(columns))) == sorted(rows(expected))
+
+
+def test_metrics_job(spark, tmp_path):
+    made = generators.metrics(spark.range(1000))
+    summary = one(jobs.run_metrics_job(made, str(tmp_path), DAY))
+    assert summary["total_records"] == 1000 and summary["categories"] == 4
+    table = spark.read.option("header", True).csv(str(tmp_path / "histogram"))
+    assert table.count() == 30
+    assert {p.name for p in tmp_path.iterdir()} == {
+        "describe", "category_stats", "box_stats", "histogram", "value_counts", "summary_metrics",
+    }
