@@ -11,39 +11,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-COUNTS = ("rows", "transactions", "amounts")
+COUNTS = ("rows", "transactions", "amounts", "unit_rows")
 SUMS = ("revenue", "units")
 
 
-def tally(
-    df: DataFrame, keys: list[str], transaction: Column, amount: Column, quantity: Column
-) -> DataFrame:
-    """Fold raw rows into measures. The three columns are what counts as a transaction
-    (null is not one), the money value and the number of items."""
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count(transaction).alias("transactions"),
-        F.count(amount).alias("amounts"),
-        F.count(quantity).alias("unit_rows"),
-        F.sum(amount).alias("revenue"),
-        F.sum(quantity.cast("bigint")).alias("units"),
-        F.max(amount).alias("high"),
-        F.min(amount).alias("low"),
-    )
+def tally(df: DataFrame, keys: list[str], transaction: str, amount: str, quantity: str) -> DataFrame:
+    """Fold raw rows into measures. The three SQL expressions are what counts as a
+    transaction (null is not one), the money value and the number of items."""
+    measures = [
+        "count(1) as rows",
+        f"count({transaction}) as transactions",
+        f"count({amount}) as amounts",
+        f"count({quantity}) as unit_rows",
+        f"sum({amount}) as revenue",
+        f"sum(cast({quantity} as bigint)) as units",
+        f"max({amount}) as high",
+        f"min({amount}) as low",
+    ]
+    return df.groupBy(*keys).agg(*map(F.expr, measures))
 
 
 def merge(tallies: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
     """Fold tallies onto coarser keys; extra aggregates see the finer rows."""
-    return tallies.groupBy(*keys).agg(
-        *[
-            F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(c)
-            for c in (*COUNTS, "unit_rows")
-        ],
-        *[F.sum(c).alias(c) for c in SUMS],
-        F.max("high").alias("high"),
-        F.min("low").alias("low"),
-        *extra,
-    )
+    measures = [
+        *[f"coalesce(sum({c}), 0L) as {c}" for c in COUNTS],
+        *[f"sum({c}) as {c}" for c in SUMS],
+        "max(high) as high",
+        "min(low) as low",
+    ]
+    return tallies.groupBy(*keys).agg(*map(F.expr, measures), *extra)
 
 
 def revenue(digits: int | None = 2) -> Column:

@@ -23,6 +23,7 @@ Range = tuple[float | None, float | None]
 class QualityRules:
     """Shares of rows that may be missing or duplicated, value ranges and allowed values."""
 
+    # The rules for payments.
     max_missing: float = 0.05
     max_duplicates: float = 0.01
     ranges: Mapping[str, Range] = field(

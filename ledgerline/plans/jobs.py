@@ -10,6 +10,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerline import schemas
 from ledgerline.operators import cleaning, profiling, quality, summaries
@@ -55,11 +56,12 @@ def run_clean_job(
     output_path: str,
     stats_path: str,
     run_time: dt.datetime | None = None,
+    schema: StructType | None = None,
 ) -> DataFrame:
     """CSV in, cleaned CSV with lineage columns and a statistics CSV out; returns the
-    frame summary. The two outputs must not overlap."""
+    frame summary. The two outputs must not overlap. A schema saves the inference pass."""
     writers.check_distinct(output_path, stats_path)
-    raw = readers.read_csv(spark, input_path)
+    raw = readers.read_csv(spark, input_path, schema)
     writers.check_target(raw, output_path)
     writers.check_target(raw, stats_path)
     cleaned = materialize(cleaning.add_lineage(cleaning.clean(raw), run_time))

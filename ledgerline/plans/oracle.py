@@ -413,7 +413,7 @@ select 'total_records' as kind, 'rows' as "key", count(*) as value from faulty
   from sales where transaction_date is not null group by transaction_date"""
     ),
     "dq_completeness": f"""with {DENSE}
-select column_name, sum(gone) as missing_count, sum(gone) * cast(1 as double) / count(*) * 100
+select column_name, cast(sum(gone) as bigint) as missing_count, sum(gone) * cast(1 as double) / count(*) * 100
     as missing_percentage,
   sum(gone) * cast(1 as double) / count(*) * 100 <= {EVENT_RULES.max_missing * 100} as passed
   from (select unnest(['customer_id', 'transaction_date', 'amount', 'category',

@@ -21,7 +21,8 @@ from ledgerline.operators.summaries import (
 )
 from ledgerline.sources.sales import as_sales
 
-# One document is one string in one task, so its number of keys needs a bound.
+# One document is one string in one task, so its number of keys needs a bound. Summaries
+# with more keys belong in JSON lines, one object per key: writers.write_json.
 MAX_KEYS = 100_000
 
 
@@ -30,7 +31,7 @@ def _as_map(df: DataFrame, key: str, value: Column, max_keys: int) -> DataFrame:
     entry = F.struct(F.coalesce(F.col(key).cast("string"), F.lit("null")), value)
     entries = df.select(entry.alias("entry")).limit(max_keys + 1)
     collected = F.array_sort(F.collect_list("entry"))
-    too_many = F.raise_error(F.lit(f"more than {max_keys} keys for one document"))
+    too_many = F.raise_error(F.lit(f"more than {max_keys} keys for one document; write JSON lines instead"))
     checked = F.when(F.size("entries") <= max_keys, F.col("entries")).otherwise(too_many)
     return entries.agg(collected.alias("entries")).select(
         F.map_from_entries(checked).alias("by_key")

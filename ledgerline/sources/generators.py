@@ -2,6 +2,7 @@
 
 Each generator maps a frame with a bigint column `id` to records, so it runs on
 spark.range(n) as well as on the ids of any table, and a row depends on its id alone.
+Formats, cycle lengths, prices and ranges are fixed values of the fixtures.
 """
 
 from __future__ import annotations

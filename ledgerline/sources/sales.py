@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import nan_to_null
@@ -39,8 +39,10 @@ class FlatSales:
         return self.df.select(*columns) if columns else self.df
 
     def tally(self, *keys: str) -> DataFrame:
-        def column(name: str, kind: str) -> Column:
-            return F.col(name) if name in self.df.columns else F.lit(None).cast(kind)
+        present = set(self.df.columns)
+
+        def column(name: str, kind: str) -> str:
+            return f"`{name}`" if name in present else f"cast(null as {kind})"
 
         transaction, amount, quantity = self._names
         return tally(
@@ -52,6 +54,10 @@ class FlatSales:
         )
 
 
+# A line is a transaction when both parts of its key are there.
+WHOLE_LINE = "case when order_id is not null and line is not null then true end"
+
+
 class StarSales:
     """Line items with orders, customers, regions and parts around them.
 
@@ -79,56 +85,51 @@ class StarSales:
         return read_star_table(self.spark, self.folder, name)
 
     def _lines(self) -> DataFrame:
-        lines = self._table("lineitem")
-        quantity, amount = F.col("l_quantity"), F.col("l_extendedprice")
         return nan_to_null(
-            lines.select(
-                F.col("l_orderkey").alias("order_id"),
-                F.col("l_linenumber").alias("line"),
-                F.col("l_partkey").alias("product_id"),
-                quantity.cast("int").alias("quantity"),
-                F.try_divide(amount, quantity).alias("unit_price"),
-                amount.alias("total_amount"),
+            self._table("lineitem").selectExpr(
+                "l_orderkey as order_id",
+                "l_linenumber as line",
+                "l_partkey as product_id",
+                "cast(l_quantity as int) as quantity",
+                "try_divide(l_extendedprice, l_quantity) as unit_price",
+                "l_extendedprice as total_amount",
             )
         )
 
     def _orders(self) -> DataFrame:
         orders = self._table("orders")
-        if "transaction_date" in self.filters:
+        day = self.filters.get("transaction_date")
+        if day is not None:
             # A range on the stored timestamp reaches the scan; a test on its date does not.
             # Written out, the slice has a known size: a small one is then broadcast
             # and the lines are cut down before they are shuffled.
-            day = dt.date.fromisoformat(str(self.filters["transaction_date"]))
-            after = day + dt.timedelta(days=1)
+            first = dt.date.fromisoformat(str(day))
             orders = orders.filter(
-                (F.col("o_orderdate") >= F.lit(day.isoformat()).cast("timestamp_ntz"))
-                & (F.col("o_orderdate") < F.lit(after.isoformat()).cast("timestamp_ntz"))
+                f"o_orderdate >= timestamp_ntz '{first}' "
+                f"and o_orderdate < timestamp_ntz '{first + dt.timedelta(days=1)}'"
             )
-        orders = orders.select(
-            F.col("o_orderkey").alias("order_id"),
-            F.col("o_custkey").alias("customer_id"),
-            F.col("o_orderdate").cast("date").alias("transaction_date"),
-            F.col("o_orderpriority").alias("sales_channel"),
+        orders = orders.selectExpr(
+            "o_orderkey as order_id",
+            "o_custkey as customer_id",
+            "cast(o_orderdate as date) as transaction_date",
+            "o_orderpriority as sales_channel",
         )
-        return materialize(orders) if "transaction_date" in self.filters else orders
+        return orders if day is None else materialize(orders)
 
     def _customers(self) -> DataFrame:
         nations = self._table("nation").join(
             self._table("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left"
         )
-        return (
-            self._table("customer")
-            .join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-            .select(
-                F.col("c_custkey").alias("customer_id"),
-                F.col("c_mktsegment").alias("customer_segment"),
-                F.col("r_name").alias("region"),
-            )
+        customers = self._table("customer").join(
+            nations, F.col("c_nationkey") == F.col("n_nationkey"), "left"
+        )
+        return customers.selectExpr(
+            "c_custkey as customer_id", "c_mktsegment as customer_segment", "r_name as region"
         )
 
     def _parts(self) -> DataFrame:
-        return self._table("part").select(
-            F.col("p_partkey").alias("product_id"), F.col("p_type").alias("product_category")
+        return self._table("part").selectExpr(
+            "p_partkey as product_id", "p_type as product_category"
         )
 
     def _filtered(self, df: DataFrame) -> DataFrame:
@@ -172,10 +173,7 @@ class StarSales:
         orders = self._orders() if "order_id" in grain else None
         if "transaction_date" in self.filters:
             lines = lines.join(orders, "order_id", "left_semi")
-        whole = F.col("order_id").isNotNull() & F.col("line").isNotNull()
-        folded = tally(
-            lines, grain, F.when(whole, True), F.col("total_amount"), F.col("quantity")
-        )
+        folded = tally(lines, grain, WHOLE_LINE, "total_amount", "quantity")
         if orders is not None:
             folded = folded.join(orders, "order_id", "left")
             grain = [k for k in grain if k != "order_id"]
