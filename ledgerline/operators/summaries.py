@@ -22,7 +22,7 @@ from ledgerline.functions.measures import (
     revenue_per_row,
     rounded_mean,
 )
-from ledgerline.sources.sales import Sales, as_sales, key_facts
+from ledgerline.sources.sales import Sales, as_sales, fold, key_facts
 
 Data = Sales | DataFrame
 
@@ -277,9 +277,9 @@ def simple_totals(data: Data, processing_date: str) -> DataFrame:
 
 
 def simple_summary(data: Data, processing_date: str, digits: int | None = None) -> DataFrame:
-    """The simple summary as flat rows (kind, key, value); see documents.simple_document
-    for the nested form."""
-    sales = as_sales(data)
+    """The simple summary as flat rows (kind, key, value), from one pass over the sales;
+    see documents.simple_document for the nested form."""
+    sales = fold(data, ("customer_id", "region"))
     totals = simple_totals(sales, processing_date)
     names = [c for c in totals.columns if c != "processing_date"]
     cells = F.array(

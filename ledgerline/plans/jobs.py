@@ -1,7 +1,7 @@
 """Whole jobs: read, check, summarise, write, each with explicit paths.
 
-Every job reads its raw input once. What several summaries share is staged as Parquet
-in the scratch folder first, so that each of them scans only its own columns.
+Every job reads its raw input once. Rows that several summaries share are staged as
+Parquet in the scratch folder, then folded once per family of keys.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from ledgerline.operators import cleaning, profiling, quality, summaries
 from ledgerline.session import materialize
 from ledgerline.sinks import documents, verify, writers
 from ledgerline.sources import generators, readers
-from ledgerline.sources.sales import FlatSales
+from ledgerline.sources.sales import FlatSales, fold
 
 # The output folders of the sales job.
 SALES_OUTPUTS = {
@@ -34,7 +34,10 @@ def run_sales_job(spark: SparkSession, input_path: str, output_base: str) -> Dat
     raw = readers.read_json(spark, input_path, schemas.SALES)
     for folder in SALES_OUTPUTS.values():
         writers.check_target(raw, f"{base}/{folder}")
-    sales = FlatSales(materialize(readers.require_rows(raw, input_path)))
+    rows = materialize(readers.require_rows(raw, input_path))
+    sales = fold(
+        rows, ("customer_id", "region"), ("product_id", "product_category"), ("transaction_date",)
+    )
     results = {
         "region": summaries.region_summary(sales),
         "category": summaries.category_summary(sales),
@@ -76,7 +79,10 @@ def run_daily_job(
     """One run date's CSV in; region, category, daily and summary CSVs out under the date."""
     base = output_base.rstrip("/")
     path = readers.run_file(input_folder, run_date, "csv")
-    sales = FlatSales(materialize(readers.read_csv(spark, path, schemas.SALES)))
+    rows = materialize(readers.read_csv(spark, path, schemas.SALES))
+    sales = fold(
+        rows, ("customer_id", "region"), ("product_id", "product_category"), ("transaction_date",)
+    )
     summary = summaries.processing_summary(sales, run_date)
     results = {
         "sales-by-region": summaries.region_sales(sales),
@@ -96,7 +102,11 @@ def run_channel_job(
     base = output_base.rstrip("/")
     path = readers.run_file(input_folder, run_date)
     raw = readers.read_json(spark, path, schemas.SALES_EXT)
-    sales = FlatSales(materialize(readers.require_rows(raw, path)))
+    sales = fold(
+        materialize(readers.require_rows(raw, path)),
+        ("customer_id", "region", "customer_segment", "sales_channel"),
+        ("product_id", "product_category"),
+    )
     results = {
         "region-analysis": ("region", summaries.region_analysis(sales)),
         "category-analysis": ("product_category", summaries.category_analysis(sales)),

@@ -19,7 +19,7 @@ from ledgerline.operators.summaries import (
     simple_totals,
     top5_customers,
 )
-from ledgerline.sources.sales import as_sales
+from ledgerline.sources.sales import fold
 
 # One document is one string in one task, so its number of keys needs a bound. Summaries
 # with more keys belong in JSON lines, one object per key: writers.write_json.
@@ -56,7 +56,7 @@ def row_document(df: DataFrame) -> DataFrame:
 
 
 def simple_document(data: Data, processing_date: str, max_keys: int = MAX_KEYS) -> DataFrame:
-    sales = as_sales(data)
+    sales = fold(data, ("customer_id", "region"))
     amount = F.col("total_amount")
     regions = _as_map(region_breakdown(sales), "region", amount, max_keys)
     customers = _as_map(top5_customers(sales), "customer_id", amount, max_keys)

@@ -189,7 +189,39 @@ class StarSales:
         return merge(folded, list(keys))
 
 
-Sales = FlatSales | StarSales
+class FoldedSales:
+    """Sales folded once onto families of keys and written out.
+
+    Any keys within one family are answered from its small table, so several reports cost
+    one pass over the sales per family instead of one each.
+    """
+
+    def __init__(self, families: dict[tuple[str, ...], DataFrame]):
+        self.families = families
+
+    def _family(self, keys: tuple[str, ...]) -> DataFrame:
+        for family, folded in self.families.items():
+            if set(keys) <= set(family):
+                return folded
+        raise ValueError(f"no family of keys holds {keys}; folded were {list(self.families)}")
+
+    def where(self, column: str, value: Any) -> FoldedSales:
+        holding = {f: df for f, df in self.families.items() if column in f}
+        if not holding:
+            self._family((column,))
+        test = F.col(column) == F.lit(value)
+        return FoldedSales({f: df.filter(test) for f, df in holding.items()})
+
+    def tally(self, *keys: str) -> DataFrame:
+        return merge(self._family(keys), list(keys))
+
+
+Sales = FlatSales | StarSales | FoldedSales
+
+
+def fold(data: Sales | DataFrame, *families: tuple[str, ...]) -> FoldedSales:
+    sales = as_sales(data)
+    return FoldedSales({keys: materialize(sales.tally(*keys)) for keys in families})
 
 
 def as_sales(data: Sales | DataFrame) -> Sales:

@@ -18,11 +18,15 @@ def frame(spark, groups):
     return spark.createDataFrame(data, "k string, v double")
 
 
-@pytest.fixture(params=["few rows", "every round"])
-def rounds(request, monkeypatch):
-    if request.param == "every round":
+@pytest.fixture(params=["few rows", "every round", "no broadcast"])
+def rounds(request, spark, monkeypatch):
+    if request.param != "few rows":
         monkeypatch.setattr(quantiles, "FEW_ROWS", 0)
-    return request.param
+    if request.param == "no broadcast":
+        monkeypatch.setattr(quantiles, "BROADCAST_ROWS", 0)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield request.param
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_groups_against_numpy(spark, rounds):
@@ -87,3 +91,15 @@ def test_the_code_never_decreases(spark):
     codes = [r[0] for r in df.orderBy("i").select(order_code(F.col("v"))).collect()]
     assert codes == sorted(codes)
     assert 0 <= codes[0] and codes[-1] <= 2**quantiles.CODE_BITS
+
+
+def test_many_groups(spark):
+    df = spark.range(20000).selectExpr("id % 1500 as k", "pmod(id * 7919, 10007) / 10.0 as v")
+    ours = exact_quantiles(df, "v", QUARTILES, ["k"])
+    theirs = df.groupBy("k").agg(
+        *[F.percentile("v", F.lit(p)).alias(name) for name, p in QUARTILES.items()]
+    )
+    wanted = {r[0]: r[1:] for r in rows(theirs)}
+    found = {r[0]: r[1:] for r in rows(ours)}
+    assert found.keys() == wanted.keys()
+    assert all(found[k] == pytest.approx(wanted[k]) for k in wanted)

@@ -5,7 +5,7 @@ from conftest import one, rows
 from pyspark.sql import functions as F
 
 from ledgerline.operators import summaries
-from ledgerline.sources.sales import FlatSales, StarSales
+from ledgerline.sources.sales import FlatSales, StarSales, fold
 
 KEYS = [
     (),
@@ -181,3 +181,20 @@ def test_last_days_and_ranking(spark):
     down = [r.total_amount for r in summaries.ranked_sales(df, "region").collect()]
     up = [r.total_amount for r in summaries.ranked_sales(df, "region", True).collect()]
     assert down == sorted(down, reverse=True) and up == down[::-1]
+
+
+def test_folded_sales_answer_within_their_families(spark, folder):
+    star = StarSales(spark, folder)
+    folded = fold(star, ("customer_id", "region"), ("product_id", "product_category"))
+    columns = ["rows", "transactions", "units", F.round("revenue", 2), "high", "low"]
+    for keys in ((), ("region",), ("customer_id",), ("product_category",)):
+        expected = sorted(rows(star.tally(*keys).select(*keys, *columns)))
+        assert sorted(rows(folded.tally(*keys).select(*keys, *columns))) == expected
+    assert rows(summaries.final_counts(folded)) == rows(summaries.final_counts(star))
+    assert rows(summaries.analysis_summary(folded, "d", "ASIA", 2)) == rows(
+        summaries.analysis_summary(star, "d", "ASIA", 2)
+    )
+    with pytest.raises(ValueError, match="no family"):
+        folded.tally("region", "product_category")
+    with pytest.raises(ValueError, match="no family"):
+        folded.where("sales_channel", "x")
