@@ -1,7 +1,8 @@
 """Whole jobs: read, check, summarise, write, each with explicit paths.
 
 Every job reads its raw input once. Rows that several summaries share are staged as
-Parquet in the scratch folder, then folded once per family of keys.
+Parquet in the scratch folder, then folded once per family of keys. What a job returns
+is small or written out already, so that looking at it does not repeat the work.
 """
 
 from __future__ import annotations
@@ -163,7 +164,7 @@ def run_quality_job(
     rules: quality.QualityRules = quality.PAYMENT_RULES,
 ) -> DataFrame:
     """Validate a frame and write the report document under its date; returns it."""
-    document = documents.quality_document(df, execution_date, rules)
+    document = materialize(documents.quality_document(df, execution_date, rules))
     writers.write_document(document, f"{output_base.rstrip('/')}/{execution_date}")
     return document
 
@@ -178,7 +179,7 @@ def run_ingest_job(
     target = f"{output_base.rstrip('/')}/{execution_date}"
     writers.write_csv(made.drop("id"), target)
     written = readers.read_csv(spark, target, schemas.PAYMENTS)
-    return documents.ingest_document(written, execution_date, target)
+    return materialize(documents.ingest_document(written, execution_date, target))
 
 
 def run_analysis_job(
@@ -195,7 +196,12 @@ def run_analysis_job(
     ).select(*schemas.DEMO_SALES.fieldNames())
     readers.read_or_create(spark, input_path, schemas.DEMO_SALES, example)
     rows = readers.read_dated_csv(spark, input_path, schemas.DEMO_SALES, "date")
-    sales = FlatSales(materialize(rows), amount="sales_amount")
+    sales = fold(
+        FlatSales(materialize(rows), amount="sales_amount"),
+        ("customer_id", "region"),
+        ("product", "region"),
+        ("date", "region"),
+    )
     summary = summaries.analysis_summary(sales, analysis_date, region)
     results = {
         "analysis_summary": summary,
@@ -211,7 +217,7 @@ def run_analysis_job(
 def run_metrics_job(df: DataFrame, output_base: str, execution_date: str) -> DataFrame:
     """Profile metrics: description, per-category figures, distribution and summary CSVs."""
     base = output_base.rstrip("/")
-    summary = profiling.summary_metrics(df, execution_date)
+    summary = materialize(profiling.summary_metrics(df, execution_date))
     results = {
         "describe": profiling.describe(df, ["value", "score"]),
         "category_stats": profiling.category_stats(df),

@@ -6,6 +6,7 @@ from conftest import one, rows
 from pyspark.sql import functions as F
 
 from ledgerline import schemas
+from ledgerline.__main__ import arguments, main
 from ledgerline.operators import summaries
 from ledgerline.plans import jobs
 from ledgerline.sources import generators
@@ -171,3 +172,15 @@ def test_metrics_job(spark, tmp_path):
     assert {p.name for p in tmp_path.iterdir()} == {
         "describe", "category_stats", "box_stats", "histogram", "value_counts", "summary_metrics",
     }
+
+
+def test_command_line(spark, tmp_path, capsys):
+    out = str(tmp_path / "payments")
+    main(["ingest", out, DAY])
+    main(["quality", f"{out}/{DAY}", str(tmp_path / "reports"), DAY])
+    assert document(tmp_path / "reports" / DAY)["total_records"] == 10000
+    assert "overall_status" in capsys.readouterr().out
+    args = arguments().parse_args(["analysis", "in", "out", DAY, "--region", "North"])
+    assert (args.job, args.region) == ("analysis", "North")
+    with pytest.raises(SystemExit):
+        arguments().parse_args(["sales", "in"])
