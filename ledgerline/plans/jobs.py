@@ -8,6 +8,7 @@ is small or written out already, so that looking at it does not repeat the work.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,12 +30,17 @@ SALES_OUTPUTS = {
 }
 
 
+def _guard(raw: DataFrame, base: str, folders: Iterable[str]) -> None:
+    """Refuse outputs that would replace the job's own input."""
+    for folder in folders:
+        writers.check_target(raw, f"{base}/{folder}")
+
+
 def run_sales_job(spark: SparkSession, input_path: str, output_base: str) -> DataFrame:
     """JSON sales in, four Parquet summaries out; returns the final counts."""
     base = output_base.rstrip("/")
     raw = readers.read_json(spark, input_path, schemas.SALES)
-    for folder in SALES_OUTPUTS.values():
-        writers.check_target(raw, f"{base}/{folder}")
+    _guard(raw, base, SALES_OUTPUTS.values())
     rows = materialize(readers.require_rows(raw, input_path))
     sales = fold(
         rows, ("customer_id", "region"), ("product_id", "product_category"), ("transaction_date",)
@@ -74,28 +80,43 @@ def run_clean_job(
     return profiling.frame_summary(cleaned)
 
 
+# The output folders of the daily job.
+DAILY_OUTPUTS = ["sales-by-region", "sales-by-category", "daily-sales", "summary"]
+
+
 def run_daily_job(
     spark: SparkSession, input_folder: str, output_base: str, run_date: str
 ) -> DataFrame:
     """One run date's CSV in; region, category, daily and summary CSVs out under the date."""
     base = output_base.rstrip("/")
     path = readers.run_file(input_folder, run_date, "csv")
-    rows = materialize(readers.read_csv(spark, path, schemas.SALES))
+    raw = readers.read_csv(spark, path, schemas.SALES)
+    _guard(raw, base, DAILY_OUTPUTS)
     sales = fold(
-        rows, ("customer_id", "region"), ("product_id", "product_category"), ("transaction_date",)
+        materialize(raw),
+        ("customer_id", "region"),
+        ("product_id", "product_category"),
+        ("transaction_date",),
     )
     summary = summaries.processing_summary(sales, run_date)
-    results = {
-        "sales-by-region": summaries.region_sales(sales),
-        "sales-by-category": summaries.category_sales(sales),
-        "daily-sales": summaries.daily_sales(sales),
-        "summary": summary,
-    }
-    for folder, result in results.items():
+    results = [
+        summaries.region_sales(sales),
+        summaries.category_sales(sales),
+        summaries.daily_sales(sales),
+        summary,
+    ]
+    for folder, result in zip(DAILY_OUTPUTS, results, strict=True):
         writers.write_run(result, f"{base}/{folder}", run_date)
     return summary
 
 
+# The output folders of the channel job.
+CHANNEL_OUTPUTS = [
+    "region-analysis", "category-analysis", "segment-analysis", "channel-analysis",
+    "executive-summary",
+]
+
+
 def run_channel_job(
     spark: SparkSession, input_folder: str, output_base: str, run_date: str
 ) -> DataFrame:
@@ -103,21 +124,22 @@ def run_channel_job(
     base = output_base.rstrip("/")
     path = readers.run_file(input_folder, run_date)
     raw = readers.read_json(spark, path, schemas.SALES_EXT)
+    _guard(raw, base, [f"{folder}/{run_date}" for folder in CHANNEL_OUTPUTS])
     sales = fold(
         materialize(readers.require_rows(raw, path)),
         ("customer_id", "region", "customer_segment", "sales_channel"),
         ("product_id", "product_category"),
     )
-    results = {
-        "region-analysis": ("region", summaries.region_analysis(sales)),
-        "category-analysis": ("product_category", summaries.category_analysis(sales)),
-        "segment-analysis": ("customer_segment", summaries.segment_analysis(sales)),
-        "channel-analysis": ("sales_channel", summaries.channel_analysis(sales)),
-    }
-    for folder, (key, result) in results.items():
-        writers.write_document(documents.keyed_document(result, key), f"{base}/{folder}/{run_date}")
     summary = summaries.executive_summary(sales, run_date)
-    writers.write_document(documents.row_document(summary), f"{base}/executive-summary/{run_date}")
+    results = [
+        documents.keyed_document(summaries.region_analysis(sales), "region"),
+        documents.keyed_document(summaries.category_analysis(sales), "product_category"),
+        documents.keyed_document(summaries.segment_analysis(sales), "customer_segment"),
+        documents.keyed_document(summaries.channel_analysis(sales), "sales_channel"),
+        documents.row_document(summary),
+    ]
+    for folder, document in zip(CHANNEL_OUTPUTS, results, strict=True):
+        writers.write_document(document, f"{base}/{folder}/{run_date}")
     return summary
 
 
@@ -127,9 +149,10 @@ def run_simple_job(
     """One run date's simple sales in, one summary document out; returns it."""
     path = readers.run_file(input_folder, run_date)
     raw = readers.read_json(spark, path, schemas.SIMPLE_SALES)
+    target = f"{output_base.rstrip('/')}/simple-summary/{run_date}"
+    writers.check_target(raw, target)
     rows = materialize(readers.require_rows(raw, path))
     document = documents.simple_document(FlatSales(rows, amount="amount"), run_date)
-    target = f"{output_base.rstrip('/')}/simple-summary/{run_date}"
     writers.write_document(document, target)
     return document
 
@@ -147,13 +170,15 @@ def run_key_summary_job(
 ) -> DataFrame:
     """One run date's categorised sales in; JSON lines per key out. The three summaries
     come from one pass over the input and are split by folder when written."""
+    base = output_base.rstrip("/")
     path = readers.run_file(input_folder, run_date)
     raw = readers.read_json(spark, path, schemas.SIMPLE_SALES_CAT)
+    _guard(raw, base, [f"{name}/{run_date}" for name in KEY_OUTPUTS])
     readers.require_rows(raw, path)
     summary = materialize(summaries.grouped_key_summaries(raw, KEY_OUTPUTS))
     for name in KEY_OUTPUTS:
         part = summary.filter(F.col("summary") == name).drop("summary")
-        writers.write_json(part, f"{output_base.rstrip('/')}/{name}/{run_date}")
+        writers.write_json(part, f"{base}/{name}/{run_date}")
     return summary
 
 
@@ -164,8 +189,10 @@ def run_quality_job(
     rules: quality.QualityRules = quality.PAYMENT_RULES,
 ) -> DataFrame:
     """Validate a frame and write the report document under its date; returns it."""
+    target = f"{output_base.rstrip('/')}/{execution_date}"
+    writers.check_target(df, target)
     document = materialize(documents.quality_document(df, execution_date, rules))
-    writers.write_document(document, f"{output_base.rstrip('/')}/{execution_date}")
+    writers.write_document(document, target)
     return document
 
 
@@ -196,6 +223,8 @@ def run_analysis_job(
     ).select(*schemas.DEMO_SALES.fieldNames())
     readers.read_or_create(spark, input_path, schemas.DEMO_SALES, example)
     rows = readers.read_dated_csv(spark, input_path, schemas.DEMO_SALES, "date")
+    outputs = ["analysis_summary", "regional_analysis", "product_analysis", "daily_trend"]
+    _guard(rows, base, outputs)
     sales = fold(
         FlatSales(materialize(rows), amount="sales_amount"),
         ("customer_id", "region"),
@@ -203,13 +232,13 @@ def run_analysis_job(
         ("date", "region"),
     )
     summary = summaries.analysis_summary(sales, analysis_date, region)
-    results = {
-        "analysis_summary": summary,
-        "regional_analysis": summaries.regional_analysis(sales, region),
-        "product_analysis": summaries.product_analysis(sales, region, "product"),
-        "daily_trend": summaries.daily_trend(sales, region, "date"),
-    }
-    for folder, result in results.items():
+    results = [
+        summary,
+        summaries.regional_analysis(sales, region),
+        summaries.product_analysis(sales, region, "product"),
+        summaries.daily_trend(sales, region, "date"),
+    ]
+    for folder, result in zip(outputs, results, strict=True):
         writers.write_run(result, f"{base}/{folder}", analysis_date, column="run_date")
     return summary
 

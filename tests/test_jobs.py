@@ -48,6 +48,17 @@ def test_sales_job_refuses_to_overwrite_its_input(spark, tmp_path):
         jobs.run_sales_job(spark, inside, str(tmp_path))
 
 
+def test_dated_jobs_refuse_to_overwrite_their_input(spark, tmp_path):
+    inside = tmp_path / "daily-sales"
+    one_file(generators.random_sales(spark.range(5)), inside / f"sales_{DAY}.csv", "csv")
+    with pytest.raises(ValueError, match="input file"):
+        jobs.run_daily_job(spark, str(inside), str(tmp_path), DAY)
+    inside = tmp_path / "regional-summary" / DAY
+    one_file(generators.simple_sales_cat(spark.range(5), DAY), inside / f"sales_{DAY}.json")
+    with pytest.raises(ValueError, match="input file"):
+        jobs.run_key_summary_job(spark, str(inside), str(tmp_path), DAY)
+
+
 def test_clean_job(spark, tmp_path):
     source = tmp_path / "in.csv"
     source.write_text("name,n,x\na,1,1.5\n,,\nb,,2.5\n,3,\n")
