@@ -15,7 +15,9 @@ COUNTS = ("rows", "transactions", "amounts", "unit_rows")
 SUMS = ("revenue", "units")
 
 
-def tally(df: DataFrame, keys: list[str], transaction: str, amount: str, quantity: str) -> DataFrame:
+def tally(
+    df: DataFrame, keys: list[str], transaction: str, amount: str, quantity: str
+) -> DataFrame:
     """Fold raw rows into measures. The three SQL expressions are what counts as a
     transaction (null is not one), the money value and the number of items."""
     measures = [

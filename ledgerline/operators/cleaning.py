@@ -105,7 +105,9 @@ def preview(df: DataFrame, n: int = 5) -> DataFrame:
     return df.limit(n)
 
 
-def scatter_points(df: DataFrame, x: str, y: str, fraction: float = 1.0, seed: int = 42) -> DataFrame:
+def scatter_points(
+    df: DataFrame, x: str, y: str, fraction: float = 1.0, seed: int = 42
+) -> DataFrame:
     """The two columns of a scatter plot; a fraction below 1 samples the rows."""
     points = nan_to_null(df.select(x, y))
     return points if fraction >= 1.0 else points.sample(fraction, seed)

@@ -182,7 +182,29 @@ IMPUTED = """select
   {1} as event_type,
   coalesce(value, (select quantile_disc(value, 0.5) from {0})) as value from {0}"""
 
+GROUPING_SETS = f"""with {GEN_SIMPLE_CAT}
+select case when grouping(region) = 0 then 'region' when grouping(category) = 0 then 'category'
+    else 'customer' end as summary,
+  case when grouping(region) = 0 then region when grouping(category) = 0 then category
+    else customer_id end as "key",
+  round(sum(amount), 4) as total_amount, count(*) as "count",
+  round(sum(amount) / count(*), 4) as average_amount
+  from gen group by grouping sets ((region), (category), (customer_id))"""
+
 ORACLE: dict[str, str] = {
+    "scatter_points": f"with {METRICS}\nselect value, score from metrics",
+    "add_lineage": """select event_id, value, '2024-01-01 00:00:00' as processing_timestamp,
+  '2024-01-01' as processing_date from events""",
+    "incremental_key_summary": GROUPING_SETS,
+    "range_violations": f"""with {DENSE}
+select * from faulty where amount < 0 or amount > 10000""",
+    "disallowed_rows": f"""with {DENSE}
+select * from faulty where category is null or category not in {_in(EVENT_TYPES)}""",
+    "dq_report": f"""with {SPARSE}, {TESTS}
+select '{RUN_DATE}' as execution_date, tests.n as total_records,
+  case when passed = 4 then 'PASSED' else 'FAILED' end as overall_status,
+  passed as passed_tests, m3 as missing_amounts, d as unique_records
+  from tests, counted, distincts""",
     "daily_slice": _sales(
         f"""select transaction_id, customer_id, product_id, quantity, unit_price,
   transaction_date, region, product_category, total_amount
@@ -343,14 +365,7 @@ select event_id, user_id, coalesce(event_type, 'Unknown') as event_type, value f
   union all select 'category', * from ({_key_summary("product_category")})
   union all select 'customer', * from ({_key_summary("customer_id")})"""
     ),
-    "key_summary_grouping_sets": f"""with {GEN_SIMPLE_CAT}
-select case when grouping(region) = 0 then 'region' when grouping(category) = 0 then 'category'
-    else 'customer' end as summary,
-  case when grouping(region) = 0 then region when grouping(category) = 0 then category
-    else customer_id end as "key",
-  round(sum(amount), 4) as total_amount, count(*) as "count",
-  round(sum(amount) / count(*), 4) as average_amount
-  from gen group by grouping sets ((region), (category), (customer_id))""",
+    "key_summary_grouping_sets": GROUPING_SETS,
     "category_stats": f"""with {METRICS}
 select category, round(avg(value), 4) as value_mean, round(stddev_samp(value), 4) as value_std,
   count(value) as value_count, round(avg(score), 4) as score_mean,

@@ -7,6 +7,7 @@ none. Generated rows take their ids from a table, so that their number follows i
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -21,6 +22,7 @@ from ledgerline.sinks import documents, verify
 from ledgerline.sources import files, generators, readers
 from ledgerline.sources.readers import read_star_table
 from ledgerline.sources.sales import FlatSales, StarSales
+from ledgerline.streaming import runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -145,6 +147,34 @@ def json_document(spark: SparkSession, folder: str) -> DataFrame:
     return documents.read_keyed_document(document, "region", fields)
 
 
+def incremental_key_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Generated sales that land as JSON files, folded by the stream and merged over dates."""
+    base = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    landing, partials, progress = f"{base}/landing", f"{base}/partials", f"{base}/progress"
+    _simple_cat_rows(spark, folder).write.json(landing)
+    runs.collect_key_summaries(
+        spark, landing, partials, progress, schemas.SIMPLE_SALES_CAT, SIMPLE_KEYS
+    )
+    return runs.merged_key_summaries(spark.read.parquet(partials), [], 4)
+
+
+def quality_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Some fields of the validation report, read back from its JSON."""
+    report = documents.quality_document(_sparse(spark, folder), RUN_DATE, EVENT_RULES)
+
+    def field(path: str, kind: str) -> Column:
+        return F.get_json_object("value", f"$.{path}").cast(kind)
+
+    return report.select(
+        field("execution_date", "string").alias("execution_date"),
+        field("total_records", "bigint").alias("total_records"),
+        field("overall_status", "string").alias("overall_status"),
+        field("tests_summary.passed_tests", "int").alias("passed_tests"),
+        field("tests.completeness.missing_data.amount", "bigint").alias("missing_amounts"),
+        field("tests.uniqueness.unique_records", "bigint").alias("unique_records"),
+    )
+
+
 def _profile(df: DataFrame, bad: Column) -> DataFrame:
     """Rows, and rows that leave the promised ranges."""
     return df.agg(
@@ -287,6 +317,15 @@ QUERIES: dict[str, Query] = {
         .rows("transaction_id", "customer_id", "region", "transaction_date", "total_amount"),
         "transaction_date",
     ),
+    "scatter_points": _on(metrics, cleaning.scatter_points, "value", "score"),
+    "add_lineage": lambda s, d: cleaning.add_lineage(
+        read_star_table(s, d, "events").select("event_id", "value"), dt.datetime(2024, 1, 1)
+    ).select(
+        "event_id",
+        "value",
+        F.date_format("processing_timestamp", "yyyy-MM-dd HH:mm:ss").alias("processing_timestamp"),
+        F.col("processing_date").cast("string").alias("processing_date"),
+    ),
     "drop_all_null": _on(gappy, cleaning.drop_all_null),
     "impute_median": _on(gappy, cleaning.impute_median, 0.0),
     "fill_unknown": _on(gappy, cleaning.fill_unknown),
@@ -329,13 +368,16 @@ QUERIES: dict[str, Query] = {
     "key_summary_grouping_sets": _on(
         _simple_cat_rows, summaries.grouped_key_summaries, SIMPLE_KEYS, digits=4
     ),
+    "incremental_key_summary": incremental_key_summary,
     # Metrics
     "category_stats": _on(metrics, profiling.category_stats, digits=4),
     "summary_metrics": _on(metrics, profiling.summary_metrics, RUN_DATE, digits=4),
     "describe": _on(line_numbers, profiling.describe, digits=4),
     "overall_metrics": _on(metrics, profiling.overall_metrics, digits=4),
     "histogram": lambda s, d: profiling.histogram(metrics(s, d), "value").select(
-        "bin", F.round("bin_start", 4).alias("bin_start"), F.round("bin_end", 4).alias("bin_end"),
+        "bin",
+        F.round("bin_start", 4).alias("bin_start"),
+        F.round("bin_end", 4).alias("bin_end"),
         "count",
     ),
     "box_stats": _on(metrics, profiling.box_stats, "value", "category", digits=4),
@@ -354,6 +396,13 @@ QUERIES: dict[str, Query] = {
     "dq_validity": _on(_sparse, quality.validity, EVENT_RULES),
     "dq_consistency": _on(_sparse, quality.consistency, EVENT_RULES),
     "dq_bad_values": _on(_sparse, quality.bad_values, EVENT_RULES),
+    "range_violations": lambda s, d: _timed(
+        quality.range_violations(_dense(s, d), "amount", EVENT_RULES.ranges["amount"])
+    ),
+    "disallowed_rows": lambda s, d: _timed(
+        quality.disallowed_rows(_dense(s, d), "category", EVENT_TYPES)
+    ),
+    "dq_report": quality_report,
     "dq_overall": _on(_sparse, quality.overall, EVENT_RULES),
     "dq_overall_sound": _on(_sound, quality.overall, EVENT_RULES),
     # Order, sets
