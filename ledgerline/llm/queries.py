@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerline.llm import packing, simple8b, token_counts
+from ledgerline.llm import line_dedup, mixing, packing, simhash, simple8b, token_counts
 from ledgerline.llm.common import public_tokenizer, table
 
 
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return line_dedup.dedup_lines(docs.select("doc_id", "text"))
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     pieces = packing.pack(docs, public_tokenizer("word_bpe_49k.json"), end_id=1)
@@ -21,15 +27,35 @@ def op6_simple8b(spark: SparkSession, folder: str) -> DataFrame:
     return simple8b.round_trip(docs, public_tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    mixed = mixing.mix(docs, F.array("source"))
+    sources = spark.createDataFrame(
+        [(s, size, mixed.targets[s]) for s, size in mixed.sizes.items()],
+        "of string, source_size bigint, target double",
+    )
+    return mixed.rows.join(sources, F.col("source").eqNullSafe(F.col("of")), "left").select(
+        "doc_id", "size", "source_size", "target",
+        (F.col("size") * F.col("repeats")).alias("taken"), "source", "repeats",
+    )
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return token_counts.token_counts(docs, public_tokenizer("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
     "op6_simple8b": op6_simple8b,
+    "op7_simhash": op7_simhash,
+    "op8_mixing": op8_mixing,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_line_dedup": line_dedup.SQL}
