@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import line_dedup, mixing, packing, simhash, simple8b, token_counts
+from ledgerline.llm import line_dedup, mixing, packing, simhash, simple8b, syncmers, token_counts
 from ledgerline.llm.common import public_tokenizer, table
 
 
+def op1_syncmers(spark: SparkSession, folder: str) -> DataFrame:
+    return syncmers.edited_copies(table(spark, folder, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return line_dedup.dedup_lines(docs.select("doc_id", "text"))
@@ -50,6 +54,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_syncmers": op1_syncmers,
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
     "op6_simple8b": op6_simple8b,
