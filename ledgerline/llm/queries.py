@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import line_dedup, mixing, packing, simhash, simple8b, syncmers, token_counts
+from ledgerline.llm import line_dedup, mixing, packing, simhash, simple8b, syncmers, token_counts, top_k
 from ledgerline.llm.common import public_tokenizer, table
 
 
@@ -15,6 +15,11 @@ def op1_syncmers(spark: SparkSession, folder: str) -> DataFrame:
     return syncmers.edited_copies(table(spark, folder, "documents"))
 
 
+def op2_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return top_k.top_k(rows, F.col("vec_id") % 20 == 0)
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return line_dedup.dedup_lines(docs.select("doc_id", "text"))
@@ -55,6 +60,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_syncmers": op1_syncmers,
+    "op2_top_k": op2_top_k,
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
     "op6_simple8b": op6_simple8b,
@@ -63,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE: dict[str, str] = {"op4_line_dedup": line_dedup.SQL}
+ORACLE: dict[str, str] = {"op2_top_k": top_k.SQL, "op4_line_dedup": line_dedup.SQL}
