@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import line_dedup, mixing, packing, simhash, simple8b, syncmers, token_counts, top_k
+from ledgerline.llm import (
+    line_dedup,
+    mixing,
+    packing,
+    simhash,
+    simple8b,
+    syncmers,
+    token_counts,
+    top_k,
+    toxicity,
+)
 from ledgerline.llm.common import public_tokenizer, table
 
 
@@ -20,6 +30,10 @@ def op2_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return top_k.top_k(rows, F.col("vec_id") % 20 == 0)
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return line_dedup.dedup_lines(docs.select("doc_id", "text"))
@@ -61,6 +75,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_syncmers": op1_syncmers,
     "op2_top_k": op2_top_k,
+    "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_packing": op5_packing,
     "op6_simple8b": op6_simple8b,
