@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import (
     line_dedup,
+    lm,
     mixing,
     packing,
     simhash,
@@ -67,6 +68,10 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(table(spark, folder, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return token_counts.token_counts(docs, public_tokenizer("piece_bpe_32k.model"))
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simple8b": op6_simple8b,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
+    "op9_lm": op9_lm,
     "op10_token_counts": op10_token_counts,
 }
 
