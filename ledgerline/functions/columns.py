@@ -18,9 +18,14 @@ def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, StringType)]
 
 
+def named(name: str) -> Column:
+    """The top-level column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def present(df: DataFrame, name: str) -> Column:
     """The column with NaN read as missing; other types pass through unchanged."""
-    column = F.col(name)
+    column = named(name)
     if isinstance(df.schema[name].dataType, (DoubleType, FloatType)):
         return F.when(~F.isnan(column), column)
     return column

@@ -1,11 +1,12 @@
 """Exact quantiles that never gather a group in one task.
 
-Every value gets an order-preserving 53-bit code. A round counts rows per group and
-leading bits of the code (combined on the map side, at most 2**16 counters per group)
-and finds the counter that holds the wanted rank. A counter whose least and greatest
-value are equal is the answer; the others keep only their rows for the next round. A
-wanted rank therefore costs a few narrow scans and no shuffle of the values. Once the
-rows left are few, or the code is used up, their distinct values are ranked directly.
+A first round counts rows per group and leading bits of an order-preserving code, combined on
+the map side (at most 2**16 counters a group), and finds the counter that holds each wanted
+rank. A counter whose least and greatest value are equal is the answer. The others are split
+evenly between their own least and greatest value, as often as it takes: the two ends always
+fall into counters of their own, so every round narrows, whatever the scale of the values.
+A wanted rank costs a few narrow scans and no shuffle of the values. Values keep their type;
+doubles only choose the counter.
 """
 
 from __future__ import annotations
@@ -15,26 +16,36 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType, DoubleType, FloatType
 
-from ledgerline.functions.columns import present
+from ledgerline.functions.columns import named, present
 from ledgerline.session import materialize
 
-CODE_BITS = 53
-ROUND_SHIFTS = (37, 21, 0)
-FEW_ROWS = 1_000_000
-# A state row is a few dozen bytes, so this many are safe to broadcast; beyond it the
-# planner chooses by the size of the written state.
-BROADCAST_ROWS = 100_000
-
-
+PARTS = 1 << 16
 STATE = ["group", "rank", "total", "prefix", "below", "inside", "least", "most"]
 
 
 def order_code(value: Column) -> Column:
-    """A bigint that never decreases as the double grows; close values may share one."""
-    magnitude = F.signum(value) * F.log1p(F.abs(value)) / math.log(2.0)
+    """A number below 2**16 that never decreases as the value grows; close values share one."""
+    number = value.cast("double")
+    magnitude = F.signum(number) * F.log1p(F.abs(number)) / math.log(2.0)
     clamped = F.greatest(F.least(magnitude, F.lit(1024.0)), F.lit(-1024.0))
-    return F.floor((clamped + 1024.0) * 2.0 ** (CODE_BITS - 11)).cast("bigint")
+    return F.floor((clamped + 1024.0) * (PARTS / 2049)).cast("int")
+
+
+def split_code(value: Column, least: Column, most: Column, kind: DataType) -> Column:
+    """The same between two values: 0 for the least alone, PARTS for the greatest alone."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        # Halves, so that no difference overflows.
+        part, whole = value / 2 - least / 2, most / 2 - least / 2
+    else:
+        exact = kind if isinstance(kind, DecimalType) else DecimalType(38, 0)
+        part, whole = (x.cast(exact) - least.cast(exact) for x in (value, most))
+    share = F.try_divide(part.cast("double"), whole.cast("double"))
+    # Without a share, next to an infinite end, everything between the ends stays together.
+    share = F.when(share.between(0.0, 1.0), share).otherwise(0.0)
+    inner = F.least(F.floor(share * (PARTS - 1)) + 1, F.lit(PARTS - 1)).cast("int")
+    return F.when(value == least, 0).when(value == most, PARTS).otherwise(inner)
 
 
 def _ranks(total: Column, probabilities: Sequence[float], interpolate: bool) -> Column:
@@ -69,71 +80,55 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per key combination with a column per named probability.
 
-    Nulls and NaN are skipped. With interpolate the result lies between the two nearest
-    values (the usual linear rule); without, it is the lowest value whose share of the
-    rows reaches the probability. A group without values gets no row.
+    Nulls and NaN are skipped. With interpolate the result is a double between the two
+    nearest values (the usual linear rule); without, it is the lowest value whose share of
+    the rows reaches the probability, in the column's type. A group without values gets no
+    row. Runs a job per round when called.
     """
-    group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    kind = df.schema[column].dataType
+    group = F.struct(*[named(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
     values = (
-        df.select(group.alias("group"), present(df, column).cast("double").alias("value"))
+        df.select(group.alias("group"), present(df, column).alias("value"))
         .filter(F.col("value").isNotNull())
-        .withColumn("code", order_code(F.col("value")))
+        .withColumn("prefix", order_code(F.col("value")))
     )
-
-    def counted(rows: DataFrame, keys: list[str], shift: int) -> DataFrame:
-        return rows.groupBy(*keys, F.shiftright("code", shift).alias("prefix")).agg(
-            F.count(F.lit(1)).alias("inside"),
-            F.min("value").alias("least"),
-            F.max("value").alias("most"),
-        )
-
+    counters = [
+        F.count(F.lit(1)).alias("inside"),
+        F.min("value").alias("least"),
+        F.max("value").alias("most"),
+    ]
     by_group = Window.partitionBy("group")
     first = (
-        counted(values, ["group"], ROUND_SHIFTS[0])
+        values.groupBy("group", "prefix")
+        .agg(*counters)
         .withColumn("total", F.sum("inside").over(by_group))
-        .withColumn("before", F.sum("inside").over(by_group.orderBy("prefix")) - F.col("inside"))
+        .withColumn("below", F.sum("inside").over(by_group.orderBy("prefix")) - F.col("inside"))
         .withColumn("ranks", _ranks(F.col("total"), list(probabilities.values()), interpolate))
         .withColumn("rank", F.explode("ranks"))
         .filter(
-            (F.col("before") <= F.col("rank"))
-            & (F.col("rank") < F.col("before") + F.col("inside"))
+            (F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("inside"))
         )
-        .withColumnRenamed("before", "below")
         .select(*STATE)
     )
     state = materialize(first)
     open_ = F.col("least") < F.col("most")
-    target = ["group", "rank", "total", "below"]
-
-    def survivors(shift: int, few: bool) -> DataFrame:
-        holders = state.filter(open_).select(*target, "prefix")
-        coded = values.withColumn("prefix", F.shiftright("code", shift))
-        joined = coded.join(F.broadcast(holders) if few else holders, ["group", "prefix"])
-        return joined.drop("prefix")
-
-    shift, rounds = ROUND_SHIFTS[0], list(ROUND_SHIFTS[1:])
-    while True:
-        unsettled = state.filter(open_).agg(F.count(F.lit(1)), F.max("inside")).first()
-        few = unsettled[0] <= BROADCAST_ROWS
-        if not unsettled[0] or unsettled[1] <= FEW_ROWS or not rounds:
-            break
-        next_shift = rounds.pop(0)
-        counts = counted(survivors(shift, few), target, next_shift)
-        narrowed = _holding(counts, ["group", "rank"], "prefix").select(*STATE)
+    while not state.filter(open_).isEmpty():
+        holders = state.filter(open_).select("group", "rank", "total", "prefix", "below", "least", "most")
+        inside = values.join(holders, ["group", "prefix"]).filter(
+            F.col("value").between(F.col("least"), F.col("most"))
+        )
+        part = split_code(F.col("value"), F.col("least"), F.col("most"), kind)
+        target = ["group", "rank", "total", "prefix", "below"]
+        counts = inside.groupBy(*target, part.alias("part")).agg(*counters)
+        narrowed = _holding(counts, ["group", "rank"], "part").select(*STATE)
         state = materialize(narrowed.unionByName(state.filter(~open_)))
-        shift = next_shift
 
-    found = state.filter(~open_).select("group", "rank", "total", F.col("least").alias("value"))
-    if unsettled[0]:
-        distinct = survivors(shift, few).groupBy(*target, "value").agg(
-            F.count(F.lit(1)).alias("inside")
-        )
-        ranked = _holding(distinct, ["group", "rank"], "value")
-        found = found.unionByName(ranked.select("group", "rank", "total", "value"))
     # At most two ranks per probability, so the map has a fixed bound.
-    at = found.groupBy("group").agg(
+    at = state.groupBy("group").agg(
         F.max("total").alias("total"),
-        F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"),
+        F.map_from_entries(
+            F.collect_list(F.struct("rank", F.col("least").alias("value")))
+        ).alias("at"),
     )
 
     def value_at(rank: Column) -> Column:
@@ -143,10 +138,12 @@ def exact_quantiles(
         if not interpolate:
             return value_at(F.greatest(F.ceil(F.lit(p) * F.col("total")) - 1, F.lit(0)))
         position = F.lit(p) * (F.col("total") - 1)
-        lower, upper = value_at(F.floor(position)), value_at(F.ceil(position))
-        return lower + (upper - lower) * (position - F.floor(position))
+        lower, upper = (value_at(f(position)).cast("double") for f in (F.floor, F.ceil))
+        # Equal neighbours are the answer themselves, infinite ones included.
+        between = lower + (upper - lower) * (position - F.floor(position))
+        return F.when(lower == upper, lower).otherwise(between)
 
     return at.select(
-        *[F.col(f"group.{k}").alias(k) for k in keys],
+        *[F.col("group").getField(k).alias(k) for k in keys],
         *[quantile(p).alias(name) for name, p in probabilities.items()],
     )

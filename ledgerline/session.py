@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
-# Engine settings that every job wants; anything the cluster sets wins.
+# Settings for what the cluster's own configuration leaves open.
 ENGINE_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -50,24 +51,30 @@ def build_session(
     conf: Mapping[str, str] | None = None,
     env: Mapping[str, str] | None = None,
 ) -> SparkSession:
-    """A session with the engine defaults, object-store access and the caller's settings."""
+    """A session with object-store access, the caller's settings and, where neither these
+    nor the cluster say anything, the engine defaults."""
+    given = {**object_store_conf(env), **(conf or {})}
+    configured = SparkConf()  # what the cluster or the command line set
+    active = SparkSession.getActiveSession()
+    for key, value in ENGINE_DEFAULTS.items():
+        known = active is not None and active.sparkContext.getConf().contains(key)
+        if not known and not configured.contains(key):
+            given.setdefault(key, value)
     builder = SparkSession.builder.appName(app_name)
-    for key, value in {**ENGINE_DEFAULTS, **object_store_conf(env), **(conf or {})}.items():
+    for key, value in given.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: the session's checkpoint directory."""
+    """The shared folder for intermediate tables: the session's checkpoint directory, or a
+    folder in its warehouse where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-"))
-    return context.getCheckpointDir()
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+
+
+# Folders written inside the open scopes, the innermost last.
+_scopes: list[list[str]] = []
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -78,4 +85,18 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete what is materialized inside when it ends; results must be written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
