@@ -22,6 +22,7 @@ def layout(**fields: DataType) -> StructType:
     return StructType([StructField(name, kind, True) for name, kind in fields.items()])
 
 
+# The names, order and types of the record layouts below.
 SALES = layout(
     transaction_id=TEXT,
     customer_id=TEXT,

@@ -1,101 +1,25 @@
-"""Nested JSON documents built from flat results, as one-row frames with a `value` column."""
+"""Nested JSON documents with a fixed set of keys, as one-row frames with a `value` column.
+
+A report with a row per key is written as JSON lines instead (writers.write_json), one
+object per key from as many tasks as there are.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.columns import present
-from ledgerline.operators.profiling import ingest_metadata
 from ledgerline.operators.quality import (
     PAYMENT_RULES,
     TESTS,
     QualityRules,
     tested,
 )
-from ledgerline.operators.summaries import (
-    Data,
-    region_breakdown,
-    simple_totals,
-    top5_customers,
-)
-from ledgerline.sources.sales import fold
-
-# One document is one string in one task, so its number of keys needs a bound. Summaries
-# with more keys belong in JSON lines, one object per key: writers.write_json.
-MAX_KEYS = 100_000
-
-
-def _as_map(df: DataFrame, key: str, value: Column, max_keys: int) -> DataFrame:
-    """One row with the map key -> value, sorted by key; raises beyond max_keys."""
-    entry = F.struct(F.coalesce(F.col(key).cast("string"), F.lit("null")), value)
-    entries = df.select(entry.alias("entry")).limit(max_keys + 1)
-    collected = F.array_sort(F.collect_list("entry"))
-    too_many = F.raise_error(F.lit(f"more than {max_keys} keys for one document; write JSON lines instead"))
-    checked = F.when(F.size("entries") <= max_keys, F.col("entries")).otherwise(too_many)
-    return entries.agg(collected.alias("entries")).select(
-        F.map_from_entries(checked).alias("by_key")
-    )
-
-
-def keyed_document(df: DataFrame, key: str, max_keys: int = MAX_KEYS) -> DataFrame:
-    """{key: {other columns}} for a summary with one row per key."""
-    others = F.struct(*[c for c in df.columns if c != key])
-    by_key = _as_map(df, key, others, max_keys)
-    return by_key.select(F.to_json("by_key").alias("value"))
-
-
-def read_keyed_document(document: DataFrame, key: str, fields: str) -> DataFrame:
-    """The rows a keyed document was made of; `fields` is the DDL of its other columns."""
-    parsed = F.from_json("value", f"map<string, struct<{fields}>>")
-    return document.select(F.explode(parsed).alias(key, "fields")).select(key, "fields.*")
-
 
 def row_document(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("value"))
 
 
-def simple_document(data: Data, processing_date: str, max_keys: int = MAX_KEYS) -> DataFrame:
-    sales = fold(data, ("customer_id", "region"))
-    amount = F.col("total_amount")
-    regions = _as_map(region_breakdown(sales), "region", amount, max_keys)
-    customers = _as_map(top5_customers(sales), "customer_id", amount, max_keys)
-    return row_document(
-        simple_totals(sales, processing_date).select(
-            "*",
-            regions.scalar().alias("region_breakdown"),
-            customers.scalar().alias("top_customers"),
-        )
-    )
-
-
-def ingest_document(
-    df: DataFrame,
-    execution_date: str,
-    file_path: str,
-    missing_in: tuple[str, ...] = ("amount", "category"),
-    category: str = "category",
-    max_keys: int = MAX_KEYS,
-) -> DataFrame:
-    totals = df.agg(
-        F.count(F.lit(1)).alias("total_records"),
-        F.struct(*[F.count_if(present(df, c).isNull()).alias(c) for c in missing_in]).alias(
-            "missing_values"
-        ),
-    )
-    categories = ingest_metadata(df, missing_in, category).filter("kind = 'categories'")
-    return row_document(
-        totals.select(
-            F.lit(execution_date).alias("execution_date"),
-            "total_records",
-            F.lit(file_path).alias("file_path"),
-            "missing_values",
-            _as_map(categories, "key", F.col("value"), max_keys).scalar().alias("categories"),
-            F.current_timestamp().alias("timestamp"),
-        )
-    )
-
-
 def quality_document(
     df: DataFrame, execution_date: str, rules: QualityRules = PAYMENT_RULES
 ) -> DataFrame:
@@ -107,15 +31,15 @@ def quality_document(
     def checks(kind: str, columns) -> Column:
         details = [
             F.struct(
-                (F.col(f"{kind}.{c}") == 0).alias("passed"),
-                F.col(f"{kind}.{c}").alias("invalid_count"),
-            ).alias(c)
+                (F.col(kind).getField(c) == 0).alias("passed"),
+                F.col(kind).getField(c).alias("invalid_count"),
+            ).alias(rules.names.get(c, c))
             for c in columns
         ]
         return F.struct(*details) if details else F.lit(None).cast("string")
 
     total, distinct = F.col("copies.total_records"), F.col("copies.unique_records")
-    percentages = [share(F.col(f"missing.{c}"), F.col("rows")).alias(c) for c in df.columns]
+    percentages = [share(F.col("missing").getField(c), F.col("rows")).alias(c) for c in df.columns]
     passed = sum((F.col(t).cast("int") for t in TESTS), F.lit(0))
     tests = F.struct(
         F.struct(

@@ -3,53 +3,57 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from urllib.parse import urlparse
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.sources.files import file_inventory
 
 
-def _relative(base: str) -> Column:
-    """The part of `path` after the base folder."""
-    parsed = urlparse(base)
-    marker = parsed.netloc + parsed.path.rstrip("/") + "/"
-    start = F.locate(marker, F.col("path"))
-    return F.col("path").substr(start + len(marker), F.length("path"))
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path as listings spell it: with its scheme, from the root."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.makeQualified(place).toString().rstrip("/")
 
 
 def verify_outputs(spark: SparkSession, base: str, expected: Sequence[str]) -> DataFrame:
     """For each expected file or folder below the base: whether it exists, its number of
     files, their total size and the latest change. A missing base means nothing exists."""
-    listed = F.array(*[F.lit(e) for e in dict.fromkeys(expected)])
-    wanted = spark.range(1).select(F.explode(listed).alias("expected"))
+    names = [(e, e.strip("/")) for e in dict.fromkeys(expected)]
+    wanted = spark.createDataFrame(names, "expected string, name string")
     try:
         files = file_inventory(spark, base)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         files = spark.createDataFrame([], "path string, size bigint, last_modified timestamp")
-    files = files.withColumn("relative", _relative(base))
-
-    def matched(name: str) -> Column:
-        prefix = name.rstrip("/")
-        hit = (F.col("relative") == prefix) | F.col("relative").startswith(prefix + "/")
-        return F.when(hit, F.lit(name))
-
-    # The expected list is an argument, so its matches fit one small array per file.
-    names = F.array_compact(F.array(*[matched(e) for e in dict.fromkeys(expected)]))
+    folder = _qualified(spark, base) + "/"
+    below = files.filter(F.col("path").startswith(folder)).withColumn(
+        "steps", F.split(F.col("path").substr(F.lit(len(folder) + 1), F.length("path")), "/")
+    )
+    # A file belongs to itself and to each folder above it, up to the base.
+    held = below.select(
+        "size",
+        "last_modified",
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(1), F.size("steps")),
+                lambda n: F.array_join(F.slice("steps", 1, n), "/"),
+            )
+        ).alias("name"),
+    )
     found = (
-        files.select("size", "last_modified", F.explode(names).alias("expected"))
-        .groupBy("expected")
+        held.join(wanted.select("name").distinct(), "name", "left_semi")
+        .groupBy("name")
         .agg(
             F.count(F.lit(1)).alias("files"),
             F.sum("size").alias("total_size"),
             F.max("last_modified").alias("last_modified"),
         )
     )
-    return wanted.join(found, "expected", "left").select(
+    return wanted.join(found, "name", "left").select(
         "expected",
         F.col("files").isNotNull().alias("exists"),
         F.coalesce("files", F.lit(0).cast("bigint")).alias("files"),

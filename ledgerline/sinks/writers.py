@@ -66,7 +66,7 @@ def write_run(
     target: str,
     run_date: str,
     kind: str = "csv",
-    single_file: bool = True,
+    single_file: bool = False,
     column: str = "processing_date",
 ) -> None:
     """Write one run below `column=run_date`; other runs in the target stay."""

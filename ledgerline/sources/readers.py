@@ -7,16 +7,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerline import schemas
+from ledgerline.functions.columns import named
 from ledgerline.session import materialize
 
 CORRUPT = "_corrupt_record"
 
 
+# Other names that a column may have in a file.
+OTHER_NAMES = {"product_category": "category"}
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """CSV with a header line. Without a schema the types are inferred, which reads the
-    data twice and takes ids such as T1 for times: give a schema for large inputs."""
+    """CSV with a header line, whose names say which column is which.
+
+    With a schema its columns are found by name, in any order and among others; a value of
+    another type becomes null, a missing column raises. Without one the types are inferred,
+    which reads the data twice and takes ids such as T1 for times.
+    """
     reader = spark.read.option("header", True)
-    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+    if schema is None:
+        return reader.option("inferSchema", True).csv(path)
+    text = reader.csv(path)
+    columns = []
+    for field in schema.fields:
+        names = [field.name, OTHER_NAMES.get(field.name)]
+        found = next((n for n in names if n in text.columns), None)
+        if found is None:
+            raise ValueError(f"{path} has no column {field.name}; it has {text.columns}")
+        columns.append(named(found).try_cast(field.dataType).alias(field.name))
+    return text.select(*columns)
 
 
 def read_json(
@@ -50,11 +69,7 @@ def read_sales(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sales_csv(spark: SparkSession, path: str) -> DataFrame:
-    return (
-        read_csv(spark, path, schemas.SALES_CSV)
-        .withColumnRenamed("category", "product_category")
-        .select(*schemas.SALES.fieldNames())
-    )
+    return read_csv(spark, path, schemas.SALES)
 
 
 def read_dated_csv(
@@ -85,10 +100,21 @@ def run_file(folder: str, run_date: str, extension: str = "json", stem: str = "s
 def read_or_create(
     spark: SparkSession, path: str, schema: StructType, example: DataFrame
 ) -> DataFrame:
-    """Reuse the CSV at the path, or write the example there first."""
-    example.write.mode("ignore").option("header", True).csv(path)
+    """Reuse the CSV at the path, or write the example there first. A folder counts only
+    if the write that made it was completed; what a broken one left is replaced."""
+    if not _complete(spark, path):
+        example.write.mode("overwrite").option("header", True).csv(path)
     return read_csv(spark, path, schema)
 
 
+def _complete(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place = hadoop.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        return False
+    return store.getFileStatus(place).isFile() or store.exists(hadoop.Path(place, "_SUCCESS"))
+
+
 def read_star_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(schemas.STAR[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")

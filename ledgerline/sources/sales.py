@@ -101,20 +101,17 @@ class StarSales:
         day = self.filters.get("transaction_date")
         if day is not None:
             # A range on the stored timestamp reaches the scan; a test on its date does not.
-            # Written out, the slice has a known size: a small one is then broadcast
-            # and the lines are cut down before they are shuffled.
             first = dt.date.fromisoformat(str(day))
             orders = orders.filter(
                 f"o_orderdate >= timestamp_ntz '{first}' "
                 f"and o_orderdate < timestamp_ntz '{first + dt.timedelta(days=1)}'"
             )
-        orders = orders.selectExpr(
+        return orders.selectExpr(
             "o_orderkey as order_id",
             "o_custkey as customer_id",
             "cast(o_orderdate as date) as transaction_date",
             "o_orderpriority as sales_channel",
         )
-        return orders if day is None else materialize(orders)
 
     def _customers(self) -> DataFrame:
         nations = self._table("nation").join(
