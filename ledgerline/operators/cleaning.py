@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import (
+    named,
     nan_to_null,
     numeric_columns,
     present,
-    rounded,
     string_columns,
 )
 from ledgerline.functions.quantiles import exact_quantiles
@@ -25,36 +25,40 @@ def drop_all_null(df: DataFrame) -> DataFrame:
     return df.na.drop("all")
 
 
-def _sketched_medians(df: DataFrame, columns: list[str], rank_error: float) -> Column:
+def _sketched_medians(df: DataFrame, columns: list[str], rank_error: float) -> dict[str, Column]:
     accuracy = round(1.0 / rank_error)
     medians = [
-        F.percentile_approx(present(df, c).cast("double"), 0.5, accuracy).alias(c)
-        for c in columns
+        F.percentile_approx(present(df, c), 0.5, accuracy).alias(f"c{i}")
+        for i, c in enumerate(columns)
     ]
-    return df.agg(F.struct(*medians)).scalar()
+    found = df.agg(F.struct(*medians)).scalar()
+    return {c: found.getField(f"c{i}") for i, c in enumerate(columns)}
 
 
-def _exact_medians(df: DataFrame, columns: list[str]) -> Column:
-    long = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("name"), present(df, c).cast("double").alias("value"))
-                    for c in columns
-                ]
-            )
-        ).alias("cell")
-    ).select("cell.*")
-    found = exact_quantiles(long, "value", {"median": 0.5}, ["name"], interpolate=False)
-    medians = [F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in columns]
-    return found.agg(F.struct(*medians)).scalar()
+def _exact_medians(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """Columns of one type share a search, so that every value keeps its type."""
+    kinds: dict = {}
+    for c in columns:
+        kinds.setdefault(df.schema[c].dataType, []).append(c)
+    medians = {}
+    for same in kinds.values():
+        cells = [F.struct(F.lit(c).alias("name"), present(df, c).alias("value")) for c in same]
+        long = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+        found = exact_quantiles(long, "value", {"median": 0.5}, ["name"], interpolate=False)
+        wide = [
+            F.max(F.when(F.col("name") == c, F.col("median"))).alias(f"c{i}")
+            for i, c in enumerate(same)
+        ]
+        row = found.agg(F.struct(*wide)).scalar()
+        medians |= {c: row.getField(f"c{i}") for i, c in enumerate(same)}
+    return medians
 
 
 def impute_median(df: DataFrame, rank_error: float = 0.01) -> DataFrame:
     """Fill missing numbers (null or NaN) with the column's median, cast to its type.
 
     The median is the lowest value that at least half of the values do not exceed, within
-    rank_error of the rows; 0 asks for the exact one. All columns share one pass. A
+    rank_error of the rows; 0 asks for the exact one. Columns of one type share a pass. A
     column without any value stays as it is.
     """
     columns = numeric_columns(df)
@@ -64,16 +68,22 @@ def impute_median(df: DataFrame, rank_error: float = 0.01) -> DataFrame:
         medians = _sketched_medians(df, columns, rank_error)
     else:
         medians = _exact_medians(df, columns)
-    fill = {}
-    for c in columns:
-        kind = df.schema[c].dataType
-        fill[c] = F.coalesce(present(df, c), medians.getField(c).cast(kind))
-    return df.withColumns(fill)
+    return df.select(
+        *[
+            F.coalesce(present(df, c), medians[c]).alias(c) if c in medians else named(c)
+            for c in df.columns
+        ]
+    )
 
 
 def fill_unknown(df: DataFrame, value: str = UNKNOWN) -> DataFrame:
-    columns = string_columns(df)
-    return df.na.fill(value, subset=columns) if columns else df
+    texts = set(string_columns(df))
+    return df.select(
+        *[
+            F.coalesce(named(c), F.lit(value)).alias(c) if c in texts else named(c)
+            for c in df.columns
+        ]
+    )
 
 
 def add_lineage(df: DataFrame, run_time: dt.datetime | None = None) -> DataFrame:
@@ -97,10 +107,6 @@ def with_line_amount(df: DataFrame, name: str = "total_amount") -> DataFrame:
     return df.withColumn(name, F.round(F.col("quantity") * F.col("unit_price"), 2))
 
 
-def round_columns(df: DataFrame, *columns: str, digits: int = 2) -> DataFrame:
-    return df.withColumns({c: rounded(F.col(c), digits) for c in columns})
-
-
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
     return df.limit(n)
 

@@ -119,8 +119,11 @@ def _cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def describe(
     df: DataFrame, columns: Sequence[str] | None = None, digits: int | None = None
 ) -> DataFrame:
-    """Count, mean, std, min, quartiles (interpolated, exact) and max per numeric column."""
+    """Count, mean, std, min, quartiles (interpolated, exact) and max per numeric column. A
+    frame without numeric columns gives an empty result."""
     names = list(columns or numeric_columns(df))
+    if not names:
+        return df.limit(0)
     rows = []
     for name in names:
         c = present(df, name).cast("double")
@@ -229,8 +232,7 @@ def ingest_metadata(
     missing_in: Sequence[str] = ("amount", "category"),
     category: str = "category",
 ) -> DataFrame:
-    """Row count, missing values per column and rows per category as (kind, key, value);
-    see documents.ingest_document for the nested form."""
+    """Row count, missing values per column and rows per category as (kind, key, value)."""
     totals = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count_if(present(df, c).isNull()).alias(f"missing_{c}") for c in missing_in],

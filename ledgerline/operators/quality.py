@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.columns import present
+from ledgerline.functions.columns import named, present
 from ledgerline.operators.sets import duplicate_totals
 from ledgerline.sources.generators import PAYMENT_CATEGORIES, PAYMENT_METHODS
 
@@ -35,6 +35,8 @@ class QualityRules:
             "payment_method": PAYMENT_METHODS,
         }
     )
+    # What a report calls the check of a column, where not by the column's name.
+    names: Mapping[str, str] = field(default_factory=lambda: {"amount": "amount_range"})
 
 
 PAYMENT_RULES = QualityRules()
@@ -71,7 +73,7 @@ def _counters(df: DataFrame, rules: QualityRules) -> DataFrame:
         ).alias("out_of_range"),
         F.struct(
             F.lit(0).alias("_"),
-            *[F.count_if(not_allowed(F.col(c), v)).alias(c) for c, v in rules.allowed.items()],
+            *[F.count_if(not_allowed(named(c), v)).alias(c) for c, v in rules.allowed.items()],
         ).alias("disallowed"),
     )
 
@@ -81,7 +83,7 @@ def _percent(part: Column, whole: Column) -> Column:
 
 
 def _complete(column: str, rules: QualityRules) -> Column:
-    percent = _percent(F.col(f"missing.{column}"), F.col("rows"))
+    percent = _percent(F.col("missing").getField(column), F.col("rows"))
     return percent <= rules.max_missing * 100
 
 
@@ -93,8 +95,8 @@ def completeness(df: DataFrame, rules: QualityRules = PAYMENT_RULES) -> DataFram
     cells = [
         F.struct(
             F.lit(c).alias("column_name"),
-            F.col(f"missing.{c}").alias("missing_count"),
-            _percent(F.col(f"missing.{c}"), F.col("rows")).alias("missing_percentage"),
+            F.col("missing").getField(c).alias("missing_count"),
+            _percent(F.col("missing").getField(c), F.col("rows")).alias("missing_percentage"),
             _complete(c, rules).alias("passed"),
         )
         for c in df.columns
@@ -121,8 +123,8 @@ def _checks(df: DataFrame, rules: QualityRules, kind: str, columns: Sequence[str
     cells = [
         F.struct(
             F.lit(c).alias("column_name"),
-            F.col(f"{kind}.{c}").alias("invalid_count"),
-            (F.col(f"{kind}.{c}") == 0).alias("passed"),
+            F.col(kind).getField(c).alias("invalid_count"),
+            (F.col(kind).getField(c) == 0).alias("passed"),
         )
         for c in columns
     ]
@@ -142,7 +144,7 @@ def range_violations(df: DataFrame, column: str, bounds: Range) -> DataFrame:
 
 
 def disallowed_rows(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
-    return df.filter(not_allowed(F.col(column), values))
+    return df.filter(not_allowed(named(column), values))
 
 
 def bad_values(df: DataFrame, rules: QualityRules = PAYMENT_RULES) -> DataFrame:
@@ -150,14 +152,14 @@ def bad_values(df: DataFrame, rules: QualityRules = PAYMENT_RULES) -> DataFrame:
     cells = [
         F.struct(
             F.lit(c).alias("column_name"),
-            F.col(c).alias("value"),
-            not_allowed(F.col(c), v).alias("bad"),
+            named(c).alias("value"),
+            not_allowed(named(c), v).alias("bad"),
         )
         for c, v in rules.allowed.items()
     ]
+    bad = F.filter(F.array(*cells), lambda cell: cell["bad"])
     return (
-        df.select(F.inline(F.array(*cells)))
-        .filter("bad")
+        df.select(F.inline(bad))
         .groupBy("column_name", "value")
         .agg(F.count(F.lit(1)).alias("invalid_count"))
     )
@@ -182,8 +184,8 @@ def tested(df: DataFrame, rules: QualityRules = PAYMENT_RULES) -> DataFrame:
                 "uniqueness": _unique(
                     F.col("copies.total_records"), F.col("copies.unique_records"), rules
                 ),
-                "validity": _all([F.col(f"out_of_range.{c}") == 0 for c in rules.ranges]),
-                "consistency": _all([F.col(f"disallowed.{c}") == 0 for c in rules.allowed]),
+                "validity": _all([F.col("out_of_range").getField(c) == 0 for c in rules.ranges]),
+                "consistency": _all([F.col("disallowed").getField(c) == 0 for c in rules.allowed]),
             }
         )
     )

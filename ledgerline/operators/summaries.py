@@ -8,7 +8,6 @@ what an average divides by. "Dropped" means rows without a key are left out.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +21,7 @@ from ledgerline.functions.measures import (
     revenue_per_row,
     rounded_mean,
 )
-from ledgerline.sources.sales import Sales, as_sales, fold, key_facts
+from ledgerline.sources.sales import Sales, as_sales, key_facts
 
 Data = Sales | DataFrame
 
@@ -277,9 +276,9 @@ def simple_totals(data: Data, processing_date: str) -> DataFrame:
 
 
 def simple_summary(data: Data, processing_date: str, digits: int | None = None) -> DataFrame:
-    """The simple summary as flat rows (kind, key, value), from one pass over the sales;
-    see documents.simple_document for the nested form."""
-    sales = fold(data, ("customer_id", "region"))
+    """The simple summary as flat rows (kind, key, value). Folded sales answer all parts
+    from one small table."""
+    sales = as_sales(data)
     totals = simple_totals(sales, processing_date)
     names = [c for c in totals.columns if c != "processing_date"]
     cells = F.array(
@@ -311,16 +310,39 @@ def key_summary(data: Data, key: str, digits: int | None = None) -> DataFrame:
     )
 
 
-def key_summaries(data: Data, keys: dict[str, str], digits: int | None = None) -> DataFrame:
-    """The key summary of several columns, labelled by name, each folded on its own path."""
+def key_summaries(
+    data: Data,
+    keys: dict[str, str],
+    digits: int | None = None,
+    together: Sequence[Sequence[str]] = (),
+) -> DataFrame:
+    """The key summary of several columns, labelled by name. Columns named `together` share
+    one tally, which grouping sets divide, as those of one dimension path should; the others
+    are tallied on their own."""
     sales = as_sales(data)
-    parts = [
-        key_summary(sales, key, digits).select(F.lit(name).alias("summary"), "*")
-        for name, key in keys.items()
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
+    shared = [list(group) for group in together]
+    alone = [[c] for c in keys.values() if not any(c in group for group in shared)]
+    names = {c: name for name, c in keys.items()}
+    result = None
+    for group in [*shared, *alone]:
+        fine = sales.tally(*group)
+        value = F.coalesce(
+            *[F.when(F.grouping(c) == 0, F.col(c).cast("string")) for c in group]
+        )
+        label = F.coalesce(*[F.when(F.grouping(c) == 0, F.lit(names[c])) for c in group])
+        sums = [F.sum(c).alias(c) for c in ("rows", "amounts", "revenue")]
+        part = (
+            fine.groupingSets([[F.col(c)] for c in group], *group)
+            .agg(label.alias("summary"), value.alias("key"), *sums)
+            .select(
+                "summary",
+                "key",
+                revenue(digits).alias("total_amount"),
+                F.col("rows").alias("count"),
+                revenue_per_row(digits).alias("average_amount"),
+            )
+        )
+        result = part if result is None else result.unionByName(part)
     return result
 
 
@@ -432,7 +454,3 @@ def ranked_sales(
     measure = F.col("total_amount")
     return totals.orderBy(measure.asc() if ascending else measure.desc(), key)
 
-
-def where_equal(df: DataFrame, column: str, value: Any, everything: Any = "all") -> DataFrame:
-    """Keep rows with the value, or every row when the value says so."""
-    return df if value == everything else df.filter(F.col(column) == F.lit(value))

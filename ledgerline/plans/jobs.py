@@ -1,14 +1,16 @@
 """Whole jobs: read, check, summarise, write, each with explicit paths.
 
-Every job reads its raw input once. Rows that several summaries share are staged as
-Parquet in the scratch folder, then folded once per family of keys. What a job returns
-is small or written out already, so that looking at it does not repeat the work.
+Every job parses its raw input once. Rows that several summaries share are staged as
+Parquet in the scratch folder, then folded once per family of keys. What a job returns is
+read back from its output or held by the driver if it is one row, and what it staged is
+deleted when it ends.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+import functools
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from ledgerline import schemas
 from ledgerline.operators import cleaning, profiling, quality, summaries
-from ledgerline.session import materialize
+from ledgerline.session import materialize, scratch_scope
 from ledgerline.sinks import documents, verify, writers
 from ledgerline.sources import generators, readers
 from ledgerline.sources.sales import FlatSales, fold
@@ -36,12 +38,39 @@ def _guard(raw: DataFrame, base: str, folders: Iterable[str]) -> None:
         writers.check_target(raw, f"{base}/{folder}")
 
 
-def run_sales_job(spark: SparkSession, input_path: str, output_base: str) -> DataFrame:
-    """JSON sales in, four Parquet summaries out; returns the final counts."""
+def _held(df: DataFrame) -> DataFrame:
+    """A result of one row, held by the driver."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def _tidy(job: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The job, after which what it staged is deleted."""
+
+    @functools.wraps(job)
+    def run(first: SparkSession | DataFrame, *args, **kwargs) -> DataFrame:
+        spark = first.sparkSession if isinstance(first, DataFrame) else first
+        with scratch_scope(spark):
+            return job(first, *args, **kwargs)
+
+    return run
+
+
+@_tidy
+def run_sales_job(
+    spark: SparkSession, input_path: str, output_base: str, quarantine: str | None = None
+) -> DataFrame:
+    """JSON sales in, four Parquet summaries out; returns the final counts. With a folder
+    for quarantine, lines that do not parse go there as text and are no sales."""
     base = output_base.rstrip("/")
-    raw = readers.read_json(spark, input_path, schemas.SALES)
+    raw = readers.read_json(spark, input_path, schemas.SALES, quarantine is not None)
     _guard(raw, base, SALES_OUTPUTS.values())
-    rows = materialize(readers.require_rows(raw, input_path))
+    readers.require_rows(raw, input_path)
+    if quarantine is None:
+        rows = materialize(raw)
+    else:
+        writers.check_target(raw, quarantine)
+        rows, bad = readers.split_corrupt(raw)
+        bad.write.mode("overwrite").text(quarantine)
     sales = fold(
         rows, ("customer_id", "region"), ("product_id", "product_category"), ("transaction_date",)
     )
@@ -52,14 +81,15 @@ def run_sales_job(spark: SparkSession, input_path: str, output_base: str) -> Dat
         "metrics": summaries.daily_metrics(sales),
     }
     for name, folder in SALES_OUTPUTS.items():
-        writers.write_parquet(results[name], f"{base}/{folder}", single_file=True)
-    return summaries.final_counts(sales)
+        writers.write_parquet(results[name], f"{base}/{folder}")
+    return _held(summaries.final_counts(sales))
 
 
 def verify_sales_job(spark: SparkSession, output_base: str) -> DataFrame:
     return verify.verify_outputs(spark, output_base, list(SALES_OUTPUTS.values()))
 
 
+@_tidy
 def run_clean_job(
     spark: SparkSession,
     input_path: str,
@@ -74,16 +104,18 @@ def run_clean_job(
     raw = readers.read_csv(spark, input_path, schema)
     writers.check_target(raw, output_path)
     writers.check_target(raw, stats_path)
-    cleaned = materialize(cleaning.add_lineage(cleaning.clean(raw), run_time))
+    rows = materialize(raw)
+    cleaned = materialize(cleaning.add_lineage(cleaning.clean(rows), run_time))
     writers.write_csv(cleaned, output_path)
-    writers.write_csv(profiling.numeric_stats(cleaned), stats_path, single_file=True)
-    return profiling.frame_summary(cleaned)
+    writers.write_csv(profiling.numeric_stats(cleaned), stats_path)
+    return _held(profiling.frame_summary(cleaned))
 
 
 # The output folders of the daily job.
 DAILY_OUTPUTS = ["sales-by-region", "sales-by-category", "daily-sales", "summary"]
 
 
+@_tidy
 def run_daily_job(
     spark: SparkSession, input_folder: str, output_base: str, run_date: str
 ) -> DataFrame:
@@ -93,7 +125,7 @@ def run_daily_job(
     raw = readers.read_csv(spark, path, schemas.SALES)
     _guard(raw, base, DAILY_OUTPUTS)
     sales = fold(
-        materialize(raw),
+        materialize(readers.require_rows(raw, path)),
         ("customer_id", "region"),
         ("product_id", "product_category"),
         ("transaction_date",),
@@ -107,7 +139,7 @@ def run_daily_job(
     ]
     for folder, result in zip(DAILY_OUTPUTS, results, strict=True):
         writers.write_run(result, f"{base}/{folder}", run_date)
-    return summary
+    return _held(summary)
 
 
 # The output folders of the channel job.
@@ -117,10 +149,12 @@ CHANNEL_OUTPUTS = [
 ]
 
 
+@_tidy
 def run_channel_job(
     spark: SparkSession, input_folder: str, output_base: str, run_date: str
 ) -> DataFrame:
-    """One run date's JSON in; four keyed documents and the executive summary out."""
+    """One run date's JSON in; four reports as JSON lines, one object per key, and the
+    executive summary as a document out."""
     base = output_base.rstrip("/")
     path = readers.run_file(input_folder, run_date)
     raw = readers.read_json(spark, path, schemas.SALES_EXT)
@@ -132,29 +166,33 @@ def run_channel_job(
     )
     summary = summaries.executive_summary(sales, run_date)
     results = [
-        documents.keyed_document(summaries.region_analysis(sales), "region"),
-        documents.keyed_document(summaries.category_analysis(sales), "product_category"),
-        documents.keyed_document(summaries.segment_analysis(sales), "customer_segment"),
-        documents.keyed_document(summaries.channel_analysis(sales), "sales_channel"),
-        documents.row_document(summary),
+        summaries.region_analysis(sales),
+        summaries.category_analysis(sales),
+        summaries.segment_analysis(sales),
+        summaries.channel_analysis(sales),
     ]
-    for folder, document in zip(CHANNEL_OUTPUTS, results, strict=True):
-        writers.write_document(document, f"{base}/{folder}/{run_date}")
-    return summary
+    for folder, result in zip(CHANNEL_OUTPUTS, results, strict=False):
+        writers.write_json(result, f"{base}/{folder}/{run_date}")
+    document = documents.row_document(summary)
+    writers.write_document(document, f"{base}/{CHANNEL_OUTPUTS[-1]}/{run_date}")
+    return _held(summary)
 
 
+@_tidy
 def run_simple_job(
     spark: SparkSession, input_folder: str, output_base: str, run_date: str
 ) -> DataFrame:
-    """One run date's simple sales in, one summary document out; returns it."""
+    """One run date's simple sales in, the simple summary as JSON lines (kind, key, value)
+    out; returns it as written."""
     path = readers.run_file(input_folder, run_date)
     raw = readers.read_json(spark, path, schemas.SIMPLE_SALES)
     target = f"{output_base.rstrip('/')}/simple-summary/{run_date}"
     writers.check_target(raw, target)
-    rows = materialize(readers.require_rows(raw, path))
-    document = documents.simple_document(FlatSales(rows, amount="amount"), run_date)
-    writers.write_document(document, target)
-    return document
+    readers.require_rows(raw, path)
+    sales = fold(FlatSales(raw, amount="amount"), ("customer_id", "region"))
+    summary = summaries.simple_summary(sales, run_date)
+    writers.write_json(summary, target)
+    return spark.read.schema(summary.schema).json(target)
 
 
 # Output folder and key of each summary of the key summary job.
@@ -165,6 +203,7 @@ KEY_OUTPUTS = {
 }
 
 
+@_tidy
 def run_key_summary_job(
     spark: SparkSession, input_folder: str, output_base: str, run_date: str
 ) -> DataFrame:
@@ -179,9 +218,15 @@ def run_key_summary_job(
     for name in KEY_OUTPUTS:
         part = summary.filter(F.col("summary") == name).drop("summary")
         writers.write_json(part, f"{base}/{name}/{run_date}")
-    return summary
+    kind = summary.drop("summary").schema
+    written = [
+        spark.read.schema(kind).json(f"{base}/{name}/{run_date}").select(F.lit(name).alias("summary"), "*")
+        for name in KEY_OUTPUTS
+    ]
+    return functools.reduce(DataFrame.unionByName, written)
 
 
+@_tidy
 def run_quality_job(
     df: DataFrame,
     output_base: str,
@@ -191,24 +236,28 @@ def run_quality_job(
     """Validate a frame and write the report document under its date; returns it."""
     target = f"{output_base.rstrip('/')}/{execution_date}"
     writers.check_target(df, target)
-    document = materialize(documents.quality_document(df, execution_date, rules))
+    rows = materialize(df)
+    document = _held(documents.quality_document(rows, execution_date, rules))
     writers.write_document(document, target)
     return document
 
 
+@_tidy
 def run_ingest_job(
     spark: SparkSession, output_base: str, execution_date: str, rows: int = 10_000, seed: int = 42
 ) -> DataFrame:
-    """Generate payments with missing values, write them as CSV and return their metadata."""
+    """Generate payments with missing values, write them as CSV and return their metadata as
+    rows, read from what was written."""
     made = generators.payments(generators.row_ids(spark, rows), execution_date, seed)
     made = generators.inject_nulls(made, "amount", rows // 100, rows, seed)
     made = generators.inject_nulls(made, "category", rows // 200, rows, seed)
     target = f"{output_base.rstrip('/')}/{execution_date}"
     writers.write_csv(made.drop("id"), target)
     written = readers.read_csv(spark, target, schemas.PAYMENTS)
-    return materialize(documents.ingest_document(written, execution_date, target))
+    return profiling.ingest_metadata(written)
 
 
+@_tidy
 def run_analysis_job(
     spark: SparkSession,
     input_path: str,
@@ -240,13 +289,15 @@ def run_analysis_job(
     ]
     for folder, result in zip(outputs, results, strict=True):
         writers.write_run(result, f"{base}/{folder}", analysis_date, column="run_date")
-    return summary
+    return _held(summary)
 
 
+@_tidy
 def run_metrics_job(df: DataFrame, output_base: str, execution_date: str) -> DataFrame:
     """Profile metrics: description, per-category figures, distribution and summary CSVs."""
     base = output_base.rstrip("/")
-    summary = materialize(profiling.summary_metrics(df, execution_date))
+    df = materialize(df)
+    summary = _held(profiling.summary_metrics(df, execution_date))
     results = {
         "describe": profiling.describe(df, ["value", "score"]),
         "category_stats": profiling.category_stats(df),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerline.plans.queries import (
+    BEYOND_DOUBLES,
     DENSE_FAULTS,
     EVENT_RULES,
     EVENT_TYPES,
@@ -152,10 +153,6 @@ def _key_summary(key: str) -> str:
   from sales group by {key}"""
 
 
-def _profile(source: str) -> str:
-    return f"select count(*) as total_rows, cast(0 as bigint) as rows_out_of_range from {source}"
-
-
 def _column_stats(name: str) -> str:
     return f"""count({name}) as {name}_count, round(avg({name}), 4) as {name}_avg,
   min({name}) as {name}_min, max({name}) as {name}_max,
@@ -182,14 +179,11 @@ IMPUTED = """select
   {1} as event_type,
   coalesce(value, (select quantile_disc(value, 0.5) from {0})) as value from {0}"""
 
-GROUPING_SETS = f"""with {GEN_SIMPLE_CAT}
-select case when grouping(region) = 0 then 'region' when grouping(category) = 0 then 'category'
-    else 'customer' end as summary,
-  case when grouping(region) = 0 then region when grouping(category) = 0 then category
-    else customer_id end as "key",
-  round(sum(amount), 4) as total_amount, count(*) as "count",
-  round(sum(amount) / count(*), 4) as average_amount
-  from gen group by grouping sets ((region), (category), (customer_id))"""
+GROUPING_SETS = _sales(
+    f"""select 'region' as summary, * from ({_key_summary("region")})
+  union all select 'category', * from ({_key_summary("product_category")})
+  union all select 'customer', * from ({_key_summary("customer_id")})"""
+)
 
 ORACLE: dict[str, str] = {
     "scatter_points": f"with {METRICS}\nselect value, score from metrics",
@@ -217,31 +211,47 @@ select '{RUN_DATE}' as execution_date, tests.n as total_records,
         """select distinct 'region' as column_name, region as value from sales
   union all select distinct 'product_category', product_category from sales"""
     ),
-    "json_scan": f"""with {GEN_SALES}
-select region, round(sum(total_amount), 2) as total_revenue,
-  {AVG_AMOUNT} as avg_order_value, count(transaction_id) as order_count,
-  cast(sum(quantity) as bigint) as total_quantity,
-  round(max(total_amount), 2) as max_order_value,
-  round(min(total_amount), 2) as min_order_value from gen group by region""",
-    "csv_scan": f"""with {GEN_SALES}
-select product_category, round(sum(total_amount), 2) as total_revenue,
-  {AVG_AMOUNT} as avg_order_value, count(transaction_id) as order_count,
-  cast(sum(quantity) as bigint) as total_quantity,
-  {AVG_QUANTITY} as avg_quantity_per_order from gen group by product_category""",
     "gen_sales": f"with {GEN_SALES}\nselect * from gen",
     "gen_simple_sales": f"with {GEN_SIMPLE}\nselect * from gen",
     "gen_simple_sales_cat": f"with {GEN_SIMPLE_CAT}\nselect * from gen",
     "gen_batch_totals": f"""with {GEN_SALES}
 select count(*) as record_count, round(sum(total_amount), 2) as total_revenue from gen""",
-    "gen_random_sales": _profile("orders"),
-    "gen_random_sales_ext": _profile("orders"),
-    "gen_payments": _profile("orders"),
-    "gen_metrics": _profile("orders"),
-    "gen_demo_sales": _profile("(select distinct cast(o_orderdate as date) from orders)"),
     "fault_injection": f"with {SPARSE}\nselect * from faulty",
     "json_document": _volume("region"),
-    "derived_amount": f"""with {GEN_SALES}
-select transaction_id, quantity, unit_price, total_amount from gen""",
+    "derived_amount": _sales(
+        """select transaction_id, quantity, unit_price,
+  round(quantity * unit_price, 2) as total_amount from sales"""
+    ),
+    "with_constant": f"""select *, '{RUN_DATE}' as run_date from nation
+  order by n_nationkey limit 10""",
+    "first_rows": """select n_nationkey, n_name from nation
+  union all select n_nationkey, n_name from nation where n_nationkey < 4""",
+    "csv_inferred": """select c_custkey, c_name, c_acctbal, c_mktsegment,
+  'int, string, double, string' as kinds from customer""",
+    "dated_csv": """select case when o_orderkey % 7 <> 0
+    then cast(cast(o_orderdate as date) as varchar) end as day, count(*) as orders
+  from orders group by 1""",
+    "run_slice": f"""select o_orderkey, o_custkey, o_totalprice from orders
+  where strftime(o_orderdate, '%Y-%m') = '{SLICE_DATE[:7]}'""",
+    "outputs_by_region": """select 'r_name=' || r_name as expected, true as exists,
+    true as has_files from region
+  union all select 'r_name=ATLANTIS', false, false""",
+    "companion_stats": """select count(*) as l_quantity_count, min(l_quantity) as l_quantity_min,
+  max(l_quantity) as l_quantity_max, max(l_tax) as l_tax_max from lineitem""",
+    "null_injection": """select count(*) as total_rows, true as few_missing,
+  count(event_type) as categories_left from events""",
+    "impute_median_bigint": f"""with big as (
+  select o_orderkey, case when o_orderkey % 5 <> 0 then o_orderkey + {BEYOND_DOUBLES} end as value
+  from orders)
+select o_orderkey, coalesce(value, (select quantile_disc(value, 0.5) from big)) as value from big""",
+    "impute_median_decimal": """with big as (
+  select o_orderkey, case when o_orderkey % 5 <> 0 then cast('12345678901234567890.12'
+    as decimal(30,2)) + cast(o_orderkey as decimal(19,0)) end as value from orders), ranked as (
+  select value, row_number() over (order by value) as n, count(*) over () as total
+  from big where value is not null), middle as (
+  select value from ranked where n = (total + 1) // 2)
+select o_orderkey, cast(cast(coalesce(value, (select value from middle)) as decimal(30,2))
+  as varchar) as value from big""",
     "region_filter": _sales(
         f"""select transaction_id, customer_id, region, transaction_date, total_amount
   from sales where region = '{REGION}'"""
@@ -360,11 +370,7 @@ select event_id, user_id, coalesce(event_type, 'Unknown') as event_type, value f
     "regional_key_summary": _sales(_key_summary("region")),
     "category_key_summary": _sales(_key_summary("product_category")),
     "customer_key_summary": _sales(_key_summary("customer_id")),
-    "key_summary_all": _sales(
-        f"""select 'region' as summary, * from ({_key_summary("region")})
-  union all select 'category', * from ({_key_summary("product_category")})
-  union all select 'customer', * from ({_key_summary("customer_id")})"""
-    ),
+    "key_summary_all": GROUPING_SETS,
     "key_summary_grouping_sets": GROUPING_SETS,
     "category_stats": f"""with {METRICS}
 select category, round(avg(value), 4) as value_mean, round(stddev_samp(value), 4) as value_std,
@@ -479,3 +485,15 @@ select 'category' as column_name, category as value, count(*) as invalid_count
   union all select s_name, s_acctbal from supplier""",
     "dedupe": f"with {DENSE}\nselect distinct * from faulty",
 }
+
+# Reports that are written and read back.
+ORACLE |= {
+    "json_scan": ORACLE["region_summary"],
+    "csv_scan": ORACLE["category_summary"],
+    "json_customers": ORACLE["customer_totals"],
+    "written_parquet": ORACLE["category_analysis"],
+    "written_runs": "\nunion all\n".join(
+        f"select *, '{day}' as processing_date from ({ORACLE['region_sales']})"
+        for day in (RUN_DATE, SLICE_DATE)
+    ),
+}

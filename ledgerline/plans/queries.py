@@ -13,13 +13,22 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    DateType,
+    DoubleType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+)
 
 from ledgerline import schemas
 from ledgerline.functions.columns import pick
 from ledgerline.operators import cleaning, profiling, quality, sets, summaries
+from ledgerline.plans import jobs
 from ledgerline.session import scratch_dir
-from ledgerline.sinks import documents, verify
-from ledgerline.sources import files, generators, readers
+from ledgerline.sinks import documents, verify, writers
+from ledgerline.sources import generators, readers
 from ledgerline.sources.readers import read_star_table
 from ledgerline.sources.sales import FlatSales, StarSales
 from ledgerline.streaming import runs
@@ -32,6 +41,7 @@ SLICE_DATE = "1999-01-16"
 REGION = "ASIA"
 SPARSE_FAULTS = 1000
 DENSE_FAULTS = 100
+BEYOND_DOUBLES = 9007199254740992
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 EVENT_RULES = quality.QualityRules(
     allowed={"category": EVENT_TYPES, "payment_method": generators.PAYMENT_METHODS}
@@ -111,51 +121,153 @@ def distinct_values(spark: SparkSession, folder: str) -> DataFrame:
     return sets.append_rows(*found)
 
 
-def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    listed = files.file_inventory(spark, folder)
-    return listed.select(F.element_at(F.split("path", "/"), -1).alias("file"), "size")
+def _path(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
 
 
-def verify_outputs(spark: SparkSession, folder: str) -> DataFrame:
-    expected = [f"{t}.parquet" for t in [*schemas.STAR, "absent"]]
-    return verify.verify_outputs(spark, folder, expected).drop("last_modified")
+def _star_rows(spark: SparkSession, folder: str) -> DataFrame:
+    star = StarSales(spark, folder)
+    return _dated(star.rows(*schemas.SALES.fieldNames()), "transaction_date")
 
 
 def json_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Generated sales written as JSON lines, read back under the fixed schema, summed."""
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    generators.sales(order_ids(spark, folder), RUN_DATE).write.json(path)
+    """Sales written as JSON lines, read back under the fixed schema, summed."""
+    path = _path(spark)
+    writers.write_json(_star_rows(spark, folder), path)
     return summaries.region_summary(readers.read_sales(spark, path))
 
 
 def csv_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """The same as CSV in the column order of the shipped file."""
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    made = generators.sales(order_ids(spark, folder), RUN_DATE)
-    made = made.withColumnRenamed("product_category", "category")
-    made.select(*schemas.SALES_CSV.fieldNames()).write.option("header", True).csv(path)
+    """The same as CSV whose columns have another order and one another name."""
+    path = _path(spark)
+    made = _star_rows(spark, folder).withColumnRenamed("product_category", "category")
+    writers.write_csv(made.select(*reversed(made.columns)), path)
     return summaries.category_summary(readers.read_sales_csv(spark, path))
 
 
+def csv_inferred(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers written as CSV and read back without a schema."""
+    path = _path(spark)
+    columns = ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]
+    writers.write_csv(read_star_table(spark, folder, "customer").select(*columns), path)
+    found = readers.read_csv(spark, path)
+    kinds = ", ".join(kind for _, kind in found.dtypes)
+    return found.withColumn("kinds", F.lit(kinds))
+
+
+def dated_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders per date from a CSV whose date is text, some of it no date."""
+    path = _path(spark)
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = F.when(F.col("o_orderkey") % 7 == 0, F.lit("soon")).otherwise(day)
+    made = read_star_table(spark, folder, "orders").select("o_orderkey", text.alias("day"))
+    writers.write_csv(made, path)
+    layout = schemas.layout(o_orderkey=LongType(), day=DateType())
+    dated = readers.read_dated_csv(spark, path, layout, "day")
+    return _dated(dated.groupBy("day").agg(F.count(F.lit(1)).alias("orders")), "day")
+
+
+def run_slice(spark: SparkSession, folder: str) -> DataFrame:
+    """One date of orders from a copy that is partitioned by date; only its folder is read."""
+    path = _path(spark)
+    orders = read_star_table(spark, folder, "orders")
+    dated = orders.withColumn("ds", F.date_format("o_orderdate", "yyyy-MM"))
+    dated.repartition("ds").write.partitionBy("ds").parquet(path)
+    back = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", False)
+    part = readers.run_slice(back.parquet(path), SLICE_DATE[:7])
+    return part.select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+def null_injection(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, missing amounts, and missing amounts of rows that an id picks by its modulus."""
+    made = generators.inject_nulls(payments(spark, folder), "amount", 1, 10, 42)
+    return made.agg(
+        F.count(F.lit(1)).alias("total_rows"),
+        (F.count_if(F.col("amount").isNull()) * 20 < F.count(F.lit(1)) * 3).alias("few_missing"),
+        F.count("category").alias("categories_left"),
+    )
+
+
+def written_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The regional report written as two dated CSV runs, one of them twice, and read back."""
+    path = _path(spark)
+    report = summaries.region_sales(StarSales(spark, folder))
+    for day in (RUN_DATE, SLICE_DATE, RUN_DATE):
+        writers.write_run(report, path, day)
+    kind = StructType([*report.schema.fields, StructField("processing_date", StringType())])
+    return spark.read.option("header", True).schema(kind).csv(path)
+
+
+def written_parquet(spark: SparkSession, folder: str) -> DataFrame:
+    path = _path(spark)
+    writers.write_parquet(summaries.category_analysis(StarSales(spark, folder)), path)
+    return spark.read.parquet(path)
+
+
+def companion_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items cleaned by the clean job, and its statistics file read back."""
+    source, data, stats = _path(spark), _path(spark), _path(spark)
+    writers.write_csv(line_numbers(spark, folder).select("l_quantity", "l_tax"), source)
+    layout = schemas.layout(l_quantity=DoubleType(), l_tax=DoubleType())
+    jobs.run_clean_job(spark, source, data, stats, dt.datetime(2024, 1, 1), layout)
+    found = spark.read.option("header", True).option("inferSchema", True).csv(stats)
+    return found.select("l_quantity_count", "l_quantity_min", "l_quantity_max", "l_tax_max")
+
+
+def outputs_by_region(spark: SparkSession, folder: str) -> DataFrame:
+    """Regions written to a folder each and verified: which of the expected ones exist. What
+    is expected comes from the table, and one more is absent."""
+    path = _path(spark)
+    regions = read_star_table(spark, folder, "region")
+    regions.repartition("r_name").write.partitionBy("r_name").parquet(path)
+    names = [f"r_name={r[0]}" for r in regions.select("r_name").collect()]  # five
+    found = verify.verify_outputs(spark, path, [*names, "r_name=ATLANTIS"])
+    return found.select("expected", "exists", (F.col("files") > 0).alias("has_files"))
+
+
+def impute_bigint(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole numbers beyond what a double holds, with gaps."""
+    key = F.col("o_orderkey")
+    value = F.when(key % 5 != 0, key + F.lit(BEYOND_DOUBLES))
+    made = read_star_table(spark, folder, "orders").select("o_orderkey", value.alias("value"))
+    return cleaning.impute_median(made, 0.0)
+
+
+def impute_decimal(spark: SparkSession, folder: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    big = F.lit("12345678901234567890.12").cast("decimal(30,2)")
+    value = F.when(key % 5 != 0, (big + key.cast("decimal(19,0)")).cast("decimal(30,2)"))
+    made = read_star_table(spark, folder, "orders").select("o_orderkey", value.alias("value"))
+    return cleaning.impute_median(made, 0.0).withColumn("value", F.col("value").cast("string"))
+
+
 def json_document(spark: SparkSession, folder: str) -> DataFrame:
-    """The keyed region document, read back to rows."""
+    """The regional report as JSON lines, one object per key, read back to rows."""
+    path = _path(spark)
     report = summaries.region_analysis(StarSales(spark, folder))
-    fields = ", ".join(
-        f"{f.name} {f.dataType.simpleString()}" for f in report.schema if f.name != "region"
-    )
-    document = documents.keyed_document(report, "region")
-    return documents.read_keyed_document(document, "region", fields)
+    writers.write_json(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
+def json_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with as many keys as there are customers."""
+    path = _path(spark)
+    report = summaries.customer_totals(StarSales(spark, folder), 2)
+    writers.write_json(report, path)
+    return spark.read.schema(report.schema).json(path)
 
 
 def incremental_key_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """Generated sales that land as JSON files, folded by the stream and merged over dates."""
+    """Sales that land as JSON files, folded by the stream and merged over dates."""
     base = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     landing, partials, progress = f"{base}/landing", f"{base}/partials", f"{base}/progress"
-    _simple_cat_rows(spark, folder).write.json(landing)
+    _star_cat_rows(spark, folder).write.json(landing)
     runs.collect_key_summaries(
         spark, landing, partials, progress, schemas.SIMPLE_SALES_CAT, SIMPLE_KEYS
     )
-    return runs.merged_key_summaries(spark.read.parquet(partials), [], 4)
+    return runs.merged_key_summaries(spark.read.parquet(partials), [], 2).withColumn(
+        "total_amount", F.round("total_amount", 2)
+    )
 
 
 def quality_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -175,71 +287,6 @@ def quality_report(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _profile(df: DataFrame, bad: Column) -> DataFrame:
-    """Rows, and rows that leave the promised ranges."""
-    return df.agg(
-        F.count(F.lit(1)).alias("total_rows"), F.count_if(bad).alias("rows_out_of_range")
-    )
-
-
-def random_sales(spark: SparkSession, folder: str) -> DataFrame:
-    made = generators.random_sales(order_ids(spark, folder))
-    good = (
-        F.col("quantity").between(1, 10)
-        & F.col("unit_price").between(10, 500)
-        & F.col("transaction_date").between("2024-01-01", "2024-12-31")
-        & F.col("region").isin(generators.REGIONS)
-        & F.col("product_category").isin(generators.CATEGORIES)
-        & (F.abs(F.col("total_amount") - F.col("quantity") * F.col("unit_price")) < 0.006)
-    )
-    return _profile(made, ~good)
-
-
-def random_sales_ext(spark: SparkSession, folder: str) -> DataFrame:
-    made = generators.random_sales_ext(order_ids(spark, folder), RUN_DATE)
-    good = (
-        F.col("quantity").between(1, 15)
-        & F.col("unit_price").between(5, 1000)
-        & F.col("transaction_time").between("00:00:00", "23:59:59")
-        & F.col("region").isin(generators.WORLD_REGIONS)
-        & F.col("product_category").isin(generators.EXT_CATEGORIES)
-        & F.col("customer_segment").isin(generators.SEGMENTS)
-        & F.col("sales_channel").isin(generators.CHANNELS)
-    )
-    return _profile(made, ~good)
-
-
-def random_payments(spark: SparkSession, folder: str) -> DataFrame:
-    made = generators.payments(order_ids(spark, folder), RUN_DATE)
-    good = (
-        F.col("amount").between(100 - 25 * 10, 100 + 25 * 10)
-        & F.col("category").isin(generators.PAYMENT_CATEGORIES)
-        & F.col("payment_method").isin(generators.PAYMENT_METHODS)
-        & (F.col("customer_id") >= 1)
-    )
-    return _profile(made, ~good)
-
-
-def random_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    made = generators.metrics(order_ids(spark, folder))
-    good = (
-        F.col("category").isin(generators.METRIC_CATEGORIES)
-        & F.col("value").between(100 - 15 * 10, 100 + 15 * 10)
-        & (F.col("score") >= 0)
-        & (F.col("score") < 1)
-    )
-    return _profile(made, ~good)
-
-
-def random_demo_sales(spark: SparkSession, folder: str) -> DataFrame:
-    """Days with orders, and days that did not get 10 to 49 demo sales."""
-    days = read_star_table(spark, folder, "orders").select(F.col("o_orderdate").cast("date").alias("date"))
-    per_day = generators.demo_sales(sets.dedupe(days)).groupBy("date").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return _profile(per_day, ~F.col("n").between(10, 49))
-
-
 def _star(operator: Callable[..., DataFrame], *args, **kwargs) -> Query:
     return lambda spark, folder: operator(StarSales(spark, folder), *args, **kwargs)
 
@@ -260,6 +307,18 @@ def _simple_cat_rows(spark: SparkSession, folder: str) -> DataFrame:
     return generators.simple_sales_cat(order_ids(spark, folder), RUN_DATE)
 
 
+def _star_cat_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Sales as categorised simple ones."""
+    return _star_rows(spark, folder).select(
+        "transaction_id",
+        F.col("customer_id").cast("string").alias("customer_id"),
+        F.col("total_amount").alias("amount"),
+        F.col("transaction_date").alias("date"),
+        "region",
+        F.col("product_category").alias("category"),
+    )
+
+
 def _sparse(spark: SparkSession, folder: str) -> DataFrame:
     return faulty(spark, folder, SPARSE_FAULTS)
 
@@ -292,25 +351,35 @@ QUERIES: dict[str, Query] = {
     "distinct_values": distinct_values,
     "json_scan": json_scan,
     "csv_scan": csv_scan,
-    "file_inventory": file_inventory,
-    "verify_outputs": verify_outputs,
+    "csv_inferred": csv_inferred,
+    "dated_csv": dated_csv,
+    "run_slice": run_slice,
+    "outputs_by_region": outputs_by_region,
+    "written_runs": written_runs,
+    "written_parquet": written_parquet,
+    "companion_stats": companion_stats,
+    "null_injection": null_injection,
     "gen_sales": _sales_rows,
     "gen_simple_sales": _simple_rows,
     "gen_simple_sales_cat": _simple_cat_rows,
     "gen_batch_totals": lambda s, d: FlatSales(_sales_rows(s, d)).tally().select(
         F.col("rows").alias("record_count"), F.round("revenue", 2).alias("total_revenue")
     ),
-    "gen_random_sales": random_sales,
-    "gen_random_sales_ext": random_sales_ext,
-    "gen_payments": random_payments,
-    "gen_metrics": random_metrics,
-    "gen_demo_sales": random_demo_sales,
     "fault_injection": lambda s, d: _timed(_sparse(s, d)),
     "json_document": json_document,
+    "json_customers": json_customers,
     # Projections, filters, cleaning
     "derived_amount": lambda s, d: cleaning.with_line_amount(
-        _sales_rows(s, d).drop("total_amount")
-    ).select("transaction_id", "quantity", "unit_price", "total_amount"),
+        StarSales(s, d).rows("transaction_id", "quantity", "unit_price")
+    ),
+    "with_constant": lambda s, d: cleaning.with_constant(
+        cleaning.preview(read_star_table(s, d, "nation").orderBy("n_nationkey"), 10),
+        "run_date",
+        RUN_DATE,
+    ),
+    "first_rows": lambda s, d: sets.append_first(
+        read_star_table(s, d, "nation").select("n_nationkey", "n_name"), "n_nationkey", 4
+    ),
     "region_filter": lambda s, d: _dated(
         StarSales(s, d)
         .where("region", REGION)
@@ -328,6 +397,8 @@ QUERIES: dict[str, Query] = {
     ),
     "drop_all_null": _on(gappy, cleaning.drop_all_null),
     "impute_median": _on(gappy, cleaning.impute_median, 0.0),
+    "impute_median_bigint": impute_bigint,
+    "impute_median_decimal": impute_decimal,
     "fill_unknown": _on(gappy, cleaning.fill_unknown),
     "clean": _on(gappy, cleaning.clean, 0.0),
     # The sales job
@@ -364,9 +435,11 @@ QUERIES: dict[str, Query] = {
     "regional_key_summary": _star(summaries.key_summary, "region", 2),
     "category_key_summary": _star(summaries.key_summary, "product_category", 2),
     "customer_key_summary": _star(summaries.key_summary, "customer_id", 2),
-    "key_summary_all": _star(summaries.key_summaries, KEYS, 2),
+    "key_summary_all": _star(
+        summaries.key_summaries, KEYS, 2, together=[["customer_id", "region"]]
+    ),
     "key_summary_grouping_sets": _on(
-        _simple_cat_rows, summaries.grouped_key_summaries, SIMPLE_KEYS, digits=4
+        _star_cat_rows, summaries.grouped_key_summaries, SIMPLE_KEYS, digits=2
     ),
     "incremental_key_summary": incremental_key_summary,
     # Metrics
