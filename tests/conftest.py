@@ -5,7 +5,8 @@ TESTDATA = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    scratch = tmp_path_factory.mktemp("scratch")
     session = (
         SparkSession.builder.master("local[8]")
         .appName("tests")
@@ -13,6 +14,8 @@ def spark():
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", str(scratch / "checkpoints"))
+        .config("spark.sql.warehouse.dir", str(scratch / "warehouse"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

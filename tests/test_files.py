@@ -1,16 +1,21 @@
 """Readers, writers, documents, listings."""
 
-import json
+import os
 
 import pytest
 from conftest import one, rows
 from pyspark.sql import functions as F
 
 from ledgerline import schemas
-from ledgerline.session import build_session, object_store_conf, scratch_dir
-from ledgerline.sinks import documents, verify, writers
+from ledgerline.session import (
+    build_session,
+    materialize,
+    object_store_conf,
+    scratch_dir,
+    scratch_scope,
+)
+from ledgerline.sinks import verify, writers
 from ledgerline.sources import files, generators, readers
-from ledgerline.sources.sales import FlatSales
 
 
 def text(path, *lines):
@@ -49,16 +54,23 @@ def test_csv_inference_and_schema(spark, tmp_path):
     }
 
 
-def test_sales_csv_renames_category(spark, tmp_path):
+def test_sales_csv_is_read_by_name(spark, tmp_path):
     path = text(
         tmp_path / "s.csv",
         "transaction_id,customer_id,product_id,category,region,quantity,unit_price,"
-        "total_amount,transaction_date",
-        "TXN_001,CUST_001,PROD_001,Electronics,North,2,150.00,300.00,2025-07-23",
+        "total_amount,transaction_date,note",
+        "A1,C9,P3,Toys,Hill,4,2.50,10.00,2031-05-06,x",
+        "A2,C8,P4,Tools,Dale,many,1.00,,2031-05-07,y",
     )
     df = readers.read_sales_csv(spark, path)
-    assert df.columns == schemas.SALES.fieldNames()
-    assert df.first().product_category == "Electronics"
+    assert df.columns == schemas.SALES.fieldNames() and df.schema == schemas.SALES
+    first, second = df.orderBy("transaction_id").collect()
+    assert (first.product_category, first.region, first.quantity) == ("Toys", "Hill", 4)
+    assert (first.total_amount, first.transaction_date) == (10.0, "2031-05-06")
+    assert (second.quantity, second.total_amount, second.unit_price) == (None, None, 1.0)
+    short = text(tmp_path / "t.csv", "transaction_id,region", "A1,Hill")
+    with pytest.raises(ValueError, match="no column customer_id"):
+        readers.read_sales_csv(spark, short)
 
 
 def test_dated_csv(spark, tmp_path):
@@ -87,6 +99,9 @@ def test_create_once_then_reuse(spark, tmp_path):
     assert first.count() == 10
     again = readers.read_or_create(spark, path, layout, generators.metrics(spark.range(99)))
     assert again.count() == 10
+    (tmp_path / "metrics" / "_SUCCESS").unlink()  # as if the write had been broken off
+    repaired = readers.read_or_create(spark, path, layout, generators.metrics(spark.range(7)))
+    assert repaired.count() == 7
 
 
 @pytest.mark.parametrize("single", [True, False])
@@ -132,33 +147,15 @@ def test_runs_live_side_by_side(spark, tmp_path):
     assert {str(r[0]): r[1] for r in rows(back)} == {"2024-01-01": 4, "2024-01-02": 5}
 
 
-def test_keyed_document(spark, tmp_path):
-    df = spark.createDataFrame([("b", 1, 2.5), ("a", 3, None), (None, 4, 0.5)], "k string, n int, x double")
-    document = documents.keyed_document(df, "k")
-    assert list(json.loads(document.first().value)) == ["a", "b", "null"]
-    assert json.loads(document.first().value)["b"] == {"n": 1, "x": 2.5}
-    back = documents.read_keyed_document(document, "k", "n int, x double")
-    assert set(rows(back)) == {("b", 1, 2.5), ("a", 3, None), ("null", 4, 0.5)}
-    writers.write_document(document, str(tmp_path / "doc"))
-    (part,) = (tmp_path / "doc").glob("part-*")
-    assert json.loads(part.read_text())["a"] == {"n": 3}
-
-
-def test_a_document_with_too_many_keys_fails(spark):
-    df = spark.range(11).selectExpr("cast(id as string) k", "id n")
-    assert len(json.loads(documents.keyed_document(df, "k", 11).first().value)) == 11
-    with pytest.raises(Exception, match="more than 10 keys"):
-        documents.keyed_document(df, "k", 10).collect()
-
-
-def test_simple_document(spark):
-    made = generators.simple_sales(spark.range(100), "2024-01-01")
-    simple = FlatSales(made, amount="amount")
-    document = json.loads(documents.simple_document(simple, "2024-01-01").first().value)
-    assert document["region_breakdown"]["West"] == 7262.5
-    assert document["top_customers"]["CUST_049"] == 834.0
-    assert len(document["top_customers"]) == 5
-    assert document["total_revenue"] == 28225.0
+def test_keyed_reports_are_json_lines_from_several_tasks(spark, tmp_path):
+    """Any number of keys, a missing one and the text `null` among them."""
+    target = str(tmp_path / "report")
+    df = spark.range(200_000).selectExpr("cast(id as string) k", "id n").repartition(3)
+    odd = spark.createDataFrame([(None, 1), ("null", 2)], "k string, n bigint")
+    writers.write_json(df.unionByName(odd), target)
+    assert len(list((tmp_path / "report").glob("part-*"))) > 1
+    back = spark.read.schema("k string, n bigint").json(target)
+    assert back.count() == 200_002 and back.filter("k is null").first().n == 1
 
 
 def test_inventory_and_verification(spark, tmp_path):
@@ -175,6 +172,11 @@ def test_inventory_and_verification(spark, tmp_path):
         "out/a/": (True, 2, 7), "out/b.json": (True, 1, 5), "out/c": (False, 0, 0),
     }
     assert rows(verify.missing_outputs(found)) == [("out/c",)]
+    # A base whose name is part of other folders' names counts from the root.
+    (tmp_path / "checkout" / "out").mkdir(parents=True)
+    (tmp_path / "checkout" / "out" / "d").write_text("xx")
+    below = verify.verify_outputs(spark, str(tmp_path / "checkout"), ["out/d", "d", "out"])
+    assert [r.exists for r in below.orderBy("expected").collect()] == [False, True, True]
     absent = verify.verify_outputs(spark, str(tmp_path / "nowhere"), ["x"])
     assert rows(verify.missing_outputs(absent)) == [("x",)]
 
@@ -196,6 +198,21 @@ def test_object_store_settings():
     assert object_store_conf({}) == {}
 
 
-def test_session_and_scratch(spark):
+def test_the_clusters_settings_win(spark):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert build_session(env={}).conf.get("spark.sql.session.timeZone") == "UTC"
-    assert scratch_dir(spark) == scratch_dir(spark)
+    asked = build_session(conf={"spark.sql.session.timeZone": "Asia/Tokyo"}, env={})
+    assert asked.conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"
+    # This session's configuration names a time zone, so the default leaves it alone.
+    assert build_session(env={}).conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_scratch_is_shared_and_tidied(spark):
+    assert scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    with scratch_scope(spark):
+        (kept,) = materialize(spark.range(3)).inputFiles()[:1]
+        assert os.path.exists(kept.removeprefix("file://"))
+    assert not os.path.exists(kept.removeprefix("file://"))
+    files = materialize(spark.range(3)).inputFiles()
+    assert all(os.path.exists(f.removeprefix("file://")) for f in files)

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import pathlib
 
 import pytest
 from conftest import one, rows
@@ -59,6 +60,42 @@ def test_dated_jobs_refuse_to_overwrite_their_input(spark, tmp_path):
         jobs.run_key_summary_job(spark, str(inside), str(tmp_path), DAY)
 
 
+def test_sales_job_can_set_bad_lines_apart(spark, tmp_path):
+    (tmp_path / "in.json").write_text(
+        '{"transaction_id": "t1", "total_amount": 3.5, "region": "N"}\nnot json\n'
+    )
+    out, bad = str(tmp_path / "out"), str(tmp_path / "bad")
+    counts = jobs.run_sales_job(spark, str(tmp_path / "in.json"), out, quarantine=bad)
+    assert one(counts)["total_records"] == 1
+    assert rows(spark.read.text(bad)) == [("not json",)]
+
+
+def test_daily_job_refuses_an_empty_input(spark, tmp_path):
+    path = tmp_path / "in" / f"sales_{DAY}.csv"
+    path.parent.mkdir()
+    path.write_text(",".join(schemas.SALES.fieldNames()) + "\n")
+    with pytest.raises(ValueError, match="no rows"):
+        jobs.run_daily_job(spark, str(path.parent), str(tmp_path / "out"), DAY)
+    assert not (tmp_path / "out").exists()
+
+
+def test_jobs_parse_once_and_leave_nothing_behind(spark, tmp_path):
+    scratch = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(scratch.iterdir()) if scratch.exists() else set()
+    reads = spark.sparkContext.accumulator(0)
+    generators.metrics(spark.range(50)).write.csv(str(tmp_path / "m"), header=True)
+
+    def counted(frames):
+        for frame in frames:
+            reads.add(len(frame))
+            yield frame
+
+    raw = spark.read.csv(str(tmp_path / "m"), header=True, schema=schemas.METRICS)
+    jobs.run_metrics_job(raw.mapInPandas(counted, raw.schema), str(tmp_path / "out"), DAY)
+    assert reads.value == 50
+    assert set(scratch.iterdir()) == before
+
+
 def test_clean_job(spark, tmp_path):
     source = tmp_path / "in.csv"
     source.write_text("name,n,x\na,1,1.5\n,,\nb,,2.5\n,3,\n")
@@ -95,21 +132,24 @@ def test_channel_job(spark, tmp_path):
     one_file(made, tmp_path / "in" / f"sales_{DAY}.json")
     out = tmp_path / "out"
     jobs.run_channel_job(spark, str(tmp_path / "in"), str(out), DAY)
-    segments = document(out / "segment-analysis" / DAY)
-    assert set(segments) == set(generators.SEGMENTS)
-    assert set(segments["Premium"]) == {"total_revenue", "customer_count", "avg_customer_value"}
+    segments = spark.read.json(str(out / "segment-analysis" / DAY))
+    assert {r.customer_segment for r in segments.collect()} == set(generators.SEGMENTS)
+    assert {"total_revenue", "customer_count", "avg_customer_value"} <= set(segments.columns)
     summary = document(out / "executive-summary" / DAY)
     assert summary["total_records_processed"] == 500
-    regions = document(out / "region-analysis" / DAY)
-    best = max(regions, key=lambda k: regions[k]["total_revenue"])
-    assert summary["top_region"] == best
+    regions = spark.read.json(str(out / "region-analysis" / DAY)).collect()
+    assert summary["top_region"] == max(regions, key=lambda r: r.total_revenue).region
 
 
 def test_simple_job(spark, tmp_path):
     made = generators.simple_sales(spark.range(100), DAY)
     one_file(made, tmp_path / "in" / f"sales_{DAY}.json")
-    jobs.run_simple_job(spark, str(tmp_path / "in"), str(tmp_path / "out"), DAY)
-    assert document(tmp_path / "out" / "simple-summary" / DAY)["total_revenue"] == 28225.0
+    summary = jobs.run_simple_job(spark, str(tmp_path / "in"), str(tmp_path / "out"), DAY)
+    found = {(r.kind, r.key): r.value for r in summary.collect()}
+    assert found["total", "total_revenue"] == 28225.0
+    assert found["region_breakdown", "West"] == 7262.5
+    assert found["top_customers", "CUST_049"] == 834.0
+    assert sum(kind == "top_customers" for kind, _ in found) == 5
 
 
 def test_key_summary_job(spark, tmp_path):
@@ -130,10 +170,11 @@ def test_quality_job(spark, tmp_path):
 
 
 def test_ingest_job(spark, tmp_path):
-    report = json.loads(jobs.run_ingest_job(spark, str(tmp_path), DAY).first().value)
-    assert report["total_records"] == 10000
-    assert 60 <= report["missing_values"]["amount"] <= 140
-    assert sum(report["categories"].values()) == 10000 - report["missing_values"]["category"]
+    found = {(r.kind, r.key): r.value for r in jobs.run_ingest_job(spark, str(tmp_path), DAY).collect()}
+    assert found["total_records", "rows"] == 10000
+    assert 60 <= found["missing_values", "amount"] <= 140
+    known = sum(n for (kind, _), n in found.items() if kind == "categories")
+    assert known == 10000 - found["missing_values", "category"]
 
 
 def test_analysis_job(spark, tmp_path):

@@ -2,8 +2,8 @@
 
 import re
 
-from ledgerline.operators import profiling, summaries
-from ledgerline.plans.queries import metrics
+from ledgerline.operators import summaries
+from ledgerline.plans.queries import daily_slice
 from ledgerline.sources.sales import StarSales
 
 
@@ -41,6 +41,17 @@ def test_joins_meet_folded_rows(spark, folder, monkeypatch):
     assert exchanges.count("order_id") == 2 and exchanges.count("customer_id") == 2
 
 
-def test_few_rows_end_the_quantile_search(spark, folder):
-    found = plan(profiling.box_stats(metrics(spark, folder), "value", "category"))
-    assert "BroadcastHashJoin" in found
+def test_key_summaries_scan_the_lines_twice(spark, folder):
+    star = StarSales(spark, folder)
+    keys = {"region": "region", "category": "product_category", "customer": "customer_id"}
+    found = plan(summaries.key_summaries(star, keys, 2, together=[["customer_id", "region"]]))
+    assert found.split("\n\n")[0].count("l_extendedprice") > 0
+    assert len(re.findall(r"FileScan parquet.*lineitem", found)) == 2
+
+
+def test_a_days_plan_starts_no_job(spark, folder):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "plans only")
+    daily_slice(spark, folder)
+    summaries.simple_summary(StarSales(spark, folder), "2024-01-01")
+    assert list(tracker.getJobIdsForGroup("lazy")) == []

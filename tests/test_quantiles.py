@@ -1,4 +1,5 @@
 import math
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -18,12 +19,9 @@ def frame(spark, groups):
     return spark.createDataFrame(data, "k string, v double")
 
 
-@pytest.fixture(params=["few rows", "every round", "no broadcast"])
-def rounds(request, spark, monkeypatch):
-    if request.param != "few rows":
-        monkeypatch.setattr(quantiles, "FEW_ROWS", 0)
+@pytest.fixture(params=["usual", "no broadcast"])
+def rounds(request, spark):
     if request.param == "no broadcast":
-        monkeypatch.setattr(quantiles, "BROADCAST_ROWS", 0)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield request.param
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -90,7 +88,41 @@ def test_the_code_never_decreases(spark):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double")
     codes = [r[0] for r in df.orderBy("i").select(order_code(F.col("v"))).collect()]
     assert codes == sorted(codes)
-    assert 0 <= codes[0] and codes[-1] <= 2**quantiles.CODE_BITS
+    assert 0 <= codes[0] and codes[-1] < quantiles.PARTS
+
+
+def median_of(spark, values, kind):
+    df = spark.createDataFrame([(v,) for v in values], f"v {kind}")
+    ((found,),) = rows(exact_quantiles(df, "v", {"m": 0.5}, interpolate=False))
+    return found
+
+
+def test_values_keep_their_type(spark):
+    big = 2**53
+    whole = [big + i for i in (1, 5, 7, 3, 9)]
+    assert median_of(spark, whole, "bigint") == big + 5
+    assert median_of(spark, [2**63 - 1, -(2**63), 2**63 - 3], "bigint") == 2**63 - 3
+    money = [Decimal("12345678901234567890.12") + i for i in range(5)]
+    assert median_of(spark, money, "decimal(30,2)") == money[2]
+    widest = [Decimal(10**37 + i) for i in range(9)]
+    assert median_of(spark, widest, "decimal(38,0)") == widest[4]
+    assert median_of(spark, [3, 1, 2], "int") == 2
+
+
+def test_infinite_values(spark):
+    inf = math.inf
+    for values in ([-inf, 1.0, 2.0, 3.0, inf], [-inf, -inf, 5.0], [1e308, -1e308, inf, 4.0, 5.0]):
+        assert median_of(spark, values, "double") == sorted(values)[(len(values) - 1) // 2]
+
+
+def test_the_scale_of_the_values_does_not_matter(spark):
+    """Values that share a leading code are told apart within a few rounds."""
+    made = spark.range(100_000).selectExpr("pmod(id * 7919, 100003) * 1e-20 as v")
+    wanted = np.sort((np.arange(100_000) * 7919 % 100003) * 1e-20)
+    found = exact_quantiles(made, "v", QUARTILES).first()
+    assert tuple(found) == pytest.approx(tuple(np.quantile(wanted, [0.25, 0.5, 0.75])), rel=1e-12)
+    plan = exact_quantiles(made, "v", QUARTILES)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
 
 
 def test_many_groups(spark):
