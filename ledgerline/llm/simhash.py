@@ -14,9 +14,9 @@ other two differ in two bits each (pigeonhole). So
 Looked-up pairs are joined on the key and verified by their bit distance, so no link is
 lost. Fingerprints are linked in two steps. First every look-up meets only the smallest
 fingerprint under its key, which makes components of dense groups at once; then only
-members of different components are compared, apart from the commonest component under a
-key with itself. A group of many fingerprints that are all alike therefore costs a few rows
-a member, not one a pair.
+members of different components are compared; where a key holds many, its commonest
+component is not compared with itself. A group of many fingerprints that are all alike
+therefore costs a few rows a member, not one a pair.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ GENERATOR, LENGTH, MESSAGE = 0xC75, 23, 12
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 DISTANCE = 4  # what the keys above find
 SEED = 42
+FEW = 64  # fingerprints under a key that are compared with every look-up
 
 
 def fingerprint(text: str, shingle: int = 4, chunk: int = 1 << 14) -> int:
@@ -189,25 +190,36 @@ def link(prints: DataFrame, column: str = "fingerprint") -> DataFrame:
     stars = materialize(stars.distinct())
     labelled = materialize(_labelled(distinct, components(stars, "fp", "other")))
 
-    filed = _keyed(labelled, file=True)
-    major = (
-        filed.groupBy("key", "label")
+    filed = _keyed(labelled, file=True).withColumnsRenamed({"fp": "other", "label": "other_label"})
+    looked_up = _keyed(labelled, file=False)
+    under = (
+        filed.groupBy("key", "other_label")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("key")
-        .agg(F.max(F.struct("n", "label")).getField("label").alias("major"))
+        .agg(
+            F.sum("n").alias("held"),
+            F.max(F.struct("n", "other_label")).getField("other_label").alias("major"),
+        )
     )
-    filed = filed.join(major, "key").withColumnsRenamed({"fp": "other", "label": "other_label"})
     different = (F.col("label") != F.col("other_label")) & _close("fp", "other")
-    # Look-ups from outside the commonest component meet all that is filed under the key;
-    # those from inside it only what is filed from outside.
-    flagged = _keyed(labelled, file=False).join(major, "key")
-    outside = flagged.filter(F.col("label") != F.col("major")).drop("major")
-    inside = flagged.filter(F.col("label") == F.col("major")).drop("major")
-    others = filed.filter(F.col("other_label") != F.col("major")).drop("major")
-    cross = outside.join(filed.drop("major"), "key").filter(different).select("label", "other_label")
-    cross = cross.unionByName(
-        inside.join(others, "key").filter(different).select("label", "other_label")
-    )
+    filed = filed.join(under, "key")
+    few = filed.filter(F.col("held") <= FEW).drop("held", "major")
+    many = filed.filter(F.col("held") > FEW)
+    # Under a key that holds many, look-ups from outside its commonest component meet all of
+    # them, those from inside only what is filed from outside.
+    outside = looked_up.join(
+        under.filter(F.col("held") > FEW).select("key", "major"), "key"
+    ).filter(F.col("label") != F.col("major"))
+    others = many.filter(F.col("other_label") != F.col("major")).drop("held", "major")
+    ends = ["label", "other_label"]
+    cross = (
+        looked_up.join(few, "key").filter(different).select(*ends)
+        .unionByName(looked_up.join(others, "key").filter(different).select(*ends))
+        .unionByName(
+            outside.drop("major").join(many.drop("held", "major"), "key")
+            .filter(different).select(*ends)
+        )
+    )
     merged = components(cross.distinct(), "label", "other_label")
     return (
         labelled.join(merged, labelled["label"] == merged["member"], "left")
