@@ -229,8 +229,9 @@ def fit(
     source = id_and_text(docs, id_column, text_column)
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     start = F.pmod(F.xxhash64("id"), F.greatest(F.size("words") - EXAMPLE_WORDS, F.lit(0)) + 1)
+    # At most two classes of `examples` ids, so every task can have them; texts stay in place.
     spans = (
-        source.join(chosen, source["id"] == chosen["label_id"])
+        source.join(F.broadcast(chosen), source["id"] == chosen["label_id"])
         .dropDuplicates(["id"])
         .withColumn("words", words)
         .select(
