@@ -81,7 +81,7 @@ def test_report_document(spark):
     assert report["total_records"] == 3
     assert report["tests"]["completeness"]["missing_data"] == {"amount": 2, "category": 0}
     assert report["tests"]["uniqueness"]["duplicate_count"] == 1
-    assert report["tests"]["validity"]["details"]["amount"] == {
+    assert report["tests"]["validity"]["details"]["amount_range"] == {
         "passed": False, "invalid_count": 1,
     }
     assert report["tests_summary"] == {"total_tests": 4, "passed_tests": 0, "failed_tests": 4}
