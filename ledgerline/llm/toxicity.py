@@ -232,14 +232,16 @@ def fit(
     # At most two classes of `examples` ids, so every task can have them; texts stay in place.
     spans = (
         source.join(F.broadcast(chosen), source["id"] == chosen["label_id"])
-        .dropDuplicates(["id"])
         .withColumn("words", words)
         .select(
-            "id", "label",
+            "id",
+            "label",
             F.array_join(F.slice("words", (start + 1).cast("int"), EXAMPLE_WORDS), " ").alias("span"),
         )
+        .groupBy("id", "label")  # of several texts of an id, the first in order
+        .agg(F.min("span").alias("span"))
         .collect()
-    )
+    )
     spans = sorted(spans, key=lambda r: r["id"])
     share = counted.get(1, 0) / total if total else 0.0
     return fit_examples([r["span"] for r in spans], [r["label"] for r in spans], share)
