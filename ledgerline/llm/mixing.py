@@ -19,13 +19,14 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import WORD
 from ledgerline.session import materialize
 
 MAX_REPEATS = 3
+SMALL_PLAN = 10_000  # patterns up to which a plan, one short row each, is sent to all tasks
 CLOSING = 8  # documents that may be taken out of order to close a pattern's gap
 # Bits of the hash of a row, then of the hash of its number, that are settled by each round.
 ROUNDS = (("h", 52), ("h", 40), ("h", 28), ("h", 0), ("x", 52), ("x", 40), ("x", 0))
@@ -129,12 +130,24 @@ class Cut:
 
 @dataclass
 class Mix:
-    """The rows with their repeats, and the plan they follow."""
+    """The rows with their repeats, and each source's size and target."""
 
     rows: DataFrame
     sizes: dict
     targets: dict
 
+    def sources(self, name: str = "source") -> DataFrame:
+        data = [(s, size, self.targets[s]) for s, size in self.sizes.items()]
+        return _plan(
+            self.rows.sparkSession, data, f"{name} string, source_size bigint, target double"
+        )
+
+
+def _plan(spark: SparkSession, data: list, columns: str) -> DataFrame:
+    """Rows that the driver holds, to be joined with any table: sent to all tasks if few."""
+    frame = spark.createDataFrame(data, columns)
+    return F.broadcast(frame) if len(data) <= SMALL_PLAN else frame
+
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
@@ -219,7 +232,8 @@ def _cut(slim: DataFrame, cuts: dict[str, Cut]) -> None:
         open_ = {p: c for p, c in cuts.items() if not c.settled}
         if not open_:
             return
-        bounds = spark.createDataFrame(
+        bounds = _plan(
+            spark,
             [(p, c.amount, *c.prefix) for p, c in open_.items()],
             ", ".join(["pattern string", "amount bigint"])
             + "".join(f", p{i} bigint" for i in range(depth)),
@@ -276,7 +290,8 @@ def _chosen(rows: DataFrame, cuts: dict[str, Cut]) -> DataFrame:
     for pattern, cut in cuts.items():
         prefix = [*cut.prefix, *[None] * (depth - len(cut.prefix))]
         data.append((pattern, cut.base, cut.amount, cut.closing, *prefix))
-    plan = rows.sparkSession.createDataFrame(
+    plan = _plan(
+        rows.sparkSession,
         data,
         "pattern string, base int, gap bigint, closing array<struct<h: bigint, x: bigint>>"
         + "".join(f", p{i} bigint" for i in range(depth)),

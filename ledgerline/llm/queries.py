@@ -58,10 +58,7 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs, F.array("source"))
-    sources = spark.createDataFrame(
-        [(s, size, mixed.targets[s]) for s, size in mixed.sizes.items()],
-        "of string, source_size bigint, target double",
-    )
+    sources = mixed.sources("of")
     return mixed.rows.join(sources, F.col("source").eqNullSafe(F.col("of")), "left").select(
         "doc_id", "size", "source_size", "target",
         (F.col("size") * F.col("repeats")).alias("taken"), "source", "repeats",
