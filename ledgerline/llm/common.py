@@ -43,12 +43,14 @@ class WordIds:
     space and folds case (so words do not influence each other).
 
     The library encodes every different word once; a text's ids are those of its words in
-    order. The memory is cleared when it holds `most` words, so a worker's share is bounded.
+    order. A memory of `most` words is set aside when it is full and a new one begun, into
+    which the words that come again are taken over; so a worker's share is bounded and
+    frequent words stay.
     """
 
     loaded: dict[str, WordIds] = {}
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 800_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -56,6 +58,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.most = most
 
     @classmethod
@@ -73,9 +76,11 @@ class WordIds:
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         split = [(b if b"<|" in b else b.lower()).split() for b in raw]
         if len(self.words) > self.most:
-            self.words.clear()
+            self.older, self.words = self.words, {}
         known = self.words
-        unknown = list({w for words in split for w in set(words).difference(known)})
+        new = {w for words in split for w in set(words).difference(known)}
+        known.update((w, self.older[w]) for w in new.intersection(self.older))
+        unknown = list(new.difference(known))
         for start in range(0, len(unknown), 4096):
             part = unknown[start : start + 4096]
             found = self.tokenizer.encode_batch_fast(
