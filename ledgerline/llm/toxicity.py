@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,7 @@ from ledgerline.llm.common import id_and_text, small_batches
 
 EXAMPLES = 3_000  # labelled rows of each class that a model is fitted on
 EXAMPLE_WORDS = 400
+HASH_PARTS = 1 << 20
 WINDOW_WORDS = 8
 ORDINARY_BYTES, TOXIC_BYTES = 49_152, 8_192
 LETTERS, MARKS, LEAST_Z = 5, 256, 8.0
@@ -214,7 +215,8 @@ def fit(
 
     Of several labels of an id the highest counts; missing labels and rows without an id are
     passed over. Without examples of both classes the model scores every text with the share
-    of toxic labels, 0 without any. Collects at most `examples` spans of each class.
+    of toxic labels, 0 without any. Collects some `examples` spans of each class: a hash of
+    the id picks them, so their number varies by its square root.
     """
     known = (
         labels.filter(train)
@@ -222,14 +224,16 @@ def fit(
         .agg(F.max(labels[label_column]).cast("int").alias("label"))
         .filter(F.col("label").isin(0, 1) & F.col("label_id").isNotNull())
     )
-    dealt = Window.partitionBy("label").orderBy(F.xxhash64("label_id"), "label_id")
     counted = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     total = sum(counted.values())
-    chosen = _first_of_each(known, examples, dealt)
+    # A hash picks the share of each class that gives so many, without ranking a class.
+    parts = {c: math.ceil(HASH_PARTS * min(1.0, examples / n)) for c, n in counted.items()}
+    picked = F.when(F.col("label") == 1, parts.get(1, 0)).otherwise(parts.get(0, 0))
+    chosen = known.filter(F.pmod(F.xxhash64("label_id"), F.lit(HASH_PARTS)) < picked)
     source = id_and_text(docs, id_column, text_column)
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     start = F.pmod(F.xxhash64("id"), F.greatest(F.size("words") - EXAMPLE_WORDS, F.lit(0)) + 1)
-    # At most two classes of `examples` ids, so every task can have them; texts stay in place.
+    # Two classes of some `examples` ids, so every task can have them; texts stay in place.
     spans = (
         source.join(F.broadcast(chosen), source["id"] == chosen["label_id"])
         .withColumn("words", words)
@@ -247,17 +251,6 @@ def fit(
     return fit_examples([r["span"] for r in spans], [r["label"] for r in spans], share)
 
 
-def _first_of_each(known: DataFrame, examples: int, dealt) -> DataFrame:
-    """The first rows of each class in seeded order. Each hash bucket ranks its own rows
-    before a class does, so no task holds a class."""
-    inner = Window.partitionBy("label", F.pmod(F.xxhash64("label_id"), F.lit(64))).orderBy(
-        F.xxhash64("label_id"), "label_id"
-    )
-    few = known.withColumn("at", F.row_number().over(inner)).filter(F.col("at") <= examples)
-    ranked = few.withColumn("at", F.row_number().over(dealt))
-    return ranked.filter(F.col("at") <= examples).select("label_id", "label")
-
-
 def score(
     docs: DataFrame, model: Model, text_column: str = "text", name: str = "score"
 ) -> DataFrame:
