@@ -177,7 +177,7 @@ class Gru:
         return total
 
     def train(
-        self, texts: list[np.ndarray], start: int, lanes: int = 32, rate: float = 0.015
+        self, texts: list[np.ndarray], start: int, lanes: int = 64, rate: float = 0.02
     ) -> int:
         """One pass of truncated backpropagation with Adam; returns the tokens seen."""
         laid = Lanes.of(texts, start, lanes)
