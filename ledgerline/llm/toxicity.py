@@ -36,7 +36,7 @@ EXAMPLE_WORDS = 400
 HASH_PARTS = 1 << 20
 WINDOW_WORDS = 8
 ORDINARY_BYTES, TOXIC_BYTES = 49_152, 8_192
-LETTERS, MARKS, LEAST_Z = 5, 256, 8.0
+LETTERS, MARKS, LEAST_Z = 5, 256, 4.5
 FOLDS = 3
 CARRIER = b"\x01calibrated carrier that both dictionaries end with, so every block is coded\x02"
 
@@ -65,8 +65,10 @@ def telling(toxic: list[list[str]], ordinary: list[list[str]]) -> set[str]:
         share = (p + q) / (a + b)
         return (p / a - q / b) / math.sqrt(share * (1 - share) * (1 / a + 1 / b) + 1e-12)
 
-    scored = ((z(run), run) for run, n in counts[0].items() if n >= 3)
-    return {run for score, run in sorted(scored, reverse=True)[:MARKS] if score > LEAST_Z}
+    scored = sorted(((z(run), run) for run, n in counts[0].items() if n >= 3), reverse=True)
+    # The more examples there are, the clearer the real ones stand out from chance.
+    least = max(LEAST_Z, scored[0][0] / 4) if scored else LEAST_Z
+    return {run for score, run in scored[:MARKS] if score > least}
 
 
 def trained(size: int, samples: list[bytes]) -> bytes:
