@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 
 WINDOW = 24  # steps that gradients flow back
-CHUNK = 64  # steps whose outputs are evaluated together when scoring
+CHUNK = 32  # steps whose outputs are evaluated together when scoring
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -90,7 +90,7 @@ class Gru:
 
     NAMES = ("embed", "wx", "wh", "b", "wc", "bc", "wo", "bo")
 
-    def __init__(self, bounds: np.ndarray, weights: np.ndarray, size: int = 24, seed: int = 3):
+    def __init__(self, bounds: np.ndarray, weights: np.ndarray, size: int = 16, seed: int = 3):
         """Start from the outputs' frequencies: biases are their logarithms."""
         random = np.random.default_rng(seed)
         n, classes = int(bounds[-1]), len(bounds) - 1
@@ -151,7 +151,7 @@ class Gru:
         new = np.tanh(projected[:, 2 * size :] + r * kept)
         return new + z * (h - new), z, r, kept, new
 
-    def log_likelihoods(self, texts: list[np.ndarray], start: int, lanes: int = 512) -> np.ndarray:
+    def log_likelihoods(self, texts: list[np.ndarray], start: int, lanes: int = 256) -> np.ndarray:
         """Natural logarithm of each whole text's probability; 0 for an empty sequence."""
         laid = Lanes.of(texts, start, lanes)
         total = np.zeros(len(texts))

@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,9 @@ from ledgerline.llm.common import id_and_text, small_batches
 from ledgerline.llm.gru import Gru
 from ledgerline.session import materialize
 
-MODEL_WORDS = 4_096
+MODEL_WORDS = 2_048
 KNOWN_WORDS = 100_000
-CLASSES = 64
+CLASSES = 48
 KINDS = 16
 ROUNDS = 2
 SHARE = 8  # one of so many training documents trains in a round
@@ -182,7 +183,7 @@ class Reader:
         the logarithms of the far words' counts; the far words."""
         words = words_of(text)
         get = self.place.get
-        at = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        at = np.fromiter(map(get, words, repeat(-1)), dtype=np.int64, count=len(words))
         outputs = np.empty(len(words) + 1, dtype=np.int32)
         outputs[-1] = self.vocabulary.end
         near = at >= 0
