@@ -6,6 +6,13 @@ the same chunks wherever it stands, whatever lines are put before it. Chunks of
 lines are grouped over all documents by hash; of each group the first occurrence stays, and
 the others go if their bytes equal it.
 
+The SQL below states that rule, and dedup_lines follows it. Chunks at either end of a passage
+are glued to the neighbouring lines, though, and stay. dedup_passages, which the pipeline uses,
+removes besides the repeated chunks every run of whole lines of at least MIN_WORDS words that
+stands in an earlier place, up to its edges. It compares, at every line, the shortest run from
+there on (or up to there) that has so many words: such a run depends on its own lines alone,
+and every longer passage is covered by those within it.
+
 Only expressions of Spark are used. Grouping combines on the map side and brings one text
 per chunk; a chunk that a third of the documents share meets its occurrences in an
 equi-join that adaptive execution may split, and each document collects no more than its
@@ -17,11 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import WORD
 from ledgerline.session import materialize
 
 WINDOW = 2
 DIVISOR = 3
 MIN_LINES = 2
+MIN_WORDS = 50  # of a passage that goes whatever stands beside it
 FACTOR = 31  # fixed value of the rolling hash
 
 
@@ -34,6 +43,31 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("bigint")
 
 
+def chunk_ends(lines: Column, window: int, divisor: int) -> Column:
+    """Numbers (from 1) of the lines after which a chunk ends."""
+
+    def rolling(hashes: Column, i: Column) -> Column:
+        # Hashes have 32 bits and the window is short, so the sum stays in 64 bits.
+        return sum(
+            (
+                F.when(i > j, F.element_at(hashes, F.greatest(i - j, F.lit(1))))
+                .otherwise(0)
+                * FACTOR ** (window - 1 - j)
+                for j in range(1, window)
+            ),
+            F.element_at(hashes, i) * FACTOR ** (window - 1),
+        )
+
+    def ends(hashes: Column) -> Column:
+        n = F.size(hashes)
+        return F.filter(
+            F.sequence(F.lit(1), n),
+            lambda i: (i == n) | (F.pmod(rolling(hashes, i), F.lit(divisor)) == 0),
+        )
+
+    return bound(F.transform(lines, line_hash), ends)
+
+
 def chunks(text: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Column:
     """Array of chunks, each the array of its lines; concatenated they are the text's lines.
 
@@ -43,25 +77,6 @@ def chunks(text: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Column
     """
 
     def cut(lines: Column) -> Column:
-        def rolling(hashes: Column, i: Column) -> Column:
-            # Hashes have 32 bits and the window is short, so the sum stays in 64 bits.
-            return sum(
-                (
-                    F.when(i > j, F.element_at(hashes, F.greatest(i - j, F.lit(1))))
-                    .otherwise(0)
-                    * FACTOR ** (window - 1 - j)
-                    for j in range(1, window)
-                ),
-                F.element_at(hashes, i) * FACTOR ** (window - 1),
-            )
-
-        def ends(hashes: Column) -> Column:
-            n = F.size(hashes)
-            return F.filter(
-                F.sequence(F.lit(1), n),
-                lambda i: (i == n) | (F.pmod(rolling(hashes, i), F.lit(divisor)) == 0),
-            )
-
         def pieces(at: Column) -> Column:
             def piece(end: Column, j: Column) -> Column:
                 start = F.when(j > 0, F.element_at(at, F.greatest(j, F.lit(1)))).otherwise(0)
@@ -69,7 +84,7 @@ def chunks(text: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Column
 
             return F.transform(at, piece)
 
-        return bound(F.transform(lines, line_hash), lambda h: bound(ends(h), pieces))
+        return bound(chunk_ends(lines, window, divisor), pieces)
 
     return F.when(text.isNotNull(), bound(F.split(F.coalesce(text, F.lit("")), "\n", -1), cut))
 
@@ -165,6 +180,135 @@ def dedup_lines(
     )
 
 
+def runs(text: Column, min_words: int = MIN_WORDS) -> Column:
+    """Array of (first, last, digest): the runs of a text's lines, numbered from 0, that are
+    compared with others: its eligible chunks, and the shortest runs of at least `min_words`
+    words that begin, or end, at each line that has words. The digest is the SHA-256 of the
+    run's bytes. A null text has null."""
+
+    def of_lines(lines: Column) -> Column:
+        def run(first: Column, last: Column) -> Column:
+            whole = F.array_join(F.slice(lines, first + 1, last - first + 1), "\n")
+            digest = F.unhex(F.sha2(whole.cast("binary"), 256))
+            return F.struct(first.alias("first"), last.alias("last"), digest.alias("digest"))
+
+        def shortest(near: Column) -> Column:
+            """The words of the first lines that have enough, and the last one's number."""
+            start = F.struct(F.lit(0).alias("words"), F.lit(-1).alias("end"))
+            return F.aggregate(
+                near,
+                start,
+                lambda a, x: F.when(a["words"] >= min_words, a).otherwise(
+                    F.struct((a["words"] + x["words"]).alias("words"), x["at"].alias("end"))
+                ),
+            )
+
+        def around(full: Column) -> Column:
+            # Every line of `full` has a word, so min_words of them are enough.
+            def forward(x: Column, i: Column) -> Column:
+                return bound(
+                    shortest(F.slice(full, i + 1, F.lit(min_words))),
+                    lambda f: F.when(f["words"] >= min_words, run(x["at"], f["end"])),
+                )
+
+            def backward(x: Column, i: Column) -> Column:
+                start = F.greatest(i + 1 - min_words, F.lit(0))
+                # A run that needs its last line is also the one from its first line on.
+                return bound(
+                    shortest(F.reverse(F.slice(full, start + 1, i - start + 1))),
+                    lambda f: F.when(f["words"] - x["words"] >= min_words, run(f["end"], x["at"])),
+                )
+
+            return F.concat(F.transform(full, forward), F.transform(full, backward))
+
+        def of_chunks(ends: Column) -> Column:
+            def chunk(end: Column, j: Column) -> Column:
+                start = F.when(j > 0, F.element_at(ends, F.greatest(j, F.lit(1)))).otherwise(0)
+                own = F.slice(lines, start + 1, end - start)
+                return F.when(eligible(own), run(start, end - 1))
+
+            return F.transform(ends, chunk)
+
+        counted = F.transform(
+            lines,
+            lambda line, i: F.struct(
+                F.size(F.regexp_extract_all(line, F.lit(WORD), F.lit(0))).alias("words"),
+                i.alias("at"),
+            ),
+        )
+        full = F.filter(counted, lambda x: x["words"] > 0)
+        found = F.concat(bound(full, around), bound(chunk_ends(lines, WINDOW, DIVISOR), of_chunks))
+        return F.filter(found, lambda r: r.isNotNull())
+
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    return F.when(text.isNotNull(), bound(lines, of_lines))
+
+
+def dedup_passages(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    min_words: int = MIN_WORDS,
+) -> DataFrame:
+    """The rows of docs without the lines of repeated passages: of runs of whole lines of at
+    least `min_words` words, the first and last not blank, and of the chunks of dedup_lines.
+
+    Places are ordered and rows with the same id and text treated as by dedup_lines; a line
+    goes if it lies in a run whose bytes stand in an earlier place, so each stays once. Where
+    a passage overlaps itself, what repeats goes. A null text stays null; a text of which
+    nothing is left is empty. An empty table gives no rows. Writes the repeated runs' digests
+    when called.
+    """
+    occurrences = docs.select(
+        docs[id_column].isNull().alias("missing"),
+        docs[id_column].alias("id"),
+        F.xxhash64(docs[text_column]).alias("print"),
+        F.explode(runs(docs[text_column], min_words)).alias("run"),
+    ).select(
+        F.col("run.digest").alias("digest"),
+        F.struct("missing", "id", "print", F.col("run.first").alias("at")).alias("place"),
+        F.col("run.last").alias("last"),
+    )
+    firsts = materialize(
+        occurrences.groupBy("digest")
+        .agg(F.min("place").alias("kept"), F.max("place").alias("most"))
+        .filter(F.col("kept") != F.col("most"))
+        .select("digest", "kept")
+    )
+    repeats = (
+        occurrences.join(firsts, "digest")
+        .filter(F.col("place") != F.col("kept"))
+        .select(
+            F.col("place.id").alias("id"),
+            F.col("place.print").alias("print"),
+            F.explode(F.sequence(F.col("place.at"), F.col("last"))).alias("line"),
+        )
+        .groupBy("id", "print")
+        .agg(F.collect_set("line").alias("gone"))
+    )
+    names = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    text_name = next(k for k, c in names.items() if c.lower() == text_column.lower())
+    id_name = next(k for k, c in names.items() if c.lower() == id_column.lower())
+    wide = docs.toDF(*names).withColumn("own_print", F.xxhash64(text_name))
+    joined = wide.join(
+        repeats,
+        wide[id_name].eqNullSafe(repeats["id"]) & (wide["own_print"] == repeats["print"]),
+        "left",
+    )
+
+    def left_of(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+        return F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n")
+
+    cut = F.when(F.col("gone").isNotNull(), bound(F.split(text_name, "\n", -1), left_of))
+    return joined.select(
+        *[
+            (F.coalesce(cut, k) if k == text_name else F.col(k)).alias(c)
+            for k, c in names.items()
+        ]
+    )
+
+
 SQL = f"""
 WITH lines AS (
   SELECT doc_id, i, line, n,

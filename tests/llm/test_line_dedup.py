@@ -5,8 +5,9 @@ import hashlib
 import pytest
 from llm import edge
 
+import corpus_pipeline
 from ledgerline.llm.common import table
-from ledgerline.llm.line_dedup import DIVISOR, FACTOR, MIN_LINES, dedup_lines
+from ledgerline.llm.line_dedup import DIVISOR, FACTOR, MIN_LINES, MIN_WORDS, dedup_lines, dedup_passages
 
 
 def slow_chunks(text):
@@ -98,3 +99,82 @@ def test_many_lines_in_one_text(spark):
     texts = {1: "\n".join(lines), 2: "\n".join(lines[5_000:])}
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     assert found_in(dedup_lines(docs)) == slow_dedup(texts)
+
+
+def slow_passages(texts):
+    """The texts left by id: all runs of lines of enough words, and the chunks, are compared."""
+    seen, places = set(), []
+    for i in sorted(texts):
+        lines = texts[i].split("\n")
+        sizes = [len(x.split()) for x in lines]
+        for a in range(len(lines)):
+            places += [
+                (i, a, b, "\n".join(lines[a : b + 1]))
+                for b in range(a, len(lines))
+                if sizes[a] and sizes[b] and sum(sizes[a : b + 1]) >= MIN_WORDS
+            ]
+        a = 0
+        for chunk in slow_chunks(texts[i]):
+            if sum(bool(x.strip(" ")) for x in chunk) >= MIN_LINES:
+                places.append((i, a, a + len(chunk) - 1, "\n".join(chunk)))
+            a += len(chunk)
+    gone, first = {i: set() for i in texts}, {}
+    for i, a, b, whole in sorted(places):
+        if first.setdefault(whole, (i, a)) != (i, a):
+            gone[i].update(range(a, b + 1))
+    return {
+        i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])
+        for i, t in texts.items()
+    }
+
+
+def passages_left(spark, texts):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    cut = corpus_pipeline.drop_repeated_lines(spark, docs.repartition(4), "")
+    return {r.doc_id: r.text for r in cut.collect()}
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 6])
+def test_a_passage_of_50_words_goes_to_its_edges(spark, size):
+    names = [f"n{j}" for j in range(900)]
+    counts = [50 // size + (k < 50 % size) for k in range(size)]
+    passage = "\n".join(edge.words(100 + k, n, names) for k, n in enumerate(counts))
+    around = {i: (edge.words(2 * i, 8, names), edge.words(2 * i + 1, 8, names)) for i in range(12)}
+    texts = {i: f"{a}\n{passage}\n{b}" for i, (a, b) in around.items()}
+    found = passages_left(spark, texts)
+    assert found == slow_passages(texts)
+    assert found == {i: texts[0] if i == 0 else f"{a}\n{b}" for i, (a, b) in around.items()}
+    short = {i: t.replace(passage.split(" ", 1)[0] + " ", f"own{i} ") for i, t in texts.items()}
+    assert size > 1 or passages_left(spark, short) == short
+
+
+def test_passages_of_odd_shapes(spark):
+    names = [f"n{j}" for j in range(40)]
+    pool = [edge.words(i, 1 + 7 * i % 60, names) for i in range(14)] + ["", " "]
+    texts = {}
+    for i in range(60):
+        texts[i] = "\n".join(pool[(i * i + 5 * j * (1 + i % 3)) % len(pool)] for j in range(i % 17))
+    texts |= {60: "\n".join(["a b c d e"] * 40), 61: "\n".join(["one"] * 120), 62: texts[16]}
+    assert passages_left(spark, texts) == slow_passages(texts)
+
+
+def test_passages_of_the_table(spark, folder):
+    docs = table(spark, folder, "documents")
+    texts = {r.doc_id: r.text for r in docs.collect() if r.text is not None}
+    assert {r.doc_id: r.text for r in dedup_passages(docs).collect() if r.text is not None} == slow_passages(texts)
+
+
+def test_passages_of_odd_rows(spark):
+    docs = edge.docs(spark)
+    found = dedup_passages(docs)
+    assert found.columns == docs.columns
+    by_id = {}
+    for r in found.collect():
+        by_id.setdefault(r.doc_id, []).append(r.text)
+    texts = {i: t for i, t, *_ in edge.rows()}
+    assert by_id[1] == ["another start\nand an end"] and by_id[0] == [texts[0]]
+    assert by_id[2] == [None] and by_id[6] == [texts[6]] * 4 and by_id[2**40] == [""]
+    assert dedup_passages(edge.empty(spark)).collect() == []
+    lines = [f"line {i} of a long text" for i in range(20_000)]
+    left = passages_left(spark, {1: "\n".join(lines), 2: "\n".join(["own", *lines[5_000:], "end"])})
+    assert left[2] == "own\nend"
