@@ -6,11 +6,11 @@ word. From them come the base score and the model's outputs: the commonest words
 probability is that of its kind, given the state, times its smoothed share of the kind's
 count, so every text has a proper probability whatever words it holds.
 
-The recurrent model (gru.py) is trained where the documents are: documents that a hash
-picks, a fixed share of the training documents, are dealt to trainers of a bounded number of
-tokens, each makes a pass of truncated backpropagation from the same start, and the
-parameters are averaged in groups until one model is left; ROUNDS times. So what training
-gathers grows with the input, and no task or driver holds more than a few models.
+The recurrent model (gru.py) is trained where the documents are: all training documents, a
+part of them in each of ROUNDS rounds, are dealt to trainers of a bounded number of tokens,
+each makes a pass of truncated backpropagation from the same start, and the parameters are
+averaged in groups until one model is left. So what training gathers grows with the input,
+and no task or driver holds more than a few models.
 
 Scoring reads every document once. The commonest words (KNOWN_WORDS, a bounded table) are
 looked up in the task; what is left of a document, its rarer words, meets their counts in a
@@ -35,12 +35,11 @@ from ledgerline.llm.common import id_and_text, small_batches
 from ledgerline.llm.gru import Gru
 from ledgerline.session import materialize
 
-MODEL_WORDS = 2_048
+MODEL_WORDS = 4_096
 KNOWN_WORDS = 100_000
-CLASSES = 48
+CLASSES = 64
 KINDS = 16
-ROUNDS = 2
-SHARE = 8  # one of so many training documents trains in a round
+ROUNDS = 2  # a hash deals the training documents to them, each to one
 TRAINER_TOKENS = 400_000
 GROUP = 16  # models averaged in one task
 BUFFER_TOKENS = 2_000_000
@@ -202,13 +201,14 @@ class Reader:
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, seed: int = 3) -> bytes:
-    """The trained model's parameters. `docs` (id, text) are the training documents."""
+    """The trained model's parameters. `docs` (id, text) are the training documents; each
+    trains once."""
     bounds, weights = vocabulary.outputs()
     packed = Gru(bounds, weights, seed=seed).pack()
     spark = docs.sparkSession
     for number in range(ROUNDS):
-        picked = docs.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(SHARE)) == number)
-        tokens = vocabulary.total // SHARE
+        picked = docs.filter(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(ROUNDS)) == number)
+        tokens = vocabulary.total // ROUNDS
         trainers = max(1, -(-tokens // TRAINER_TOKENS))
         shared = spark.sparkContext.broadcast((vocabulary, packed))
 

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from llm import edge
+from pyspark.sql import functions as F
 
 from ledgerline.llm import gru, lm
 from ledgerline.llm.common import table
@@ -55,6 +56,28 @@ def test_odd_rows(spark):
     assert all(abs(r.base_score) < 1e-9 and r.score < 0 for r in found)
 
 
+def test_every_training_document_trains_once(spark, folder, monkeypatch):
+    """The trainers' tokens, as they are averaged, are those of all training documents."""
+    seen = []
+    kept = lm.materialize
+
+    def watched(frame):
+        found = kept(frame)
+        if "model" in found.columns:
+            seen.append(sum(r.tokens for r in found.select("tokens").collect()))
+        return found
+
+    monkeypatch.setattr(lm, "materialize", watched)
+    for docs in (table(spark, folder, "documents"), edge.docs(spark, data=edge.rows()[:3])):
+        seen.clear()
+        rows = [(r.doc_id, r.text) for r in docs.collect()]
+        texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+        texts = texts.filter(lm.trains(F.col("id")))
+        vocabulary = lm.Vocabulary.of(lm.count_words(texts), 100, 20)
+        lm.train(texts, vocabulary)
+        assert sum(seen) == sum(len((t or "").encode().split()) + 1 for i, t in rows if not held_out(i))
+
+
 def small_vocabulary(words):
     counts = Counter(words)
     ordered = sorted(counts, key=lambda w: (-counts[w], w))[:6]
