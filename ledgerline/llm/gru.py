@@ -4,18 +4,21 @@ A text is a sequence of output numbers. Outputs are in contiguous classes, and t
 probability of one is that of its class, given the state, times its probability within the
 class. Texts run side by side in lanes, one after another in each, with the state set to
 zero where a text begins and carried over everything else, so a text's log-likelihood is
-that of the whole text. Training is truncated to windows of steps.
+that of the whole text. Training is truncated to windows of steps. Lanes are laid out a
+bounded number of steps at a time.
 """
 
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 WINDOW = 24  # steps that gradients flow back
 CHUNK = 32  # steps whose outputs are evaluated together when scoring
+PIECE = 16 * WINDOW * 4  # steps laid out at a time; whole windows and whole chunks
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -50,7 +53,17 @@ class Lanes:
 
     @classmethod
     def of(cls, texts: list[np.ndarray], start: int, lanes: int) -> Lanes:
-        """Every text goes to the shortest lane so far, the longest first."""
+        """All steps at once."""
+        return next(cls.pieces(texts, start, lanes, max(1, sum(map(len, texts)))))
+
+    @classmethod
+    def pieces(
+        cls, texts: list[np.ndarray], start: int, lanes: int, most: int | None = None
+    ) -> Iterator[Lanes]:
+        """At most `most` (PIECE) steps at a time, in order, with the lanes that still run, so
+        memory does not follow the longest text. Every text goes to the shortest lane so far,
+        the longest first. Without any token there is one piece of no steps."""
+        most = most or PIECE
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
         lanes = max(1, min(lanes, int((lengths > 0).sum())))
         filled = np.zeros(lanes, dtype=np.int64)
@@ -66,23 +79,30 @@ class Lanes:
             filled[lane] = total + lengths[i]
             heapq.heappush(heap, (int(filled[lane]), lane))
         order = np.argsort(-filled, kind="stable")
+        places = [(0, 0)] * lanes  # of each column: the text it is at, and the tokens behind
         steps = int(filled.max(initial=0))
-        shape = (steps, lanes)
-        wanted = np.zeros(shape, dtype=np.int32)
-        inputs = np.full(shape, start, dtype=np.int32)
-        text = np.full(shape, -1, dtype=np.int64)
-        begins = np.zeros(shape, dtype=bool)
-        for column, lane in enumerate(order):
-            at = 0
-            for i in members[lane]:
-                n = lengths[i]
-                wanted[at : at + n, column] = texts[i]
-                inputs[at + 1 : at + n, column] = texts[i][:-1]
-                text[at : at + n, column] = i
-                begins[at, column] = True
-                at += n
-        active = (text >= 0).sum(axis=1)
-        return cls(inputs, wanted, text, begins, active)
+        for first in range(0, max(steps, 1), most):
+            running = max(1, int((filled > first).sum()))
+            shape = (min(most, steps - first), running)
+            wanted = np.zeros(shape, dtype=np.int32)
+            inputs = np.full(shape, start, dtype=np.int32)
+            text = np.full(shape, -1, dtype=np.int64)
+            begins = np.zeros(shape, dtype=bool)
+            for column in range(running):
+                own, (place, done), at = members[order[column]], places[column], 0
+                while place < len(own) and at < shape[0]:
+                    i = own[place]
+                    n = min(int(lengths[i]) - done, shape[0] - at)
+                    wanted[at : at + n, column] = texts[i][done : done + n]
+                    fresh = int(done == 0)  # the first input of a text is the start
+                    inputs[at + fresh : at + n, column] = texts[i][done + fresh - 1 : done + n - 1]
+                    text[at : at + n, column] = i
+                    begins[at, column] = fresh
+                    at, done = at + n, done + n
+                    if done == lengths[i]:
+                        place, done = place + 1, 0
+                places[column] = place, done
+            yield cls(inputs, wanted, text, begins, (text >= 0).sum(axis=1))
 
 
 class Gru:
@@ -153,51 +173,52 @@ class Gru:
 
     def log_likelihoods(self, texts: list[np.ndarray], start: int, lanes: int = 256) -> np.ndarray:
         """Natural logarithm of each whole text's probability; 0 for an empty sequence."""
-        laid = Lanes.of(texts, start, lanes)
         total = np.zeros(len(texts))
         table = self.embed @ self.wx + self.b
-        h = np.zeros((laid.inputs.shape[1], self.wh.shape[0]), dtype=np.float32)
-        for at in range(0, len(laid.inputs), CHUNK):
-            states, spans = [], []
-            for t in range(at, min(at + CHUNK, len(laid.inputs))):
-                n = laid.active[t]
-                h = np.where(laid.begins[t, :n, None], np.float32(0), h[:n])
-                h = self._step(table[laid.inputs[t, :n]], h)[0]
-                states.append(h)
-                spans.append((t, n))
-            wanted = np.concatenate([laid.wanted[t, :n] for t, n in spans])
-            owner = np.concatenate([laid.text[t, :n] for t, n in spans])
-            flat = np.concatenate(states)
-            found = log_chosen(flat @ self.wc + self.bc, self.class_of[wanted])
-            for c, rows in self._by_class(wanted):
-                a, b = self.bounds[c], self.bounds[c + 1]
-                inner = flat[rows] @ self.wo[a:b].T + self.bo[a:b]
-                found[rows] += log_chosen(inner, wanted[rows] - a)
-            total += np.bincount(owner, found, len(texts))
+        h = np.zeros((max(1, min(lanes, len(texts))), self.wh.shape[0]), dtype=np.float32)
+        for laid in Lanes.pieces(texts, start, lanes):
+            for at in range(0, len(laid.inputs), CHUNK):
+                states, spans = [], []
+                for t in range(at, min(at + CHUNK, len(laid.inputs))):
+                    n = laid.active[t]
+                    h = np.where(laid.begins[t, :n, None], np.float32(0), h[:n])
+                    h = self._step(table[laid.inputs[t, :n]], h)[0]
+                    states.append(h)
+                    spans.append((t, n))
+                wanted = np.concatenate([laid.wanted[t, :n] for t, n in spans])
+                owner = np.concatenate([laid.text[t, :n] for t, n in spans])
+                flat = np.concatenate(states)
+                found = log_chosen(flat @ self.wc + self.bc, self.class_of[wanted])
+                for c, rows in self._by_class(wanted):
+                    a, b = self.bounds[c], self.bounds[c + 1]
+                    inner = flat[rows] @ self.wo[a:b].T + self.bo[a:b]
+                    found[rows] += log_chosen(inner, wanted[rows] - a)
+                total += np.bincount(owner, found, len(texts))
         return total
 
     def train(
         self, texts: list[np.ndarray], start: int, lanes: int = 64, rate: float = 0.02
     ) -> int:
         """One pass of truncated backpropagation with Adam; returns the tokens seen."""
-        laid = Lanes.of(texts, start, lanes)
         moments = {k: (np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))) for k in self.NAMES}
-        h = np.zeros((laid.inputs.shape[1], self.wh.shape[0]), dtype=np.float32)
-        rounds = 0
-        for at in range(0, len(laid.inputs), WINDOW):
-            steps = range(at, min(at + WINDOW, len(laid.inputs)))
-            n = int(laid.active[at])
-            h, gradients = self._window(laid, steps, h[:n])
-            rounds += 1
-            slow = rate / (1 + rounds / 400)
-            for k, g in gradients.items():
-                m, v = moments[k]
-                np.clip(g, -1, 1, out=g)
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                fix = np.sqrt(1 - 0.999**rounds) / (1 - 0.9**rounds)
-                getattr(self, k).__isub__((slow * fix * m / (np.sqrt(v) + 1e-8)).astype(np.float32))
-        return int(laid.active.sum())
+        h = np.zeros((max(1, min(lanes, len(texts))), self.wh.shape[0]), dtype=np.float32)
+        rounds = tokens = 0
+        for laid in Lanes.pieces(texts, start, lanes):
+            tokens += int(laid.active.sum())
+            for at in range(0, len(laid.inputs), WINDOW):
+                steps = range(at, min(at + WINDOW, len(laid.inputs)))
+                n = int(laid.active[at])
+                h, gradients = self._window(laid, steps, h[:n])
+                rounds += 1
+                slow = rate / (1 + rounds / 400)
+                for k, g in gradients.items():
+                    m, v = moments[k]
+                    np.clip(g, -1, 1, out=g)
+                    m += 0.1 * (g - m)
+                    v += 0.001 * (g * g - v)
+                    fix = np.sqrt(1 - 0.999**rounds) / (1 - 0.9**rounds)
+                    getattr(self, k).__isub__((slow * fix * m / (np.sqrt(v) + 1e-8)).astype(np.float32))
+        return tokens
 
     def _window(self, laid: Lanes, steps: range, h: np.ndarray) -> tuple[np.ndarray, dict]:
         size = h.shape[1]

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -153,6 +154,33 @@ def test_whole_texts_carry_their_state(model, lanes):
     assert copy.log_likelihoods(texts, 8, lanes) == pytest.approx(wanted, rel=1e-6)
 
 
+@pytest.mark.parametrize("piece", [1, 7, 96])
+def test_pieces_change_nothing(model, monkeypatch, piece):
+    """Chunks of one step, so that pieces of any size are whole chunks and whole windows."""
+    monkeypatch.setattr(gru, "CHUNK", 1)
+    monkeypatch.setattr(gru, "WINDOW", 1)
+    texts = [*some_texts(4), np.array([], dtype=np.int32)]
+    found = []
+    for size in (10**6, piece):
+        monkeypatch.setattr(gru, "PIECE", size)
+        copy = gru.Gru.unpack(model.pack())
+        likelihoods = copy.log_likelihoods(texts, 8, 5)
+        found.append((likelihoods, copy.train(texts, 8, 3), copy.wh, copy.embed))
+    for a, b in zip(*found, strict=True):
+        assert np.array_equal(a, b)
+
+
+def test_memory_does_not_follow_the_longest_text(model):
+    """One long text beside many short ones, which as a dense table is 17 bytes a cell."""
+    texts = [np.arange(n, dtype=np.int32) % 9 for n in [30_000] + [5] * 255]
+    for call in (model.log_likelihoods, model.train):
+        tracemalloc.start()
+        call(texts, 8)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 17 * 2_000 * 256
+
+
 def test_gradients(model):
     texts = some_texts(2, 6, 9)
     laid = gru.Lanes.of(texts, 8, 3)
