@@ -3,16 +3,17 @@
 Two zstandard dictionaries are trained, one on ordinary text and one on toxic text, and a
 text is read in windows of a few words. A window is compressed with the ordinary dictionary
 alone and with the toxic one put before it: the bytes that the toxic dictionary saves are
-the window's distance. Calibrated thresholds (a logistic curve over the largest, the mean
-and the share of savings) turn a text's distances into a probability.
+the window's distance. Calibrated thresholds turn a text's distances into a probability: a
+logistic curve over the mean and the shares of savings, and over how unlikely the largest and
+third largest are among as many windows of ordinary texts, so that length alone raises none.
 
 Most words of a toxic text are ordinary, so the toxic dictionary is trained on those words
 only that hold a letter sequence far commoner in toxic examples. A fixed carrier that ends
 both dictionaries precedes every window, so that short windows are coded and not stored.
 
-Fitting uses a bounded sample of labelled rows (EXAMPLES of each class, a span of
-EXAMPLE_WORDS words of each), on the driver; the model is some 60 kB. Scoring reads every
-text whole, in one pass without a shuffle.
+Fitting uses a sample of labelled rows (some EXAMPLES of each class) with their whole texts:
+the driver makes the dictionaries, tasks measure the texts; the model is some 60 kB. Scoring
+reads every text whole, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -30,14 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm.common import id_and_text, small_batches
+from ledgerline.session import materialize
 
 EXAMPLES = 3_000  # labelled rows of each class that a model is fitted on
-EXAMPLE_WORDS = 400
 HASH_PARTS = 1 << 20
 WINDOW_WORDS = 8
 ORDINARY_BYTES, TOXIC_BYTES = 49_152, 8_192
 LETTERS, MARKS, LEAST_Z = 5, 256, 4.5
 FOLDS = 3
+LEVELS = 16  # savings in bytes that are told apart
 CARRIER = b"\x01calibrated carrier that both dictionaries end with, so every block is coded\x02"
 
 
@@ -104,10 +106,32 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
+def features_of(saved: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Of a text's windows by saving: rarity of the largest and of the third largest, mean,
+    shares of savings of at least two and three bytes, inverse of their number; zeros without
+    windows. A rarity is the negative logarithm to base 10 of the probability that as many
+    windows of ordinary texts, `tail` their shares, have one (three) of that saving."""
+    total = int(saved.sum())
+    if not total:
+        return np.zeros(6)
+    above = np.cumsum(saved[::-1])[::-1]
+    rarities = []
+    for times in (1, 3):
+        level = max(int((above >= times).sum()) - 1, 0)
+        expected = total * float(tail[level])
+        fewer = sum(expected**k / math.factorial(k) for k in range(times)) * math.exp(-expected)
+        exactly = expected**times / math.factorial(times) * math.exp(-expected)
+        rarities.append(-math.log10(max(1 - fewer, exactly, 1e-300)))
+    n = total + 2
+    mean = saved @ np.arange(LEVELS) / n
+    return np.array([*rarities, mean, above[2] / n, above[3] / n, 1 / n])
+
+
 @dataclass
 class Model:
     ordinary: bytes
     toxic: bytes
+    tail: np.ndarray | None = None  # shares of ordinary windows that save at least so much
     weights: np.ndarray | None = None  # of the features and a constant
     constant: float = 0.0  # the score where there is nothing to learn from
 
@@ -119,22 +143,19 @@ class Model:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_lengths"}
 
-    def features(self, text: str) -> np.ndarray:
-        """Largest saving, mean of the three largest, mean, and shares of savings of at least
-        two and three bytes, over all windows of the text; zeros without words."""
+    def savings(self, text: str) -> np.ndarray:
+        """How many windows of the text save 0 to LEVELS - 1 bytes; none without words."""
         words = words_of(text)
-        if not words:
-            return np.zeros(6)
         plain, informed = self.lengths()
         windows = (
             b" " + b" ".join(words[i : i + WINDOW_WORDS])
             for i in range(0, len(words), WINDOW_WORDS)
         )
-        saved = np.array([plain(w) - informed(w) for w in windows], dtype=float)
-        saved.sort()
-        n = len(saved) + 2
-        shares = [(saved >= t).sum() / n for t in (2, 3)]
-        return np.array([saved[-1], saved[-3:].mean(), saved.sum() / n, *shares, 1 / n])
+        saved = np.array([plain(w) - informed(w) for w in windows], dtype=int)
+        return np.bincount(np.clip(saved, 0, LEVELS - 1), minlength=LEVELS)
+
+    def features(self, text: str) -> np.ndarray:
+        return features_of(self.savings(text), self.tail)
 
     def score(self, texts: list[str]) -> np.ndarray:
         if self.weights is None:
@@ -179,25 +200,56 @@ def dictionaries(texts: list[str], labels: list[int], seed: int) -> Model:
     return Model(trained(ORDINARY_BYTES, ordinary), trained(TOXIC_BYTES, toxic))
 
 
-def fit_examples(texts: list[str], labels: list[int], share: float, seed: int = 5) -> Model:
-    """A model of the examples, `share` being the share of toxic rows where the classes are
-    sampled unevenly. The thresholds are fitted on distances under dictionaries of the other
-    examples (in FOLDS parts), the model's own dictionaries come from all."""
-    order = list(range(len(texts)))
+def dealt(labels: list[int], seed: int) -> list[int]:
+    """The part of each example, of FOLDS, each with as many of either class."""
+    order = list(range(len(labels)))
     random.Random(seed).shuffle(order)
-    by_class = [[i for i in order if labels[i] == c] for c in (0, 1)]
-    if min(map(len, by_class)) < FOLDS:
+    parts = [0] * len(labels)
+    for c in (0, 1):
+        for place, i in enumerate(i for i in order if labels[i] == c):
+            parts[i] = place % FOLDS
+    return parts
+
+
+def measured(examples: DataFrame, parts: dict, models: list[Model]) -> dict:
+    """By id, the savings of the examples' whole texts under the model of their part."""
+    spark = examples.sparkSession
+    shared = spark.sparkContext.broadcast((parts, models))
+    id_field = examples.schema["id"]
+    schema = T.StructType([id_field, T.StructField("found", T.ArrayType(T.LongType()))])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part_of, made = shared.value
+        for batch in small_batches(batches):
+            ids, texts = (c.to_pylist() for c in batch.columns)
+            found = [made[part_of[i]].savings(t) for i, t in zip(ids, texts, strict=True)]
+            values = pa.array([f.tolist() for f in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["id", "found"])
+
+    spread = examples.select("id", "text").repartition(spark.sparkContext.defaultParallelism, "id")
+    return {r["id"]: r["found"] for r in spread.mapInArrow(task, schema).collect()}
+
+
+def fit_examples(examples: DataFrame, share: float, seed: int = 5) -> Model:
+    """A model of the examples (id, label, text; an id once), `share` being the share of toxic
+    rows where the classes are sampled unevenly. The thresholds are fitted on distances under
+    dictionaries of the other examples (in FOLDS parts), the model's own come from all."""
+    rows = sorted(examples.collect(), key=lambda r: r["id"])
+    texts, labels = [r["text"] for r in rows], [r["label"] for r in rows]
+    if min(labels.count(0), labels.count(1)) < FOLDS:
         return Model(b"", b"", constant=share)
-    features = np.zeros((len(texts), 6))
+    parts = dealt(labels, seed)
+    models = []
     for part in range(FOLDS):
-        own = {i for members in by_class for i in members[part::FOLDS]}
-        rest = [i for i in range(len(texts)) if i not in own]
-        model = dictionaries([texts[i] for i in rest], [labels[i] for i in rest], seed)
-        for i in own:
-            features[i] = model.features(texts[i])
+        rest = [i for i, own in enumerate(parts) if own != part]
+        models.append(dictionaries([texts[i] for i in rest], [labels[i] for i in rest], seed))
+    found = measured(examples, {r["id"]: p for r, p in zip(rows, parts, strict=True)}, models)
+    saved = np.array([found[r["id"]] for r in rows])
     wanted = np.array(labels, dtype=float)
     model = dictionaries(texts, labels, seed)
-    model.weights = logistic(features, wanted)
+    ordinary = np.cumsum(saved[wanted == 0].sum(axis=0)[::-1])[::-1]
+    model.tail = (ordinary + 1) / (ordinary[0] + 1)
+    model.weights = logistic(np.array([features_of(s, model.tail) for s in saved]), wanted)
     # Examples are taken class by class; the constant brings back the classes' true odds.
     sampled = wanted.mean()
     model.weights[-1] += math.log(share / (1 - share)) - math.log(sampled / (1 - sampled))
@@ -217,8 +269,8 @@ def fit(
 
     Of several labels of an id the highest counts; missing labels and rows without an id are
     passed over. Without examples of both classes the model scores every text with the share
-    of toxic labels, 0 without any. Collects some `examples` spans of each class: a hash of
-    the id picks them, so their number varies by its square root.
+    of toxic labels, 0 without any. Collects some `examples` whole texts of each class: a hash
+    of the id picks them, so their number varies by its square root.
     """
     known = (
         labels.filter(train)
@@ -233,24 +285,14 @@ def fit(
     picked = F.when(F.col("label") == 1, parts.get(1, 0)).otherwise(parts.get(0, 0))
     chosen = known.filter(F.pmod(F.xxhash64("label_id"), F.lit(HASH_PARTS)) < picked)
     source = id_and_text(docs, id_column, text_column)
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    start = F.pmod(F.xxhash64("id"), F.greatest(F.size("words") - EXAMPLE_WORDS, F.lit(0)) + 1)
-    # Two classes of some `examples` ids, so every task can have them; texts stay in place.
-    spans = (
+    # Two classes of some `examples` ids, so every task can have them; other texts stay in place.
+    found = materialize(
         source.join(F.broadcast(chosen), source["id"] == chosen["label_id"])
-        .withColumn("words", words)
-        .select(
-            "id",
-            "label",
-            F.array_join(F.slice("words", (start + 1).cast("int"), EXAMPLE_WORDS), " ").alias("span"),
-        )
         .groupBy("id", "label")  # of several texts of an id, the first in order
-        .agg(F.min("span").alias("span"))
-        .collect()
+        .agg(F.min("text").alias("text"))
     )
-    spans = sorted(spans, key=lambda r: r["id"])
     share = counted.get(1, 0) / total if total else 0.0
-    return fit_examples([r["span"] for r in spans], [r["label"] for r in spans], share)
+    return fit_examples(found, share)
 
 
 def score(

@@ -95,3 +95,39 @@ def test_odd_rows(spark, frames):
     rated = toxicity.score(docs, model)
     assert set(rated.columns) == set(docs.columns)  # the old column of that name is replaced
     assert {r.score for r in rated.collect()} == {0.0}
+
+
+def test_thresholds_are_fitted_on_whole_texts(spark, frames, monkeypatch):
+    """The last feature tells the number of windows that a text was read in."""
+    docs, labels, _ = frames
+    longer = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.repeat("text", 12)).otherwise(F.col("text")))
+    held = []
+    kept = toxicity.logistic
+    monkeypatch.setattr(toxicity, "logistic", lambda x, y: held.append(x) or kept(x, y))
+    toxicity.fit(longer, labels, F.lit(True))
+    texts = [r.text.split() for r in longer.orderBy("doc_id").collect()]
+    windows = [-(-len(words) // toxicity.WINDOW_WORDS) for words in texts]
+    assert max(windows) > 100
+    assert held[0][:, -1] == pytest.approx([1 / (n + 2) for n in windows])
+
+
+def test_features_of_clean_texts_do_not_grow_with_length(spark):
+    """Clean prose holds a telling word now and then, so long texts hold many."""
+
+    draw = random.Random(8)
+
+    def sprinkled(words):
+        return [draw.choice(STEMS) + "an" if draw.random() < 1 / 90 else w for w in words]
+
+    rows = [(i, t if y else " ".join(sprinkled(t.split())), y) for i, t, y in made(900)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    words = sprinkled(" ".join(t for _, t, y in made(400, seed=4) if not y).split())[:18_000]
+    short, long = (
+        np.mean([model.features(" ".join(words[i : i + n])) for i in range(0, len(words), n)], axis=0)
+        for n in (180, 3_600)
+    )
+    # A rarity that says nothing is 0.4 on average.
+    assert np.all(long < 1.3 * short + [0.4, 0.4, 0.02, 0.02, 0.02, 0])
+    assert all(model.score([" ".join(words[:n])])[0] < 0.5 for n in (180, 900, 3_600, 18_000))
