@@ -38,6 +38,7 @@ HASH_PARTS = 1 << 20
 WINDOW_WORDS = 8
 ORDINARY_BYTES, TOXIC_BYTES = 49_152, 8_192
 LETTERS, MARKS, LEAST_Z = 5, 256, 4.5
+SAMPLES_X, LEAST_BYTES = 8, 256  # samples are so many times the dictionary; its least size
 FOLDS = 3
 LEVELS = 16  # savings in bytes that are told apart
 CARRIER = b"\x01calibrated carrier that both dictionaries end with, so every block is coded\x02"
@@ -74,16 +75,16 @@ def telling(toxic: list[list[str]], ordinary: list[list[str]]) -> set[str]:
 
 
 def trained(size: int, samples: list[bytes]) -> bytes:
-    """Content of a dictionary trained on the samples; few samples are the content themselves."""
+    """Content of a dictionary trained on the samples, of at most `size` bytes and a fixed part
+    of theirs. The trainer takes at least LEAST_BYTES and some samples; of what it refuses
+    (a few words, or samples too alike to choose from) as many bytes are the content."""
     import zstandard
 
-    total = sum(map(len, samples))
-    if total > 8 * size and len(samples) > 64:
-        try:
-            return zstandard.train_dictionary(size, samples, k=16 if size < 16_384 else 64, d=6).as_bytes()
-        except zstandard.ZstdError:
-            pass  # too uniform to choose from
-    return b"".join(samples)[:size]
+    size = min(size, max(LEAST_BYTES, sum(map(len, samples)) // SAMPLES_X))
+    try:
+        return zstandard.train_dictionary(size, samples, k=16 if size < 16_384 else 64, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[:size]
 
 
 def compressor(content: bytes):

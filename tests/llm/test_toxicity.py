@@ -131,3 +131,19 @@ def test_features_of_clean_texts_do_not_grow_with_length(spark):
     # A rarity that says nothing is 0.4 on average.
     assert np.all(long < 1.3 * short + [0.4, 0.4, 0.02, 0.02, 0.02, 0])
     assert all(model.score([" ".join(words[:n])])[0] < 0.5 for n in (180, 900, 3_600, 18_000))
+
+
+@pytest.mark.parametrize("words", [150, 1_000, 8_000, 60_000])
+def test_dictionaries_are_trained_at_every_size(words):
+    """A frequent word is chosen wherever it stands, not what comes first."""
+    draw = random.Random(7)
+    rare = ["".join(draw.choice("abcdefghijklm") for _ in range(7)) for _ in range(words)]
+    often = [b" " + draw.choice(STEMS).encode() + b"ing" for _ in range(words // 2)]
+    samples = [f" {w}".encode() for w in rare] + often
+    size = 8_192
+    made_ = toxicity.trained(size, [b"".join(samples[i : i + 8]) for i in range(0, len(samples), 8)])
+    total = sum(map(len, samples))
+    assert len(made_) <= min(size, max(toxicity.LEAST_BYTES, total // toxicity.SAMPLES_X))
+    assert sum(stem.encode() in made_ for stem in STEMS) >= 3
+    assert not b"".join(samples).startswith(made_)
+    assert len(toxicity.trained(size, [b" a", b" b"])) == 4
