@@ -133,7 +133,7 @@ def test_features_of_clean_texts_do_not_grow_with_length(spark):
     assert all(model.score([" ".join(words[:n])])[0] < 0.5 for n in (180, 900, 3_600, 18_000))
 
 
-@pytest.mark.parametrize("words", [150, 1_000, 8_000, 60_000])
+@pytest.mark.parametrize("words", [400, 1_000, 8_000, 60_000])
 def test_dictionaries_are_trained_at_every_size(words):
     """A frequent word is chosen wherever it stands, not what comes first."""
     draw = random.Random(7)
