@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import (
+    best_fit,
     line_dedup,
     lm,
     mixing,
@@ -74,6 +75,14 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizer("piece_bpe_32k.model"))
 
 
+def op11_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    packed = best_fit.pack(docs, public_tokenizer("byte_bpe_50k.json"), end_id=0)
+    return packed.pieces.select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_syncmers": op1_syncmers,
     "op2_top_k": op2_top_k,
@@ -85,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_lm": op9_lm,
     "op10_token_counts": op10_token_counts,
+    "op11_best_fit": op11_best_fit,
 }
 
 ORACLE: dict[str, str] = {"op2_top_k": top_k.SQL, "op4_line_dedup": line_dedup.SQL}
