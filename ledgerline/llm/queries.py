@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import (
     best_fit,
+    collocations,
     line_dedup,
     lm,
     mixing,
@@ -83,6 +84,10 @@ def op11_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_syncmers": op1_syncmers,
     "op2_top_k": op2_top_k,
@@ -95,6 +100,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm": op9_lm,
     "op10_token_counts": op10_token_counts,
     "op11_best_fit": op11_best_fit,
+    "op12_collocations": op12_collocations,
 }
 
-ORACLE: dict[str, str] = {"op2_top_k": top_k.SQL, "op4_line_dedup": line_dedup.SQL}
+ORACLE: dict[str, str] = {
+    "op2_top_k": top_k.SQL,
+    "op4_line_dedup": line_dedup.SQL,
+    "op12_collocations": collocations.SQL,
+}

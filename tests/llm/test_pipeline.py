@@ -87,5 +87,5 @@ def test_native_operators_run_no_python(spark, folder):
 
 def test_every_operator_has_a_query():
     numbers = {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES}
-    assert numbers == set(range(1, 12))
+    assert numbers == set(range(1, 13))
     assert len(corpus_pipeline.STAGES) == 5 and common.WORD
