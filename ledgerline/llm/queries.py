@@ -14,6 +14,7 @@ from ledgerline.llm import (
     lm,
     mixing,
     packing,
+    prefix_trie,
     simhash,
     simple8b,
     syncmers,
@@ -88,6 +89,10 @@ def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.described(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_syncmers": op1_syncmers,
     "op2_top_k": op2_top_k,
@@ -101,10 +106,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_best_fit": op11_best_fit,
     "op12_collocations": op12_collocations,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE: dict[str, str] = {
     "op2_top_k": top_k.SQL,
     "op4_line_dedup": line_dedup.SQL,
     "op12_collocations": collocations.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }

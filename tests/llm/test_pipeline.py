@@ -68,7 +68,7 @@ def test_stages_handle_odd_rows(spark, folder):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_queries_agree_with_sql(spark, folder, name):
     engine = duckdb.connect()
-    for t in ("documents", "embeddings", "labels"):
+    for t in ("documents", "embeddings", "labels", "conversations"):
         engine.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
     result = queries.QUERIES[name](spark, folder)
     expected = engine.sql(queries.ORACLE[name])
@@ -87,5 +87,5 @@ def test_native_operators_run_no_python(spark, folder):
 
 def test_every_operator_has_a_query():
     numbers = {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES}
-    assert numbers == set(range(1, 13))
+    assert numbers == set(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5 and common.WORD
