@@ -338,7 +338,7 @@ with bits as (
     from plans p left join rebuilt using (conv_id) group by p.conv_id
 ), steps as (
     select conv_id, depth, sha256(path[:depth]::json::varchar) as key,
-        sha256(path[:depth - 1]::json::varchar) as parent,
+        case when depth > 0 then sha256(path[:depth - 1]::json::varchar) end as parent,
         case when depth > 0 then octet_length(encode(path[depth][2])) else 0 end as n_bytes,
         depth = len(path) as ends
     from paths, unnest(range(0, len(path) + 1)) as u(depth)
