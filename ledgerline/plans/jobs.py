@@ -12,12 +12,14 @@ import datetime as dt
 import functools
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ledgerline import schemas
+from ledgerline.functions.columns import named
 from ledgerline.operators import cleaning, profiling, quality, summaries
+from ledgerline.operators.observed import Counters, counted
 from ledgerline.session import materialize, scratch_scope
 from ledgerline.sinks import documents, verify, writers
 from ledgerline.sources import generators, readers
@@ -55,22 +57,41 @@ def _tidy(job: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def _staged(
+    raw: DataFrame, what: str, seen: list[Counters] | None, rejected: Column | None = None
+) -> DataFrame:
+    """The rows as staged Parquet. Counted while they are written, so that an empty input is
+    refused and the caller's list gets the counters without an action of their own."""
+    watched, counters = counted(raw, rejected=rejected)
+    staged = materialize(watched)
+    counters.require_rows(what)
+    if seen is not None:
+        seen.append(counters)
+    return staged
+
+
 @_tidy
 def run_sales_job(
-    spark: SparkSession, input_path: str, output_base: str, quarantine: str | None = None
+    spark: SparkSession,
+    input_path: str,
+    output_base: str,
+    quarantine: str | None = None,
+    seen: list[Counters] | None = None,
 ) -> DataFrame:
     """JSON sales in, four Parquet summaries out; returns the final counts. With a folder
-    for quarantine, lines that do not parse go there as text and are no sales."""
+    for quarantine, lines that do not parse go there as text and are no sales. A list for
+    `seen` gets the counters of the input: rows, rejected lines, missing values by column."""
     base = output_base.rstrip("/")
     raw = readers.read_json(spark, input_path, schemas.SALES, quarantine is not None)
     _guard(raw, base, SALES_OUTPUTS.values())
-    readers.require_rows(raw, input_path)
     if quarantine is None:
-        rows = materialize(raw)
+        rows = _staged(raw, input_path, seen)
     else:
         writers.check_target(raw, quarantine)
-        rows, bad = readers.split_corrupt(raw)
-        bad.write.mode("overwrite").text(quarantine)
+        bad = F.col(readers.CORRUPT).isNotNull()
+        parsed = _staged(raw, input_path, seen, bad)
+        rows = parsed.filter(~bad).drop(readers.CORRUPT)
+        parsed.filter(bad).select(readers.CORRUPT).write.mode("overwrite").text(quarantine)
     sales = fold(
         rows, ("customer_id", "region"), ("product_id", "product_category"), ("transaction_date",)
     )
@@ -97,14 +118,18 @@ def run_clean_job(
     stats_path: str,
     run_time: dt.datetime | None = None,
     schema: StructType | None = None,
+    seen: list[Counters] | None = None,
 ) -> DataFrame:
     """CSV in, cleaned CSV with lineage columns and a statistics CSV out; returns the
-    frame summary. The two outputs must not overlap. A schema saves the inference pass."""
+    frame summary. The two outputs must not overlap. A schema saves the inference pass. An
+    empty input raises; a list for `seen` gets the counters of the input, whose `rejected`
+    are the rows without any value, which cleaning drops."""
     writers.check_distinct(output_path, stats_path)
     raw = readers.read_csv(spark, input_path, schema)
     writers.check_target(raw, output_path)
     writers.check_target(raw, stats_path)
-    rows = materialize(raw)
+    empty = F.coalesce(*[named(c).cast("string") for c in raw.columns]).isNull()
+    rows = _staged(raw, input_path, seen, empty)
     cleaned = materialize(cleaning.add_lineage(cleaning.clean(rows), run_time))
     writers.write_csv(cleaned, output_path)
     writers.write_csv(profiling.numeric_stats(cleaned), stats_path)

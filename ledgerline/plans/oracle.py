@@ -237,7 +237,68 @@ select count(*) as record_count, round(sum(total_amount), 2) as total_revenue fr
     true as has_files from region
   union all select 'r_name=ATLANTIS', false, false""",
     "companion_stats": """select count(*) as l_quantity_count, min(l_quantity) as l_quantity_min,
-  max(l_quantity) as l_quantity_max, max(l_tax) as l_tax_max from lineitem""",
+  max(l_quantity) as l_quantity_max, count(l_tax) as l_tax_count, min(l_tax) as l_tax_min,
+  max(l_tax) as l_tax_max, round(avg(l_quantity), 4) as l_quantity_avg,
+  round(stddev(l_quantity), 4) as l_quantity_stddev, round(avg(l_tax), 4) as l_tax_avg,
+  round(stddev(l_tax), 4) as l_tax_stddev from lineitem""",
+    "final_counts_over_runs": _sales(
+        """select count(*) as total_records, round(sum(total_amount), 2) as total_revenue,
+  (select count(*) from (select distinct customer_id from sales)) as unique_customers,
+  (select count(*) from (select distinct product_id from sales)) as unique_products,
+  (select count(*) from (select distinct region from sales)) as unique_regions,
+  (select count(*) from (select distinct product_category from sales)) as unique_categories
+  from sales"""
+    ),
+    "distinct_over_runs": _sales(
+        """select coalesce(period, 'all') as period, unnest(['customer_id', 'product_id']) as name,
+  unnest([customers, products]) as known from (
+    select substr(transaction_date, 1, 4) as period, count(distinct customer_id) as customers,
+      count(distinct product_id) as products from sales
+    group by grouping sets ((substr(transaction_date, 1, 4)), ()))"""
+    ),
+    "quantiles_over_runs": " union all ".join(
+        f"""select '{c}' as name, '{q}' as quantile, count({c}) as known,
+  round(quantile_cont(cast({c} as double), {p}), 4) as exact, true as within from lineitem"""
+        for c in ("l_orderkey", "l_quantity", "l_extendedprice", "l_discount")
+        for q, p in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))
+    ),
+    "impute_median_default": f"""with {GAPPY}
+select count(*) as total_rows, 0 as still_missing, true as one_value,
+  count(*) - count(value) as gaps, true as near_the_middle from gappy""",
+    "run_files": """select strftime(o_orderdate, '%Y-%m') as run, true as expected, true as exists,
+  count(*) as rows, min(o_orderkey) as least, max(o_orderkey) as greatest, true as gapless,
+  true as sized from orders group by 1
+union all select strftime(max(o_orderdate) + interval 1 month, '%Y-%m'), true, false, 0, null, null,
+  null, null from orders""",
+    "recent_runs": """select distinct year(o_orderdate) as year from orders
+  order by year desc limit 2""",
+    "bad_lines": _sales(
+        """select count(*) as lines, count_if(customer_id % 40 = 0) as rejected,
+  count_if(customer_id % 40 = 0 or region is null) as without_region,
+  count_if(customer_id % 40 = 0) as set_apart, count_if(customer_id % 40 <> 0) as total_records,
+  round(sum(total_amount) filter (customer_id % 40 <> 0), 2) as total_revenue,
+  count(distinct customer_id) filter (customer_id % 40 <> 0) as unique_customers from sales"""
+    ),
+    "daily_job": _sales(
+        f"""select 'sales-by-region' as report, region as key, round(sum(total_amount), 2) as revenue,
+    count(*) as n from day group by region
+  union all select 'sales-by-category', product_category, round(sum(total_amount), 2),
+    cast(sum(quantity) as bigint) from day group by product_category
+  union all select 'daily-sales', transaction_date, round(sum(total_amount), 2), count(*)
+    from day group by transaction_date
+  union all select 'summary', '', round(sum(total_amount), 2), count(distinct customer_id)
+    from day""",
+    ).replace(
+        "select 'sales-by-region'",
+        f", day as (select * from sales where transaction_date = '{SLICE_DATE}')\nselect 'sales-by-region'",
+        1,
+    ),
+    "created_input": """select o_custkey, count(*) as orders from orders group by o_custkey""",
+    "sampled_points": """select l_extendedprice, l_discount from lineitem where cast('0x' || substr(md5(
+  '42|' || cast(l_orderkey as varchar) || '|' || cast(l_linenumber as varchar)), 1, 8) as bigint)
+  < cast(round(0.05 * 4294967296) as bigint)""",
+    "sampled_rows": """select o_orderkey, o_totalprice from orders order by cast('0x' || substr(md5(
+  '42|' || cast(o_orderkey as varchar)), 1, 8) as bigint), o_orderkey limit 500""",
     "null_injection": """select count(*) as total_rows, true as few_missing,
   count(event_type) as categories_left from events""",
     "impute_median_bigint": f"""with big as (

@@ -24,11 +24,11 @@ from pyspark.sql.types import (
 
 from ledgerline import schemas
 from ledgerline.functions.columns import pick
-from ledgerline.operators import cleaning, profiling, quality, sets, summaries
+from ledgerline.operators import cleaning, profiling, quality, rollups, sets, summaries
 from ledgerline.plans import jobs
 from ledgerline.session import scratch_dir
 from ledgerline.sinks import documents, verify, writers
-from ledgerline.sources import generators, readers
+from ledgerline.sources import files, generators, readers
 from ledgerline.sources.readers import read_star_table
 from ledgerline.sources.sales import FlatSales, StarSales
 from ledgerline.streaming import runs
@@ -211,7 +211,12 @@ def companion_stats(spark: SparkSession, folder: str) -> DataFrame:
     layout = schemas.layout(l_quantity=DoubleType(), l_tax=DoubleType())
     jobs.run_clean_job(spark, source, data, stats, dt.datetime(2024, 1, 1), layout)
     found = spark.read.option("header", True).option("inferSchema", True).csv(stats)
-    return found.select("l_quantity_count", "l_quantity_min", "l_quantity_max", "l_tax_max")
+    rounded = [F.round(f"{c}_{n}", 4).alias(f"{c}_{n}")
+               for c in ("l_quantity", "l_tax") for n in ("avg", "stddev")]
+    return found.select(
+        "l_quantity_count", "l_quantity_min", "l_quantity_max", "l_tax_count", "l_tax_min",
+        "l_tax_max", *rounded,
+    )
 
 
 def outputs_by_region(spark: SparkSession, folder: str) -> DataFrame:
@@ -287,6 +292,194 @@ def quality_report(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Reports that merge what each run left behind
+
+def _run_facts(spark: SparkSession, folder: str) -> rollups.RunFacts:
+    path = _path(spark)
+    rollups.write_run_facts(
+        StarSales(spark, folder), path, F.date_format("transaction_date", "yyyy-MM")
+    )
+    return rollups.RunFacts.read(spark, path)
+
+
+def final_counts_over_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The final counts of all months, from what each month's run wrote."""
+    return _run_facts(spark, folder).final_counts()
+
+
+def distinct_over_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct customers and products per year and over all, from the same sets per month."""
+    keys = _run_facts(spark, folder).keys
+    year = F.substring("run", 1, 4)
+    by_year = rollups.distinct_counts(keys.withColumn("period", year), "period")
+    over_all = rollups.distinct_counts(keys.withColumn("period", F.lit("all")), "period")
+    return (
+        by_year.unionByName(over_all)
+        .filter(F.col("name").isin("customer_id", "product_id"))
+        .select("period", "name", "known")
+    )
+
+
+SKETCHED = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount"]
+
+
+def quantiles_over_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Quartiles of line items from sketches per month of shipping, merged; beside each the
+    exact one and whether the merged one's rank is within 1 %."""
+    lines = read_star_table(spark, folder, "lineitem").select(*SKETCHED, "l_shipdate")
+    path = _path(spark)
+    month = F.date_format("l_shipdate", "yyyy-MM")
+    rollups.value_sketches(lines, month, SKETCHED).write.parquet(path)
+    found = rollups.merged_quantiles(spark.read.parquet(path), profiling.QUARTILES)
+    near = rollups.ranks_within(lines, found, profiling.QUARTILES, 0.01)
+    described = profiling.describe(lines, SKETCHED, 4).select(
+        F.col("column").alias("name"),
+        F.inline(F.array(*[
+            F.struct(F.lit(q).alias("quantile"), F.col(q).alias("exact"))
+            for q in profiling.QUARTILES
+        ])),
+    )
+    return near.join(described, ["name", "quantile"]).select(
+        "name", "quantile", F.col("values").alias("known"), "exact", "within"
+    )
+
+
+def impute_median_default(spark: SparkSession, folder: str) -> DataFrame:
+    """The clean job's own rank error of 1 %: how many values were filled, with how many
+    different ones, and whether that one's rank is near the middle."""
+    column = "value"
+    rows = gappy(spark, folder)
+    filled = cleaning.impute_median(rows).select("event_id", F.col(column).alias("filled"))
+    # Rows without an id have no value either; all of them get the same one.
+    known = rows.filter(F.col(column).isNotNull())
+    made = filled.groupBy("filled").agg(F.count(F.lit(1)).alias("n"))
+    most = made.agg(F.max_by("filled", "n")).scalar()
+    total = known.agg(F.count(F.lit(1))).scalar()
+    facts = known.agg(
+        F.count_if(F.col(column) < most).alias("below"),
+        F.count_if(F.col(column) <= most).alias("upto"),
+    ).select(F.struct("*")).scalar()
+    gaps = rows.filter(F.col(column).isNull()).agg(F.count(F.lit(1))).scalar()
+    near = (facts.getField("below") <= total * 0.51) & (facts.getField("upto") >= total * 0.49)
+    return filled.agg(
+        F.count(F.lit(1)).alias("total_rows"),
+        F.count_if(F.col("filled").isNull()).alias("still_missing"),
+        (F.count_if(F.col("filled") == most) >= gaps).alias("one_value"),
+    ).withColumns({"gaps": gaps, "near_the_middle": near})
+
+
+# Runs as files
+
+
+def run_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A copy of orders with a folder per month, checked against the months that the table
+    has and one that it has not: files, rows, least and greatest key of each in one scan."""
+    path = _path(spark)
+    orders = read_star_table(spark, folder, "orders")
+    dated = orders.withColumn("ds", F.date_format("o_orderdate", "yyyy-MM"))
+    dated.repartition("ds").write.partitionBy("ds").parquet(path)
+    months = dated.select("ds").distinct()
+    absent = orders.agg(
+        F.date_format(F.add_months(F.max("o_orderdate").cast("date"), 1), "yyyy-MM").alias("ds")
+    )
+    back = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", False)
+    copy = back.parquet(path).withColumn("ds", F.date_format(F.to_date("ds"), "yyyy-MM"))
+    held = files.run_contents(
+        files.file_contents(copy, "o_orderkey", "ds"), months.unionByName(absent), "ds"
+    )
+    listed = files.file_inventory(spark, path).select(
+        F.regexp_extract("path", "ds=([^/]+)/", 1).alias("ds"), "size"
+    ).groupBy("ds").agg(F.sum("size").alias("listed"))
+    return held.join(listed, "ds", "left").select(
+        F.col("ds").alias("run"), "expected", "exists", "rows", "least", "greatest", "gapless",
+        (F.col("total_size") == F.col("listed")).alias("sized"),
+    )
+
+
+def recent_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders of each year written one after another: the years of the two latest files."""
+    path = _path(spark)
+    orders = read_star_table(spark, folder, "orders").withColumn("year", F.year("o_orderdate"))
+    years = sorted(r.year for r in orders.select("year").distinct().collect())  # a handful
+    for year in years:
+        writers.write_parquet(
+            orders.filter(F.col("year") == year).select("o_orderkey"), f"{path}/{year}", True
+        )
+    data = files.file_inventory(spark, path).filter(F.col("path").endswith(".parquet"))
+    latest = files.recent_files(data, 2)
+    return latest.select(F.regexp_extract("path", "/([0-9]+)/[^/]+$", 1).cast("int").alias("year"))
+
+
+def bad_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The sales job over JSON lines some of which are cut short: what it counted while it
+    staged them, the lines that it set apart, and its final counts."""
+    source, out, bad = _path(spark), _path(spark), _path(spark)
+    made = _star_rows(spark, folder)
+    line = F.to_json(F.struct(*made.columns))
+    cut = F.col("customer_id") % 40 == 0
+    broken = F.concat(F.lit("{"), F.substring_index(line, ",", 2))
+    made.select(F.when(cut, broken).otherwise(line).alias("value")).write.text(source)
+    seen: list = []
+    counts = jobs.run_sales_job(spark, source, out, bad, seen)
+    apart = spark.read.text(bad).agg(F.count(F.lit(1))).scalar()
+    return counts.select(
+        F.lit(seen[0].rows).cast("bigint").alias("lines"),
+        F.lit(seen[0].rejected).cast("bigint").alias("rejected"),
+        F.lit(seen[0].missing["region"]).cast("bigint").alias("without_region"),
+        apart.alias("set_apart"), "total_records", "total_revenue", "unique_customers",
+    )
+
+
+def daily_job(spark: SparkSession, folder: str) -> DataFrame:
+    """One run date's CSV through the daily job; its four reports read back from their files."""
+    source, out = _path(spark), _path(spark)
+    day = daily_slice(spark, folder).select(*schemas.SALES.fieldNames())
+    writers.write_csv(day, readers.run_file(source, SLICE_DATE, "csv"))
+    jobs.run_daily_job(spark, source, out, SLICE_DATE)
+
+    def report(name: str, key: str, value: str, n: str) -> DataFrame:
+        part = f"{out}/{name}/processing_date={SLICE_DATE}"
+        found = spark.read.option("header", True).csv(part)
+        return found.select(
+            F.lit(name).alias("report"), F.col(key).alias("key") if key else F.lit("").alias("key"),
+            F.round(F.col(value).cast("double"), 2).alias("revenue"), F.col(n).cast("bigint").alias("n"),
+        )
+
+    grouped = sets.append_rows(
+        report("sales-by-region", "region", "total_revenue", "order_count"),
+        report("sales-by-category", "product_category", "total_revenue", "total_quantity"),
+    )
+    dated = report("daily-sales", "transaction_date", "daily_revenue", "transaction_count")
+    summary = report("summary", "", "total_revenue", "unique_customers")
+    return sets.append_rows(sets.append_rows(grouped, dated), summary)
+
+
+def created_input(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders per customer written where there is nothing, then asked for again with another
+    example: the first file is reused."""
+    path = _path(spark)
+    counts = read_star_table(spark, folder, "orders").groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("orders")
+    )
+    kind = schemas.layout(o_custkey=LongType(), orders=LongType())
+    readers.read_or_create(spark, path, kind, counts)
+    return readers.read_or_create(spark, path, kind, counts.filter("orders < 0"))
+
+
+def sampled_points(spark: SparkSession, folder: str) -> DataFrame:
+    """A twentieth of the lines' prices and discounts, chosen by the lines' keys."""
+    lines = read_star_table(spark, folder, "lineitem").repartition(7, "l_partkey")
+    return cleaning.scatter_points(
+        lines, "l_extendedprice", "l_discount", 0.05, 42, ["l_orderkey", "l_linenumber"]
+    )
+
+
+def sampled_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Exactly five hundred orders, chosen by their keys."""
+    orders = read_star_table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    return cleaning.sample_rows(orders.repartition(5), ["o_orderkey"], 500)
+
+
 def _star(operator: Callable[..., DataFrame], *args, **kwargs) -> Query:
     return lambda spark, folder: operator(StarSales(spark, folder), *args, **kwargs)
 
@@ -368,6 +561,11 @@ QUERIES: dict[str, Query] = {
     "fault_injection": lambda s, d: _timed(_sparse(s, d)),
     "json_document": json_document,
     "json_customers": json_customers,
+    "run_files": run_files,
+    "recent_runs": recent_runs,
+    "bad_lines": bad_lines,
+    "daily_job": daily_job,
+    "created_input": created_input,
     # Projections, filters, cleaning
     "derived_amount": lambda s, d: cleaning.with_line_amount(
         StarSales(s, d).rows("transaction_id", "quantity", "unit_price")
@@ -399,6 +597,9 @@ QUERIES: dict[str, Query] = {
     "impute_median": _on(gappy, cleaning.impute_median, 0.0),
     "impute_median_bigint": impute_bigint,
     "impute_median_decimal": impute_decimal,
+    "impute_median_default": impute_median_default,
+    "sampled_points": sampled_points,
+    "sampled_rows": sampled_rows,
     "fill_unknown": _on(gappy, cleaning.fill_unknown),
     "clean": _on(gappy, cleaning.clean, 0.0),
     # The sales job
@@ -409,6 +610,9 @@ QUERIES: dict[str, Query] = {
         summaries.daily_metrics(StarSales(s, d)), "processing_date"
     ),
     "final_counts": _star(summaries.final_counts),
+    "final_counts_over_runs": final_counts_over_runs,
+    "distinct_over_runs": distinct_over_runs,
+    "quantiles_over_runs": quantiles_over_runs,
     # Numeric profile
     "numeric_stats": _on(line_numbers, profiling.numeric_stats, 4),
     "frame_summary": lambda s, d: profiling.frame_summary(read_star_table(s, d, "lineitem")).drop(
