@@ -7,6 +7,7 @@ from ledgerline.plans.queries import (
     DENSE_FAULTS,
     EVENT_RULES,
     EVENT_TYPES,
+    ONE_CUSTOMER,
     REGION,
     RUN_DATE,
     SLICE_DATE,
@@ -293,6 +294,17 @@ union all select strftime(max(o_orderdate) + interval 1 month, '%Y-%m'), true, f
         f", day as (select * from sales where transaction_date = '{SLICE_DATE}')\nselect 'sales-by-region'",
         1,
     ),
+    "bucketed_customers": _sales(
+        """select customer_id, round(sum(total_amount), 2) as total_amount
+  from sales group by customer_id"""
+    ),
+    "lines_of_a_run": f"""select strftime(o_orderdate, '%Y-%m') as run,
+  cast(cast(o_orderdate as date) as varchar) as day, count(*) as lines,
+  round(sum(l_extendedprice), 2) as revenue from lineitem join orders on l_orderkey = o_orderkey
+  where strftime(o_orderdate, '%Y-%m') in (
+    select strftime(o_orderdate, '%Y-%m') from orders where o_custkey = {ONE_CUSTOMER}) group by 1, 2""",
+    "footer_profile": """select count(*) as total_rows, min(o_orderkey) as first_value,
+  max(o_orderkey) as last_value from orders""",
     "created_input": """select o_custkey, count(*) as orders from orders group by o_custkey""",
     "sampled_points": """select l_extendedprice, l_discount from lineitem where cast('0x' || substr(md5(
   '42|' || cast(l_orderkey as varchar) || '|' || cast(l_linenumber as varchar)), 1, 8) as bigint)

@@ -28,7 +28,7 @@ from ledgerline.operators import cleaning, profiling, quality, rollups, sets, su
 from ledgerline.plans import jobs
 from ledgerline.session import scratch_dir
 from ledgerline.sinks import documents, verify, writers
-from ledgerline.sources import files, generators, readers
+from ledgerline.sources import files, generators, layouts, readers
 from ledgerline.sources.readers import read_star_table
 from ledgerline.sources.sales import FlatSales, StarSales
 from ledgerline.streaming import runs
@@ -41,6 +41,7 @@ SLICE_DATE = "1999-01-16"
 REGION = "ASIA"
 SPARSE_FAULTS = 1000
 DENSE_FAULTS = 100
+ONE_CUSTOMER = 7
 BEYOND_DOUBLES = 9007199254740992
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 EVENT_RULES = quality.QualityRules(
@@ -466,6 +467,39 @@ def created_input(spark: SparkSession, folder: str) -> DataFrame:
     return readers.read_or_create(spark, path, kind, counts.filter("orders < 0"))
 
 
+def bucketed_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals per customer from a table of daily tallies that is bucketed by customer."""
+    table = f"customer_tally_{uuid.uuid4().hex}"
+    layouts.write_keyed_tally(StarSales(spark, folder), table, "customer_id", buckets=8)
+    return summaries.customer_totals(layouts.keyed_tally(spark, table, "customer_id"), 2)
+
+
+def lines_of_a_run(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items foldered by the month of their order; those of the months in which one
+    customer ordered, day by day."""
+    path = _path(spark)
+    orders = read_star_table(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").cast("string").alias("day"),
+        F.date_format("o_orderdate", "yyyy-MM").alias("month"),
+    )
+    lines = read_star_table(spark, folder, "lineitem").join(
+        orders, F.col("l_orderkey") == F.col("o_orderkey"), "left"
+    )
+    kept = lines.select("l_orderkey", "l_linenumber", "l_extendedprice", "day", "month")
+    layouts.write_lines_by_run(kept.drop("month"), path, F.substring("day", 1, 7))
+    months = orders.filter(F.col("o_custkey") == ONE_CUSTOMER).select(F.col("month").alias("run"))
+    return layouts.lines_of(spark, path, months).groupBy("run", "day").agg(
+        F.count(F.lit(1)).alias("lines"), F.round(F.sum("l_extendedprice"), 2).alias("revenue")
+    )
+
+
+def footer_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Number and range of order keys from the footers of a copy of orders in several files."""
+    path = _path(spark)
+    read_star_table(spark, folder, "orders").repartition(5).write.parquet(path)
+    return layouts.footer_profile(spark, path, "o_orderkey")
+
+
 def sampled_points(spark: SparkSession, folder: str) -> DataFrame:
     """A twentieth of the lines' prices and discounts, chosen by the lines' keys."""
     lines = read_star_table(spark, folder, "lineitem").repartition(7, "l_partkey")
@@ -566,6 +600,9 @@ QUERIES: dict[str, Query] = {
     "bad_lines": bad_lines,
     "daily_job": daily_job,
     "created_input": created_input,
+    "bucketed_customers": bucketed_customers,
+    "lines_of_a_run": lines_of_a_run,
+    "footer_profile": footer_profile,
     # Projections, filters, cleaning
     "derived_amount": lambda s, d: cleaning.with_line_amount(
         StarSales(s, d).rows("transaction_id", "quantity", "unit_price")
