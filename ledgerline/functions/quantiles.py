@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DecimalType, DoubleType, FloatType
+from pyspark.sql.types import DataType, DecimalType, DoubleType, FloatType, IntegralType
 
 from ledgerline.functions.columns import named, present
 from ledgerline.session import materialize
@@ -77,13 +77,15 @@ def exact_quantiles(
     probabilities: Mapping[str, float],
     keys: Sequence[str] = (),
     interpolate: bool = True,
+    exact: bool = False,
 ) -> DataFrame:
     """One row per key combination with a column per named probability.
 
     Nulls and NaN are skipped. With interpolate the result is a double between the two
-    nearest values (the usual linear rule); without, it is the lowest value whose share of
-    the rows reaches the probability, in the column's type. A group without values gets no
-    row. Runs a job per round when called.
+    nearest values (the usual linear rule), or with `exact`, for whole numbers and decimals, a
+    decimal with two more digits (the share between the values is rounded to hundredths);
+    without, it is the lowest value whose share of the rows reaches the probability, in the
+    column's type. A group without values gets no row. Runs a job per round when called.
     """
     kind = df.schema[column].dataType
     group = F.struct(*[named(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
@@ -138,6 +140,12 @@ def exact_quantiles(
         if not interpolate:
             return value_at(F.greatest(F.ceil(F.lit(p) * F.col("total")) - 1, F.lit(0)))
         position = F.lit(p) * (F.col("total") - 1)
+        if exact and isinstance(kind, (IntegralType, DecimalType)):
+            digits = kind.scale if isinstance(kind, DecimalType) else 0
+            whole = DecimalType(34, digits)
+            lower, upper = (value_at(f(position)).cast(whole) for f in (F.floor, F.ceil))
+            share = (position - F.floor(position)).cast("decimal(3,2)")
+            return (lower + (upper - lower) * share).cast(DecimalType(38, digits + 2))
         lower, upper = (value_at(f(position)).cast("double") for f in (F.floor, F.ceil))
         # Equal neighbours are the answer themselves, infinite ones included.
         between = lower + (upper - lower) * (position - F.floor(position))

@@ -146,6 +146,39 @@ def describe(
     )
 
 
+def describe_exact(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Count, min, quartiles (interpolated) and max per numeric column as text, taken in the
+    column's own type: whole numbers and decimals of any size lose no digit, their quartiles
+    have two more. Columns of one type share a search. A frame without numeric columns gives
+    an empty result, a column without values a count of 0."""
+    names = list(columns or numeric_columns(df))
+    if not names:
+        return df.limit(0)
+    kinds: dict = {}
+    for name in names:
+        kinds.setdefault(df.schema[name].dataType, []).append(name)
+    parts = []
+    for same in kinds.values():
+        cells = [F.struct(F.lit(c).alias("column"), present(df, c).alias("value")) for c in same]
+        long = df.select(F.inline(F.array(*cells)))
+        ends = long.groupBy("column").agg(
+            F.count("value").alias("count"),
+            F.min("value").cast("string").alias("min"),
+            F.max("value").cast("string").alias("max"),
+        )
+        found = exact_quantiles(long, "value", QUARTILES, ["column"], exact=True)
+        texts = [F.col(q).cast("string").alias(q) for q in QUARTILES]
+        parts.append(
+            ends.join(found.select("column", *texts), "column", "left").select(
+                "column", "count", "min", *QUARTILES, "max"
+            )
+        )
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
 def box_stats(df: DataFrame, column: str, by: str, digits: int | None = None) -> DataFrame:
     """Min, quartiles and max of a column per key; rows without a key are dropped."""
     known = df.filter(F.col(by).isNotNull())

@@ -186,6 +186,76 @@ GROUPING_SETS = _sales(
   union all select 'customer', * from ({_key_summary("customer_id")})"""
 )
 
+def _report_leaves() -> str:
+    """Every leaf of the validation report: path, number, text."""
+    columns = ["customer_id", "transaction_date", "amount", "category", "payment_method"]
+    flag = "case when {0} then 'true' else 'false' end"
+    leaves = [("execution_date", None, f"'{RUN_DATE}'"), ("total_records", "n", None)]
+    for c in columns:
+        leaves.append((f"tests.completeness.missing_data.{c}", f"m_{c}", None))
+        leaves.append((f"tests.completeness.missing_percentage.{c}", f"m_{c} * 100.0 / n", None))
+    checks = [
+        ("validity", "amount_range", "bad_amount"), ("validity", "customer_id", "bad_customer"),
+        ("consistency", "category", "bad_category"), ("consistency", "payment_method", "bad_method"),
+    ]
+    for test, name, count in checks:
+        leaves.append((f"tests.{test}.details.{name}.passed", None, flag.format(f"{count} = 0")))
+        leaves.append((f"tests.{test}.details.{name}.invalid_count", count, None))
+    for test in ("completeness", "uniqueness", "validity", "consistency"):
+        leaves.append((f"tests.{test}.passed", None, flag.format(test)))
+    leaves += [
+        ("tests.uniqueness.total_records", "n", None), ("tests.uniqueness.unique_records", "d", None),
+        ("tests.uniqueness.duplicate_count", "n - d", None),
+        ("tests.uniqueness.duplicate_percentage", "(n - d) * 100.0 / n", None),
+        ("overall_status", None, "case when passed = 4 then 'PASSED' else 'FAILED' end"),
+        ("tests_summary.total_tests", "4", None), ("tests_summary.passed_tests", "passed", None),
+        ("tests_summary.failed_tests", "4 - passed", None),
+    ]
+    missing = ", ".join(f"count(*) - count({c}) as m_{c}" for c in columns)
+    most = ", ".join(f"m_{c}" for c in columns)
+    rows = "\n  union all ".join(
+        f"select '{p}' as path, round(cast({n or 'null'} as double), 6) as number, {t or 'null'} as text"
+        " from verdicts"
+        for p, n, t in leaves
+    )
+    return f"""with {SPARSE}, facts as (
+  select count(*) as n, {missing},
+    count(*) filter (where amount < 0 or amount > 10000) as bad_amount,
+    count(*) filter (where customer_id < 1) as bad_customer,
+    count(*) filter (where category is null or category not in {_in(EVENT_TYPES)}) as bad_category,
+    count(*) filter (where payment_method is null
+      or payment_method not in {_in(PAYMENT_METHODS)}) as bad_method
+  from faulty), distincts as (select count(*) as d from (select distinct * from faulty)),
+flags as (select *, greatest({most}) * 100.0 / n <= {EVENT_RULES.max_missing * 100} as completeness,
+    (n - d) * 100.0 / n <= {EVENT_RULES.max_duplicates * 100} as uniqueness,
+    bad_amount + bad_customer = 0 as validity, bad_category + bad_method = 0 as consistency
+  from facts, distincts),
+verdicts as (select *, cast(completeness as int) + cast(uniqueness as int) + cast(validity as int)
+    + cast(consistency as int) as passed from flags)
+{rows}"""
+
+
+def _exact_description(name: str, value: str, scale: int) -> str:
+    """Quartiles in hundredths of the value's last digit, as whole numbers throughout."""
+
+    def text(whole: str, digits: int) -> str:
+        if not digits:
+            return f"cast({whole} as varchar)"
+        part = 10**digits
+        return (f"cast({whole} // {part} as varchar) || '.' || "
+                f"lpad(cast({whole} % {part} as varchar), {digits}, '0')")
+
+    picks = [f"max(case when k = {k} then {text('q', scale + 2)} end) as {n}"
+             for k, n in ((1, "q25"), (2, "median"), (3, "q75"))]
+    return f"""select '{name}' as "column", any_value(n) as count, any_value({text('lo', scale)}) as min,
+  any_value({text('hi', scale)}) as max, {', '.join(picks)} from (
+  select k, n, lo, hi, (least_v * 4 + (most_v - least_v) * ((n - 1) * k % 4)) * 25 as q from (
+    select k, any_value(n) as n, min(v) filter (i = (n - 1) * k // 4) as least_v,
+      min(v) filter (i = ((n - 1) * k + 3) // 4) as most_v, min(v) as lo, max(v) as hi
+    from (select {value} as v, row_number() over (order by {value}) - 1 as i, count(*) over () as n
+      from orders), (select unnest([1, 2, 3]) as k) group by k))"""
+
+
 ORACLE: dict[str, str] = {
     "scatter_points": f"with {METRICS}\nselect value, score from metrics",
     "add_lineage": """select event_id, value, '2024-01-01 00:00:00' as processing_timestamp,
@@ -305,6 +375,11 @@ union all select strftime(max(o_orderdate) + interval 1 month, '%Y-%m'), true, f
     select strftime(o_orderdate, '%Y-%m') from orders where o_custkey = {ONE_CUSTOMER}) group by 1, 2""",
     "footer_profile": """select count(*) as total_rows, min(o_orderkey) as first_value,
   max(o_orderkey) as last_value from orders""",
+    "typed_report": _report_leaves(),
+    "describe_exact": _exact_description("whole", f"cast(o_orderkey as hugeint) + {BEYOND_DOUBLES}", 0)
+    + "\nunion all " + _exact_description(
+        "money", "cast(o_orderkey as hugeint) * 100 + 1234567890123456789012", 2
+    ),
     "created_input": """select o_custkey, count(*) as orders from orders group by o_custkey""",
     "sampled_points": """select l_extendedprice, l_discount from lineitem where cast('0x' || substr(md5(
   '42|' || cast(l_orderkey as varchar) || '|' || cast(l_linenumber as varchar)), 1, 8) as bigint)

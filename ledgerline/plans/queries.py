@@ -514,6 +514,28 @@ def sampled_rows(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.sample_rows(orders.repartition(5), ["o_orderkey"], 500)
 
 
+def typed_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Every leaf of the validation report, stored as a typed document and read back."""
+    path = _path(spark)
+    report = documents.quality_report(_sparse(spark, folder), RUN_DATE, EVENT_RULES)
+    documents.typed_document(report).write.parquet(path)
+    leaves = documents.document_leaves(spark.read.parquet(path))
+    number = F.when(F.col("kind").isin("BIGINT", "DOUBLE"), F.col("text").cast("double"))
+    return leaves.filter("path <> 'timestamp'").select(
+        "path", F.round(number, 6).alias("number"), F.when(number.isNull(), F.col("text")).alias("text")
+    )
+
+
+def describe_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole numbers beyond doubles and decimals, described in their own types."""
+    key = F.col("o_orderkey")
+    money = (F.lit("12345678901234567890.12").cast("decimal(30,2)") + key.cast("decimal(19,0)"))
+    made = read_star_table(spark, folder, "orders").select(
+        (key + F.lit(BEYOND_DOUBLES)).alias("whole"), money.cast("decimal(30,2)").alias("money")
+    )
+    return profiling.describe_exact(made)
+
+
 def _star(operator: Callable[..., DataFrame], *args, **kwargs) -> Query:
     return lambda spark, folder: operator(StarSales(spark, folder), *args, **kwargs)
 
@@ -686,6 +708,7 @@ QUERIES: dict[str, Query] = {
     # Metrics
     "category_stats": _on(metrics, profiling.category_stats, digits=4),
     "summary_metrics": _on(metrics, profiling.summary_metrics, RUN_DATE, digits=4),
+    "describe_exact": describe_exact,
     "describe": _on(line_numbers, profiling.describe, digits=4),
     "overall_metrics": _on(metrics, profiling.overall_metrics, digits=4),
     "histogram": lambda s, d: profiling.histogram(metrics(s, d), "value").select(
@@ -717,6 +740,7 @@ QUERIES: dict[str, Query] = {
         quality.disallowed_rows(_dense(s, d), "category", EVENT_TYPES)
     ),
     "dq_report": quality_report,
+    "typed_report": typed_report,
     "dq_overall": _on(_sparse, quality.overall, EVENT_RULES),
     "dq_overall_sound": _on(_sound, quality.overall, EVENT_RULES),
     # Order, sets

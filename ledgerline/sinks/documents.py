@@ -20,10 +20,49 @@ def row_document(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("value"))
 
 
+def typed_document(df: DataFrame) -> DataFrame:
+    """Each row as one typed document (VARIANT): numbers, flags, texts and times keep their
+    types, also when it is stored as Parquet."""
+    return df.select(F.to_variant_object(F.struct("*")).alias("value"))
+
+
+def document_leaves(documents: DataFrame, depth: int = 8) -> DataFrame:
+    """path, kind, text of every leaf of the documents in column `value`: names and places are
+    joined by dots, `kind` is the leaf's type. Nesting deeper than `depth` raises."""
+    spark = documents.sparkSession
+    level = documents.select(F.lit("").alias("path"), "value")
+    found = None
+    for _ in range(depth):
+        kind = F.schema_of_variant("value")
+        nested = kind.startswith("OBJECT<") | kind.startswith("ARRAY<")
+        leaves = level.filter(~nested).select(
+            "path", kind.alias("kind"), F.variant_get("value", "$", "string").alias("text")
+        )
+        found = leaves if found is None else found.unionByName(leaves)
+        level = spark.sql(
+            """select concat_ws('.', nullif(path, ''), coalesce(held.key, cast(held.pos as string)))
+                 as path, held.value as value
+               from {nested} as holder, lateral variant_explode(holder.value) as held""",
+            nested=level.filter(nested),
+        )
+    deeper = F.raise_error(F.concat(F.lit(f"nested deeper than {depth}: "), F.col("path")))
+    return found.unionByName(
+        level.select("path", F.lit("").alias("kind"), deeper.cast("string").alias("text"))
+    )
+
+
 def quality_document(
     df: DataFrame, execution_date: str, rules: QualityRules = PAYMENT_RULES
 ) -> DataFrame:
-    """The whole validation report: every test with its details, and the verdict."""
+    """The whole validation report as JSON."""
+    return row_document(quality_report(df, execution_date, rules))
+
+
+def quality_report(
+    df: DataFrame, execution_date: str, rules: QualityRules = PAYMENT_RULES
+) -> DataFrame:
+    """The whole validation report as one nested row: every test with its details, and the
+    verdict."""
 
     def share(part: Column, whole: Column) -> Column:
         return F.coalesce(F.try_divide(part, whole), F.lit(0.0)) * 100
@@ -61,7 +100,7 @@ def quality_document(
             F.col("consistency").alias("passed"), checks("disallowed", rules.allowed).alias("details")
         ).alias("consistency"),
     )
-    return row_document(
+    return (
         tested(df, rules).select(
             F.lit(execution_date).alias("execution_date"),
             F.current_timestamp().alias("timestamp"),
