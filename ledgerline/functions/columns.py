@@ -45,6 +45,14 @@ def pick(values: Sequence[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
+def lot(keys: Sequence[str], seed: int, stream: str = "") -> Column:
+    """A whole number from 0 to 2**32 - 1 that depends on the seed, the stream and the text of
+    the row's keys alone (null as empty), by MD5: any engine can draw it again."""
+    parts = [F.coalesce(named(k).cast("string"), F.lit("")) for k in keys]
+    digest = F.md5(F.concat_ws("|", F.lit(f"{seed}{stream}"), *parts))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+
+
 def uniform(identifier: Column, seed: int, stream: str) -> Column:
     """A pseudo-random double in [0, 1) that depends only on the row's id.
 

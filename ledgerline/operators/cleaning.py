@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.columns import (
+    lot,
     named,
     nan_to_null,
     numeric_columns,
@@ -112,25 +113,18 @@ def preview(df: DataFrame, n: int = 5) -> DataFrame:
     return df.limit(n)
 
 
-def _lot(keys: Sequence[str], seed: int) -> Column:
-    """A number from 0 to 2**32 - 1 that depends on the seed and the row's keys alone."""
-    parts = [F.coalesce(named(k).cast("string"), F.lit("")) for k in keys]
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
-
-
 def sample_fraction(
     df: DataFrame, keys: Sequence[str], fraction: float, seed: int = 42
 ) -> DataFrame:
     """About a fraction of the rows: those whose keys draw a number below it. The same rows
     from any partitioning or file order; rows with equal keys stay or go together."""
-    return df.filter(_lot(keys, seed) < F.lit(round(fraction * 2**32)).cast("bigint"))
+    return df.filter(lot(keys, seed) < F.lit(round(fraction * 2**32)).cast("bigint"))
 
 
 def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
     """Exactly n rows (all, if there are fewer): those whose keys draw the least numbers, ties
     by the keys. Each task keeps n rows, so n is meant for what a plot can show."""
-    drawn = df.withColumn("number drawn", _lot(keys, seed))
+    drawn = df.withColumn("number drawn", lot(keys, seed))
     return drawn.orderBy("number drawn", *[named(k) for k in keys]).limit(n).drop("number drawn")
 
 

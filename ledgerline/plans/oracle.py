@@ -304,9 +304,10 @@ select count(*) as record_count, round(sum(total_amount), 2) as total_revenue fr
   from orders group by 1""",
     "run_slice": f"""select o_orderkey, o_custkey, o_totalprice from orders
   where strftime(o_orderdate, '%Y-%m') = '{SLICE_DATE[:7]}'""",
-    "outputs_by_region": """select 'r_name=' || r_name as expected, true as exists,
-    true as has_files from region
-  union all select 'r_name=ATLANTIS', false, false""",
+    "outputs_by_region": """with wanted as (
+  select r_name as name from region union all select 'ATLANTIS')
+select 'r_name=' || name as expected, count(r_name) > 0 as exists, count(r_name) > 0 as has_files
+from wanted left join region on name = r_name group by name""",
     "companion_stats": """select count(*) as l_quantity_count, min(l_quantity) as l_quantity_min,
   max(l_quantity) as l_quantity_max, count(l_tax) as l_tax_count, min(l_tax) as l_tax_min,
   max(l_tax) as l_tax_max, round(avg(l_quantity), 4) as l_quantity_avg,
@@ -386,8 +387,11 @@ union all select strftime(max(o_orderdate) + interval 1 month, '%Y-%m'), true, f
   < cast(round(0.05 * 4294967296) as bigint)""",
     "sampled_rows": """select o_orderkey, o_totalprice from orders order by cast('0x' || substr(md5(
   '42|' || cast(o_orderkey as varchar)), 1, 8) as bigint), o_orderkey limit 500""",
-    "null_injection": """select count(*) as total_rows, true as few_missing,
-  count(event_type) as categories_left from events""",
+    "null_injection": f"""with {PAYMENTS}, made as (
+  select category, id, cast('0x' || substr(md5('42amount|' || cast(id as varchar)), 1, 8) as bigint)
+    < cast(round(0.1 * 4294967296) as bigint) as blank from payments)
+select category, count(*) as total_rows, count(*) filter (blank) as blanked,
+  cast(sum(id) filter (blank) as bigint) as blanked_ids from made group by category""",
     "impute_median_bigint": f"""with big as (
   select o_orderkey, case when o_orderkey % 5 <> 0 then o_orderkey + {BEYOND_DOUBLES} end as value
   from orders)

@@ -180,12 +180,13 @@ def run_slice(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def null_injection(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows, missing amounts, and missing amounts of rows that an id picks by its modulus."""
+    """A tenth of the amounts blanked: which rows' amounts are left, per category."""
     made = generators.inject_nulls(payments(spark, folder), "amount", 1, 10, 42)
-    return made.agg(
+    blank = F.col("amount").isNull()
+    return made.groupBy("category").agg(
         F.count(F.lit(1)).alias("total_rows"),
-        (F.count_if(F.col("amount").isNull()) * 20 < F.count(F.lit(1)) * 3).alias("few_missing"),
-        F.count("category").alias("categories_left"),
+        F.count_if(blank).alias("blanked"),
+        F.sum(F.when(blank, F.col("id"))).alias("blanked_ids"),
     )
 
 

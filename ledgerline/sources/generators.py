@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.functions.columns import normal, pick, uniform, uniform_int
+from ledgerline.functions.columns import lot, normal, pick, uniform, uniform_int
 
 # The categories, regions and channels of the fixtures.
 REGIONS = ["North", "South", "East", "West"]
@@ -130,9 +130,10 @@ def inject_nulls(
     df: DataFrame, column: str, draws: int, rows: int, seed: int = 42, id_column: str = "id"
 ) -> DataFrame:
     """Blank a column in the share of rows that `draws` random picks out of `rows` rows,
-    repeats allowed, are expected to hit."""
+    repeats allowed, are expected to hit. Which rows these are depends on the id's text, the
+    seed and the column's name only."""
     share = 1.0 - (1.0 - 1.0 / rows) ** draws
-    hit = uniform(F.col(id_column), seed, "null:" + column) < share
+    hit = lot([id_column], seed, column) < F.lit(round(share * 2**32)).cast("bigint")
     return df.withColumn(column, F.when(~hit, F.col(column)))
 
 
