@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.llm.part_ids import ENTRY_BYTES, PartIds
+
 # Word separators of every contract here: space, tab, line feed, vertical tab, form feed,
 # carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,28 +45,41 @@ def small_batches(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterato
             yield batch.slice(start, rows)
 
 
+def releasing(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The task of a mapInArrow, after which what it no longer holds goes back to the system:
+    Python workers serve the tasks of later stages too."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 class WordIds:
     """Token ids of whole texts by a tokenizer of the tokenizers library that drops white
     space and folds case (so words do not influence each other).
 
-    The library encodes every different word once; a text's ids are those of its words in
-    order. A memory of `most` words is set aside when it is full and a new one begun, into
-    which the words that come again are taken over; so a worker's share is bounded and
-    frequent words stay.
+    The library encodes every different word once, many at a time; a text's ids are those of
+    its words in order (see PartIds). A memory of some `most` words of common length is set
+    aside when it is full, by its bytes, and a new one begun.
     """
 
     loaded: dict[str, WordIds] = {}
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.most = most
+        self.words = PartIds(self._encode_words, most * (ENTRY_BYTES + 40))
 
     @classmethod
     def load(cls, path: str) -> WordIds:
@@ -68,24 +88,36 @@ class WordIds:
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, without added special tokens."""
-        import numpy as np
-
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
         # Only ASCII letters are folded here, and not where a special token may be spelt out.
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        split = [(b if b"<|" in b else b.lower()).split() for b in raw]
-        if len(self.words) > self.most:
-            self.older, self.words = self.words, {}
-        known = self.words
-        new = {w for words in split for w in set(words).difference(known)}
-        known.update((w, self.older[w]) for w in new.intersection(self.older))
-        unknown = list(new.difference(known))
-        for start in range(0, len(unknown), 4096):
-            part = unknown[start : start + 4096]
-            found = self.tokenizer.encode_batch_fast(
-                [w.decode("utf-8", "replace") for w in part], add_special_tokens=False
-            )
-            for word, encoding in zip(part, found, strict=True):
-                known[word] = np.array(encoding.ids, dtype="<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        folded = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        return self.words.of(pc.ascii_split_whitespace(folded))
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Words side by side with a space between them, told apart by their places; a word
+        that may hold a special token, or a very long one, on its own."""
+        apart = [i for i, w in enumerate(words) if "<|" in w or len(w) > 256]
+        alone = set(apart)
+        joined = [i for i in range(len(words)) if i not in alone]
+        found: list[bytes] = [b""] * len(words)
+        groups = [joined[at : at + 128] for at in range(0, len(joined), 128)]
+        encode = self.tokenizer.encode_batch
+        for at in range(0, len(groups), 32):
+            some = groups[at : at + 32]
+            texts = [" ".join([words[i] for i in group]) for group in some]
+            for group, encoding in zip(some, encode(texts, add_special_tokens=False), strict=True):
+                ids = np.array(encoding.ids, dtype="<u4")
+                places = np.array(encoding.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+                ends = np.cumsum([len(words[i]) + 1 for i in group])
+                cuts = (4 * np.searchsorted(places, ends)).tolist()
+                data, start = ids.tobytes(), 0
+                for i, end in zip(group, cuts, strict=True):
+                    found[i] = data[start:end]
+                    start = end
+        for i in apart:
+            ids = self.tokenizer.encode(words[i], add_special_tokens=False).ids
+            found[i] = np.array(ids, dtype="<u4").tobytes()
+        return found

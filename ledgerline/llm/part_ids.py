@@ -11,12 +11,14 @@ import pyarrow.compute as pc
 ENTRY_BYTES = 200  # what a remembered part takes beside its text and ids
 
 
-def text_batches(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose texts (column 1) have `most` bytes or are one row."""
+def text_batches(
+    batches: Iterable[pa.RecordBatch], most: int = 4 << 20, column: int = 1
+) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts have `most` bytes in all, or are one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
         start, done = 0, 0
         while start < batch.num_rows:

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import WordIds, id_and_text, small_batches
+from ledgerline.llm.common import WordIds, id_and_text, releasing, small_batches
+from ledgerline.llm.part_ids import text_batches
 from ledgerline.session import scratch_dir
 
 # Ids per word and bits per id, by selector. Selector 0 is the escape.
@@ -178,9 +179,9 @@ def write_files(
             coded.clear()
             return pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-        for batch in small_batches(batches):
+        for batch in text_batches(batches):
             id_type = batch.column(0).type
-            found = words.encode(batch.column(1).to_pylist())
+            found = words.encode(batch.column(1))
             for owner, ids in zip(batch.column(0).to_pylist(), found, strict=True):
                 owners.append(owner)
                 coded.append(ids + end)
@@ -190,57 +191,76 @@ def write_files(
         if owners:
             yield segment()
 
-    ordered.mapInArrow(task, schema).write.parquet(path)
+    ordered.mapInArrow(releasing(task), schema).write.parquet(path)
 
 
-def read_files(spark: SparkSession, path: str, id_column: str = "doc_id") -> DataFrame:
-    """`<id>`, start (ids of all documents before it), ids (binary, little-endian unsigned
-    32-bit) per document, from the files alone."""
-    segments = spark.read.parquet(path)
-    kind = segments.schema["doc_ids"].dataType.elementType
-    schema = T.StructType(
-        [
-            T.StructField("id", kind),
-            T.StructField("part", T.IntegerType()),
-            T.StructField("within", T.LongType()),
-            T.StructField("ids", T.BinaryType()),
-        ]
-    )
+def _decoded(segments: DataFrame, schema: T.StructType, digests: bool) -> DataFrame:
+    """Each document of the segments: its id, the segment's part, the ids before it, and its ids
+    or their number and checksum. The segments' other columns come first."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1):
-            part, first, _, counts, data = (c[0].as_py() for c in batch.columns)
+            place, first, _, counts, data = (c[0].as_py() for c in batch.columns)
             ids = decode(data).astype("<u4")
             ends = np.cumsum(counts)
             starts = ends - counts
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(2).flatten(),
-                    pa.array([part] * len(counts), pa.int32()),
-                    pa.array(first + starts, pa.int64()),
-                    pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]),
-                ],
-                names=schema.fieldNames(),
-            )
-
-    columns = segments.select("part", "first", "doc_ids", "counts", "data")
-    # One row per part, as many as tasks wrote, carries the ids of all parts before it.
+            held = [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+            columns = [
+                batch.column(2).flatten(),
+                pa.array([place] * len(counts), pa.int64()),
+                pa.array(first + starts, pa.int64()),
+            ]
+            if digests:
+                columns += [pa.array(counts, pa.int64()), pa.array(map(zlib.crc32, held), pa.int64())]
+            else:
+                columns.append(pa.array(held, pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+
+    return segments.mapInArrow(releasing(task), schema)
+
+
+def _read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, T.DataType]:
+    """The segments; for each part, of which there are as many as tasks wrote, the ids of all
+    parts before it; and the type of the documents' ids."""
+    segments = spark.read.parquet(path)
     totals = segments.groupBy("part").agg(
         F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, b: a + b)).alias("n")
     )
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    return (
-        columns.mapInArrow(task, schema)
-        .join(totals, "part")
-        .select(
-            F.col("id").alias(id_column),
-            (F.col("before") + F.col("within")).alias("start"),
-            "ids",
-        )
+    return segments, totals, segments.schema["doc_ids"].dataType.elementType
+
+
+def _layout(kind: T.DataType, *more: tuple[str, T.DataType]) -> T.StructType:
+    fields = [("id", kind), ("place", T.LongType()), ("within", T.LongType()), *more]
+    return T.StructType([T.StructField(n, t) for n, t in fields])
+
+
+def read_files(spark: SparkSession, path: str, id_column: str = "doc_id") -> DataFrame:
+    """`<id>`, start (ids of all documents before it), ids (binary, little-endian unsigned
+    32-bit) per document, from the files alone. Coded segments may be shuffled to their
+    part's total, decoded ids are not."""
+    segments, totals, kind = _read(spark, path)
+    placed = segments.join(totals, "part").select("before", "first", "doc_ids", "counts", "data")
+    documents = _decoded(placed, _layout(kind, ("ids", T.BinaryType())), False)
+    return documents.select(
+        F.col("id").alias(id_column), (F.col("place") + F.col("within")).alias("start"), "ids"
     )
 
 
+def read_digests(spark: SparkSession, path: str, id_column: str = "doc_id") -> DataFrame:
+    """`<id>`, start, n_tokens, ids_crc32 per document, from the files alone. The task that
+    decodes a segment checks its ids; none of them leaves it."""
+    segments, totals, kind = _read(spark, path)
+    columns = segments.select(F.col("part").cast("bigint"), "first", "doc_ids", "counts", "data")
+    more = (("n_tokens", T.LongType()), ("ids_crc32", T.LongType()))
+    documents = _decoded(columns, _layout(kind, *more), True)
+    return documents.join(totals, F.col("place") == F.col("part")).select(
+        F.col("id").alias(id_column), (F.col("before") + F.col("within")).alias("start"),
+        "n_tokens", "ids_crc32",
+    )
+
+
 def round_trip(
     docs: DataFrame, tokenizer: str, end_id: int, id_column: str = "doc_id"
 ) -> DataFrame:
@@ -249,12 +269,7 @@ def round_trip(
     spark = docs.sparkSession
     path = f"{scratch_dir(spark)}/simple8b-{uuid.uuid4().hex}"
     write_files(docs, path, tokenizer, end_id, id_column)
-    return read_files(spark, path, id_column).select(
-        id_column,
-        "start",
-        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
-        F.crc32("ids").alias("ids_crc32"),
-    )
+    return read_digests(spark, path, id_column)
 
 
 def checksum(ids: np.ndarray) -> int:
