@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.llm.byte_bpe import ByteIds
-from ledgerline.llm.common import id_and_text
+from ledgerline.llm.common import id_and_text, releasing
 from ledgerline.llm.part_ids import text_batches
 from ledgerline.session import materialize
 
@@ -255,7 +255,7 @@ def tokenized(
                 names=schema.fieldNames(),
             )
 
-    return source.mapInArrow(task, schema)
+    return source.mapInArrow(releasing(task), schema)
 
 
 def pack(

@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import WordIds, id_and_text, small_batches
+from ledgerline.llm.common import WordIds, id_and_text, releasing
+from ledgerline.llm.part_ids import text_batches
 
 PIECES_PER_BATCH = 2048
 
@@ -154,9 +155,9 @@ def pack(
 
         def documents():
             nonlocal owner_type
-            for batch in small_batches(batches):
+            for batch in text_batches(batches):
                 owner_type = batch.column(0).type
-                encoded = words.encode(batch.column(1).to_pylist())
+                encoded = words.encode(batch.column(1))
                 for owner, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                     ids += end
                     yield (owner, len(ids) // 4), ids
@@ -184,7 +185,7 @@ def pack(
         if rows:
             yield flushed()
 
-    return source.mapInArrow(task, schema)
+    return source.mapInArrow(releasing(task), schema)
 
 
 def digest(pieces: DataFrame, id_column: str = "doc_id") -> DataFrame:
