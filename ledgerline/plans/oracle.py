@@ -381,6 +381,8 @@ union all select strftime(max(o_orderdate) + interval 1 month, '%Y-%m'), true, f
     + "\nunion all " + _exact_description(
         "money", "cast(o_orderkey as hugeint) * 100 + 1234567890123456789012", 2
     ),
+    "guarded_orders": """select o_orderstatus, count(*) as orders from orders group by o_orderstatus""",
+    "no_numbers": "select c_name from customer where false",
     "created_input": """select o_custkey, count(*) as orders from orders group by o_custkey""",
     "sampled_points": """select l_extendedprice, l_discount from lineitem where cast('0x' || substr(md5(
   '42|' || cast(l_orderkey as varchar) || '|' || cast(l_linenumber as varchar)), 1, 8) as bigint)

@@ -501,6 +501,17 @@ def footer_profile(spark: SparkSession, folder: str) -> DataFrame:
     return layouts.footer_profile(spark, path, "o_orderkey")
 
 
+def guarded_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders per status, behind the guard that refuses an input without rows."""
+    orders = readers.require_rows(read_star_table(spark, folder, "orders"), "orders")
+    return orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders"))
+
+
+def no_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of a table without numbers: an empty result, not an error."""
+    return profiling.numeric_stats(read_star_table(spark, folder, "customer").select("c_name"))
+
+
 def sampled_points(spark: SparkSession, folder: str) -> DataFrame:
     """A twentieth of the lines' prices and discounts, chosen by the lines' keys."""
     lines = read_star_table(spark, folder, "lineitem").repartition(7, "l_partkey")
@@ -623,6 +634,8 @@ QUERIES: dict[str, Query] = {
     "bad_lines": bad_lines,
     "daily_job": daily_job,
     "created_input": created_input,
+    "guarded_orders": guarded_orders,
+    "no_numbers": no_numbers,
     "bucketed_customers": bucketed_customers,
     "lines_of_a_run": lines_of_a_run,
     "footer_profile": footer_profile,
