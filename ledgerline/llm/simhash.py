@@ -30,7 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import id_and_text, small_batches
+from ledgerline.llm.common import id_and_text, releasing, small_batches
+from ledgerline.llm.hot_join import left_join
+from ledgerline.llm.part_ids import text_batches
 from ledgerline.llm.components import components
 from ledgerline.session import materialize
 
@@ -72,19 +74,19 @@ def fingerprints(
 ) -> DataFrame:
     """The rows with a bigint column of their texts' fingerprints (bits as in an unsigned
     number). A text without words, empty or null has zero. A column of that name is replaced."""
-    kept = [c for c in docs.columns if c != name]
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
     rows = docs.select(*[docs[c] for c in kept])
     schema = T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())])
     at = kept.index(text_column)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in text_batches(batches, column=at):
             found = [fingerprint(t or "", shingle) for t in batch.column(at).to_pylist()]
             signed = np.array(found, dtype=np.uint64).view(np.int64)
             arrays = [*batch.columns, pa.array(signed)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
-    return rows.mapInArrow(task, schema)
+    return rows.mapInArrow(releasing(task), schema)
 
 
 class Golay:
@@ -164,7 +166,7 @@ def _keyed(prints: DataFrame, file: bool) -> DataFrame:
                         [pa.array(c) for c in columns], names=["key", "fp", "label"]
                     )
 
-    return prints.select("fp", "label").mapInArrow(task, schema)
+    return prints.select("fp", "label").mapInArrow(releasing(task), schema)
 
 
 def _close(a: str, b: str) -> Column:
@@ -255,8 +257,9 @@ def near_duplicates(
         .groupBy("root")
         .agg(F.min("least").alias("component_id"))
     )
-    named = roots.join(least, "root").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select(
+    # A group of near copies may hold any share of the fingerprints, a text of the rows.
+    named = materialize(left_join(roots, materialize(least), ["root"]).drop("root"))
+    return left_join(prints, named, ["fingerprint"]).select(
         F.col("id").alias(id_column),
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         "component_id",
