@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.common import id_and_text, small_batches
+from ledgerline.llm.common import id_and_text, releasing
+from ledgerline.llm.part_ids import text_batches
 from ledgerline.session import materialize
 
 EXAMPLES = 3_000  # labelled rows of each class that a model is fitted on
@@ -76,15 +77,19 @@ def telling(toxic: list[list[str]], ordinary: list[list[str]]) -> set[str]:
 
 def trained(size: int, samples: list[bytes]) -> bytes:
     """Content of a dictionary trained on the samples, of at most `size` bytes and a fixed part
-    of theirs. The trainer takes at least LEAST_BYTES and some samples; of what it refuses
-    (a few words, or samples too alike to choose from) as many bytes are the content."""
+    of theirs. Where the trainer refuses (a few words, or samples too alike to choose from),
+    half the size is asked for, down to LEAST_BYTES; empty if it refuses that too."""
     import zstandard
 
     size = min(size, max(LEAST_BYTES, sum(map(len, samples)) // SAMPLES_X))
-    try:
-        return zstandard.train_dictionary(size, samples, k=16 if size < 16_384 else 64, d=6).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[:size]
+    while True:
+        segment = 16 if size < 16_384 else 64
+        try:
+            return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+        except zstandard.ZstdError:
+            if size == LEAST_BYTES:
+                return b""
+            size = max(LEAST_BYTES, size // 2)
 
 
 def compressor(content: bytes):
@@ -221,14 +226,14 @@ def measured(examples: DataFrame, parts: dict, models: list[Model]) -> dict:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part_of, made = shared.value
-        for batch in small_batches(batches):
+        for batch in text_batches(batches):
             ids, texts = (c.to_pylist() for c in batch.columns)
             found = [made[part_of[i]].savings(t) for i, t in zip(ids, texts, strict=True)]
             values = pa.array([f.tolist() for f in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["id", "found"])
 
     spread = examples.select("id", "text").repartition(spark.sparkContext.defaultParallelism, "id")
-    return {r["id"]: r["found"] for r in spread.mapInArrow(task, schema).collect()}
+    return {r["id"]: r["found"] for r in spread.mapInArrow(releasing(task), schema).collect()}
 
 
 def fit_examples(examples: DataFrame, share: float, seed: int = 5) -> Model:
@@ -244,10 +249,12 @@ def fit_examples(examples: DataFrame, share: float, seed: int = 5) -> Model:
     for part in range(FOLDS):
         rest = [i for i, own in enumerate(parts) if own != part]
         models.append(dictionaries([texts[i] for i in rest], [labels[i] for i in rest], seed))
+    model = dictionaries(texts, labels, seed)
+    if not all(m.ordinary and m.toxic for m in [model, *models]):
+        return Model(b"", b"", constant=share)  # too little to train a dictionary on
     found = measured(examples, {r["id"]: p for r, p in zip(rows, parts, strict=True)}, models)
     saved = np.array([found[r["id"]] for r in rows])
     wanted = np.array(labels, dtype=float)
-    model = dictionaries(texts, labels, seed)
     ordinary = np.cumsum(saved[wanted == 0].sum(axis=0)[::-1])[::-1]
     model.tail = (ordinary + 1) / (ordinary[0] + 1)
     model.weights = logistic(np.array([features_of(s, model.tail) for s in saved]), wanted)
@@ -307,13 +314,13 @@ def score(
     at = [c.lower() for c in kept].index(text_column.lower())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
+        for batch in text_batches(batches, column=at):
             found = model.score([t or "" for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(found)], names=schema.fieldNames()
             )
 
-    return rows.mapInArrow(task, schema)
+    return rows.mapInArrow(releasing(task), schema)
 
 
 def held_out(id_column: Column) -> Column:
