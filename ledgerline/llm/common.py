@@ -82,10 +82,10 @@ class WordIds:
         self.words = PartIds(self._encode_words, most * (ENTRY_BYTES + 40))
 
     @classmethod
-    def load(cls, path: str) -> WordIds:
+    def load(cls, path: str, most: int = 400_000) -> WordIds:
         """The one of this Python worker, which serves many tasks."""
         if path not in cls.loaded:
-            cls.loaded[path] = cls(path)
+            cls.loaded[path] = cls(path, most)
         return cls.loaded[path]
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:

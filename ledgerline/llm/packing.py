@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 from ledgerline.llm.common import WordIds, id_and_text, releasing
 from ledgerline.llm.part_ids import text_batches
 
-PIECES_PER_BATCH = 2048
+PIECES_PER_BATCH = 256
+MEMORY_WORDS = 200_000  # that a worker remembers, twice at most
 
 
 class Pool:
@@ -149,18 +150,19 @@ def pack(
     end = int(end_id).to_bytes(4, "little")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds.load(tokenizer)
+        words = WordIds.load(tokenizer, MEMORY_WORDS)
         sequence = TaskContext.get().partitionId() << 33
         owner_type = pa.int64()
 
         def documents():
             nonlocal owner_type
-            for batch in text_batches(batches):
+            for batch in text_batches(batches, 2 << 20):
                 owner_type = batch.column(0).type
                 encoded = words.encode(batch.column(1))
                 for owner, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                     ids += end
                     yield (owner, len(ids) // 4), ids
+                pa.default_memory_pool().release_unused()
 
         rows: list[tuple] = []
 
