@@ -180,6 +180,26 @@ def dedup_lines(
     )
 
 
+def run_bytes(lines: Column, first: Column, last: Column) -> Column:
+    return F.array_join(F.slice(lines, first + 1, last - first + 1), "\n").cast("binary")
+
+
+def _runs_of(wanted: Column):
+    """The bytes of the wanted runs of a text's lines, beside their digests and places."""
+
+    def body(lines: Column) -> Column:
+        return F.transform(
+            wanted,
+            lambda w: F.struct(
+                w["digest"].alias("digest"),
+                w["at"].alias("at"),
+                run_bytes(lines, w["at"], w["last"]).alias("whole"),
+            ),
+        )
+
+    return body
+
+
 def runs(text: Column, min_words: int = MIN_WORDS) -> Column:
     """Array of (first, last, digest): the runs of a text's lines, numbered from 0, that are
     compared with others: its eligible chunks, and the shortest runs of at least `min_words`
@@ -188,8 +208,7 @@ def runs(text: Column, min_words: int = MIN_WORDS) -> Column:
 
     def of_lines(lines: Column) -> Column:
         def run(first: Column, last: Column) -> Column:
-            whole = F.array_join(F.slice(lines, first + 1, last - first + 1), "\n")
-            digest = F.unhex(F.sha2(whole.cast("binary"), 256))
+            digest = F.unhex(F.sha2(run_bytes(lines, first, last), 256))
             return F.struct(first.alias("first"), last.alias("last"), digest.alias("digest"))
 
         def shortest(near: Column) -> Column:
@@ -253,11 +272,11 @@ def dedup_passages(
     """The rows of docs without the lines of repeated passages: of runs of whole lines of at
     least `min_words` words, the first and last not blank, and of the chunks of dedup_lines.
 
-    Places are ordered and rows with the same id and text treated as by dedup_lines; a line
-    goes if it lies in a run whose bytes stand in an earlier place, so each stays once. Where
-    a passage overlaps itself, what repeats goes. A null text stays null; a text of which
-    nothing is left is empty. An empty table gives no rows. Writes the repeated runs' digests
-    when called.
+    Places are ordered and rows with the same id and text treated as by dedup_lines; runs meet
+    by digest, and a line goes if it lies in a run whose bytes equal those of its digest's
+    first occurrence, so each stays once. Where a passage overlaps itself, what repeats goes.
+    A null text stays null; a text of which nothing is left is empty. An empty table gives no
+    rows. Writes the repeated runs' digests when called.
     """
     occurrences = docs.select(
         docs[id_column].isNull().alias("missing"),
@@ -271,20 +290,39 @@ def dedup_passages(
     )
     firsts = materialize(
         occurrences.groupBy("digest")
-        .agg(F.min("place").alias("kept"), F.max("place").alias("most"))
-        .filter(F.col("kept") != F.col("most"))
-        .select("digest", "kept")
+        .agg(F.min(F.struct("place", "last")).alias("first"), F.max("place").alias("most"))
+        .filter(F.col("first.place") != F.col("most"))
+        .select("digest", F.col("first.place").alias("kept"), F.col("first.last").alias("last"))
     )
-    repeats = (
-        occurrences.join(firsts, "digest")
-        .filter(F.col("place") != F.col("kept"))
+    wanted = firsts.groupBy("kept.missing", "kept.id", "kept.print").agg(
+        F.collect_list(F.struct("digest", F.col("kept.at").alias("at"), "last")).alias("wanted")
+    )
+    texts = docs.select(
+        docs[id_column].alias("own"), F.xxhash64(docs[text_column]).alias("own_print"),
+        docs[text_column].alias("text"),
+    )
+    # Of a repeated row's texts, one; the place goes along, so firsts are not met again.
+    known = (
+        texts.join(
+            wanted, texts["own"].eqNullSafe(wanted["id"]) & (F.col("own_print") == F.col("print"))
+        )
         .select(
-            F.col("place.id").alias("id"),
-            F.col("place.print").alias("print"),
-            F.explode(F.sequence(F.col("place.at"), F.col("last"))).alias("line"),
+            "missing", "id", "print",
+            F.explode(bound(F.split("text", "\n", -1), _runs_of(F.col("wanted")))).alias("run"),
         )
-        .groupBy("id", "print")
-        .agg(F.collect_set("line").alias("gone"))
+        .groupBy(F.col("run.digest").alias("digest"))
+        .agg(
+            F.min(
+                F.struct(F.struct("missing", "id", "print", "run.at").alias("kept"), "run.whole")
+            ).alias("first")
+        )
+        .select("digest", "first.kept", "first.whole")
+    )
+    repeats = (
+        occurrences.join(known, "digest")
+        .filter(F.col("place") != F.col("kept"))
+        .groupBy(F.col("place.id").alias("id"), F.col("place.print").alias("print"))
+        .agg(F.collect_set(F.struct(F.col("place.at").alias("at"), "last", "whole")).alias("repeats"))
     )
     names = {f"c{i}": c for i, c in enumerate(docs.columns)}
     text_name = next(k for k, c in names.items() if c.lower() == text_column.lower())
@@ -297,10 +335,14 @@ def dedup_passages(
     )
 
     def left_of(lines: Column) -> Column:
-        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+        same = F.filter(
+            F.col("repeats"), lambda r: run_bytes(lines, r["at"], r["last"]) == r["whole"]
+        )
+        gone = F.flatten(F.transform(same, lambda r: F.sequence(r["at"], r["last"])))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
         return F.array_join(F.transform(stay, lambda i: F.element_at(lines, i + 1)), "\n")
 
-    cut = F.when(F.col("gone").isNotNull(), bound(F.split(text_name, "\n", -1), left_of))
+    cut = F.when(F.col("repeats").isNotNull(), bound(F.split(text_name, "\n", -1), left_of))
     return joined.select(
         *[
             (F.coalesce(cut, k) if k == text_name else F.col(k)).alias(c)

@@ -6,6 +6,7 @@ import pytest
 from llm import edge
 
 import corpus_pipeline
+from ledgerline.llm import line_dedup
 from ledgerline.llm.common import table
 from ledgerline.llm.line_dedup import DIVISOR, FACTOR, MIN_LINES, MIN_WORDS, dedup_lines, dedup_passages
 
@@ -178,3 +179,16 @@ def test_passages_of_odd_rows(spark):
     lines = [f"line {i} of a long text" for i in range(20_000)]
     left = passages_left(spark, {1: "\n".join(lines), 2: "\n".join(["own", *lines[5_000:], "end"])})
     assert left[2] == "own\nend"
+
+
+def test_passages_of_equal_digest_go_only_if_their_bytes_are_equal(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup.F, "sha2", lambda column, bits: line_dedup.F.lit("00"))
+    one, other = ("\n".join(f"{w}{i} " * 60 for i in range(3)) for w in ("a", "b"))
+    docs = spark.createDataFrame(
+        [(1, one), (2, other), (3, one), (3, one)], "doc_id bigint, text string"
+    )
+    found = sorted(tuple(r) for r in line_dedup.dedup_passages(docs).collect())
+    first = one.split("\n")[0]
+    assert found[:2] == [(1, one), (2, other)]
+    # All runs are in one group here, whose first occurrence is the first line of document 1.
+    assert found[2:] == [(3, one.removeprefix(f"{first}\n"))] * 2
