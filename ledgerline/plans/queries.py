@@ -134,7 +134,7 @@ def _star_rows(spark: SparkSession, folder: str) -> DataFrame:
 def json_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Sales written as JSON lines, read back under the fixed schema, summed."""
     path = _path(spark)
-    writers.write_json(_star_rows(spark, folder), path)
+    writers.write_json(_star_rows(spark, folder), path, compression="gzip")
     return summaries.region_summary(readers.read_sales(spark, path))
 
 
@@ -420,7 +420,8 @@ def bad_lines(spark: SparkSession, folder: str) -> DataFrame:
     line = F.to_json(F.struct(*made.columns))
     cut = F.col("customer_id") % 40 == 0
     broken = F.concat(F.lit("{"), F.substring_index(line, ",", 2))
-    made.select(F.when(cut, broken).otherwise(line).alias("value")).write.text(source)
+    lines = made.select(F.when(cut, broken).otherwise(line).alias("value"))
+    lines.write.option("compression", "gzip").text(source)  # some seven times smaller
     seen: list = []
     counts = jobs.run_sales_job(spark, source, out, bad, seen)
     apart = spark.read.text(bad).agg(F.count(F.lit(1))).scalar()

@@ -52,8 +52,10 @@ def write_parquet(df: DataFrame, target: str, single_file: bool = False) -> None
     _writer(df, target, single_file).parquet(target)
 
 
-def write_json(df: DataFrame, target: str, single_file: bool = False) -> None:
-    _writer(df, target, single_file).json(target)
+def write_json(
+    df: DataFrame, target: str, single_file: bool = False, compression: str | None = None
+) -> None:
+    _writer(df, target, single_file).json(target, compression=compression)
 
 
 def write_document(df: DataFrame, target: str) -> None:

@@ -14,6 +14,7 @@ from ledgerline.session import (
     scratch_dir,
     scratch_scope,
 )
+from ledgerline.plans import queries
 from ledgerline.sinks import verify, writers
 from ledgerline.sources import files, generators, readers
 
@@ -216,3 +217,14 @@ def test_scratch_is_shared_and_tidied(spark):
     assert not os.path.exists(kept.removeprefix("file://"))
     files = materialize(spark.range(3)).inputFiles()
     assert all(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
+@pytest.mark.parametrize("name", ["bad_lines", "json_scan"])
+def test_lines_made_from_the_star_are_written_small(spark, folder, tmp_path, monkeypatch, name):
+    paths = (str(tmp_path / f"p{i}") for i in range(9))
+    monkeypatch.setattr(queries, "_path", lambda spark: next(paths))
+    queries.QUERIES[name](spark, folder).collect()
+    made = spark.read.text(str(tmp_path / "p0"))  # the lines come first
+    plain = made.selectExpr("sum(octet_length(value))").first()[0]
+    written = sum(f.stat().st_size for f in (tmp_path / "p0").glob("part-*"))
+    assert made.count() > 1000 and 0 < written < plain / 4
