@@ -21,23 +21,28 @@ CHUNK = 32  # steps whose outputs are evaluated together when scoring
 PIECE = 16 * WINDOW * 4  # steps laid out at a time; whole windows and whole chunks
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):  # to 0, as it should
-        return 1 / (1 + np.exp(-x))
+BLOCK = 32_768  # parameters updated together, few enough for a core's own cache
+SAFE = 60.0  # logits between -SAFE and SAFE need no shift before exp
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def thirds(x: np.ndarray) -> np.ndarray:
+    """The columns for the update gate, the reset gate and the new state, as three tables."""
+    return np.ascontiguousarray(x.reshape(len(x), 3, -1).transpose(1, 0, 2))
 
 
-def log_chosen(x: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """The chosen column of each row's log_softmax."""
-    chosen = x[np.arange(len(x)), column]
-    most = x.max(axis=1)
-    x -= most[:, None]
+def exponentials(x: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray | float:
+    """exp in place, less a number per row that keeps it in range; that number. Rows are those
+    of a table, or begin at `starts` of a vector."""
+    shift: np.ndarray | float = 0.0
+    if x.size and (x.max() > SAFE or x.min() < -SAFE):
+        if starts is None:
+            shift = x.max(axis=1)
+            x -= shift[:, None]
+        else:
+            shift = np.maximum.reduceat(x, starts)
+            x -= np.repeat(shift, np.diff(np.append(starts, x.size)))
     np.exp(x, out=x)
-    return (chosen - most).astype(np.float64) - np.log(x.sum(axis=1, dtype=np.float64))
+    return shift
 
 
 @dataclass
@@ -105,6 +110,53 @@ class Lanes:
             yield cls(inputs, wanted, text, begins, (text >= 0).sum(axis=1))
 
 
+class Work:
+    """Arrays that a stretch of steps and lanes needs, kept for the next one of its shape."""
+
+    def __init__(self, steps: int, lanes: int, size: int, kind: np.dtype, trains: bool):
+        def room(*shape: int) -> np.ndarray:
+            return np.empty(shape, dtype=kind)
+
+        self.steps, self.lanes, self.size, self.kind, self.trains = steps, lanes, size, kind, trains
+        kept = steps if trains else 1  # steps whose inner values are kept
+        # The update gate, the reset gate and the new state's part stand one behind the other.
+        self.projected, self.recurrent = room(3, steps, lanes, size), room(3, lanes, size)
+        self.h, self.carried = room(steps, lanes, size), room(steps, lanes, 1)
+        self.gates, self.before = room(2, kept, lanes, size), room(kept, lanes, size)
+        self.kept, self.new = room(kept, lanes, size), room(kept, lanes, size)
+        if trains:
+            self.x, self.d_states, self.spare = (room(steps, lanes, size) for _ in range(3))
+            self.to_inputs, self.to_carried = (room(3, steps, lanes, size) for _ in range(2))
+            self.backs, self.back = room(3, lanes, size), room(lanes, size)
+
+    @classmethod
+    def of(cls, held: Work | None, shape: tuple[int, int], size: int, kind: np.dtype, trains: bool = True) -> Work:
+        if held is None or (held.steps, held.lanes) != shape:
+            return cls(*shape, size, kind, trains)
+        return held
+
+    def last(self) -> np.ndarray:
+        """The states after the last step; not a part of the arrays that are used again."""
+        return self.h[-1].copy()
+
+
+@dataclass
+class Rows:
+    """Wanted outputs of a stretch in the order of outputs. `several` are the rows whose class
+    has more than one output; `widths`, `starts`, `chosen` lay out a vector of all outputs of
+    each such row's class, `firsts` are the first such rows of each class."""
+
+    order: np.ndarray
+    text: np.ndarray
+    classes: np.ndarray
+    several: np.ndarray
+    widths: np.ndarray
+    starts: np.ndarray
+    chosen: np.ndarray
+    firsts: np.ndarray
+    states: np.ndarray
+
+
 class Gru:
     """Parameters and their use. `bounds` are the first outputs of the classes and the end."""
 
@@ -153,116 +205,261 @@ class Gru:
             setattr(models[0], k, sum(parts).astype(np.float32))
         return models[0].pack()
 
-    def _by_class(self, wanted: np.ndarray):
-        """(class, rows with a wanted output of it) for classes of several outputs."""
+    def _joined(self) -> None:
+        """Lays all parameters out in one vector, `flat`, of which the named ones are parts.
+        A class's or an output's bias stands behind its weights."""
+        n, size = self.embed.shape
+        classes = len(self.bc)
+        shapes = {
+            "embed": (n, size), "wx": (size, 3 * size), "wh": (size, 3 * size), "b": (3 * size,),
+            "classes": (size + 1, classes), "outputs": (n, size + 1),
+        }
+        lengths = [int(np.prod(shape)) for shape in shapes.values()]
+        self.shapes = shapes
+        flat = np.empty(sum(lengths), dtype=self.wh.dtype)
+        named = self._named(flat)
+        for k in self.NAMES:
+            named[k][...] = getattr(self, k)
+            setattr(self, k, named[k])
+        self.flat = flat
+
+    def _named(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """The parts of a vector that is laid out as the parameters are."""
+        parts, at = {}, 0
+        for k, shape in self.shapes.items():
+            length = int(np.prod(shape))
+            parts[k] = flat[at : at + length].reshape(shape)
+            at += length
+        size = self.shapes["wh"][0]
+        parts["wc"], parts["bc"] = parts["classes"][:size], parts["classes"][size]
+        parts["wo"], parts["bo"] = parts["outputs"][:, :size], parts["outputs"][:, size]
+        return parts
+
+    def _biased(self) -> tuple[np.ndarray, np.ndarray]:
+        """Class and output weights with their biases as a last row, a last column."""
+        return np.vstack([self.wc, self.bc]), np.hstack([self.wo, self.bo[:, None]])
+
+    def _run(self, work: Work, laid: Lanes, at: int, h: np.ndarray, tables=None) -> None:
+        """The states of the steps from `at` on that `work` holds, and what gradients need.
+        All lanes that run at the first step go on to the last one; a step after a lane's end
+        has the text -1. `tables`: the thirds of embed @ wx + b, if they are at hand."""
+        size, w = h.shape[1], work
+        inputs = laid.inputs[at : at + w.steps, : w.lanes].ravel()
+        if tables is None:
+            x = np.take(self.embed, inputs, axis=0, out=w.x.reshape(-1, size), mode="clip")
+            for weights, b, to in zip(thirds(self.wx), self.b.reshape(3, size), w.projected, strict=True):
+                np.matmul(x, weights, out=to.reshape(-1, size))
+                to += b
+        else:
+            for table, to in zip(tables, w.projected, strict=True):
+                np.take(table, inputs, axis=0, out=to.reshape(-1, size), mode="clip")
+        np.logical_not(laid.begins[at : at + w.steps, : w.lanes, None], out=w.carried, casting="unsafe")
+        np.negative(w.projected[:2], out=w.projected[:2])
+        recurrent, wh = w.recurrent, thirds(self.wh)
+        with np.errstate(over="ignore"):  # exp to infinity, a gate of 0, as it should
+            for t in range(w.steps):
+                k = t if w.trains else 0
+                before, gates, new, to = w.before[k], w.gates[:, k], w.new[k], w.h[t]
+                np.multiply(h, w.carried[t], out=before)
+                np.matmul(before, wh, out=recurrent)
+                np.subtract(w.projected[:2, t], recurrent[:2], out=gates)
+                np.exp(gates, out=gates)
+                np.add(gates, 1, out=gates)
+                np.reciprocal(gates, out=gates)
+                w.kept[k] = recurrent[2]
+                np.multiply(gates[1], recurrent[2], out=new)
+                np.add(new, w.projected[2, t], out=new)
+                np.tanh(new, out=new)
+                np.subtract(before, new, out=to)
+                np.multiply(to, gates[0], out=to)
+                h = np.add(to, new, out=to)
+
+    def _rows(self, work: Work, laid: Lanes, at: int) -> Rows:
+        """The outputs wanted at these steps, in the order of outputs, so of classes too."""
+        wanted = laid.wanted[at : at + work.steps, : work.lanes].ravel()
+        text = laid.text[at : at + work.steps, : work.lanes].ravel()
+        order = np.argsort(wanted if len(self.class_of) > 65_535 else wanted.astype(np.uint16), kind="stable")
+        if work.lanes and text[-work.lanes :].min() < 0:
+            order = order[text[order] >= 0]
+        wanted = wanted[order]
         classes = self.class_of[wanted]
-        order = np.argsort(classes, kind="stable")
-        cuts = np.searchsorted(classes[order], np.arange(len(self.bounds)))
-        for c in np.flatnonzero(np.diff(cuts)):
-            if self.bounds[c + 1] - self.bounds[c] > 1:
-                yield c, order[cuts[c] : cuts[c + 1]]
-
-    def _step(self, projected: np.ndarray, h: np.ndarray) -> tuple:
-        size = h.shape[1]
-        recurrent = h @ self.wh
-        gates = sigmoid(projected[:, : 2 * size] + recurrent[:, : 2 * size])
-        z, r = gates[:, :size], gates[:, size:]
-        kept = recurrent[:, 2 * size :]
-        new = np.tanh(projected[:, 2 * size :] + r * kept)
-        return new + z * (h - new), z, r, kept, new
+        widths = np.diff(self.bounds)[classes]
+        several = np.flatnonzero(widths > 1)
+        widths = widths[several]
+        starts = np.cumsum(widths) - widths
+        firsts = np.flatnonzero(np.diff(classes[several], prepend=-1))
+        states = np.ones((len(order), work.size + 1), dtype=work.kind)  # ones meet the biases
+        states[:, : work.size] = work.h.reshape(-1, work.size)[order]
+        chosen = starts + (wanted - self.bounds[classes])[several]
+        return Rows(order, text[order], classes, several, widths, starts, chosen, firsts, states)
+
+    def _inner(self, rows: Rows, outputs: np.ndarray) -> tuple[np.ndarray, list]:
+        """Logits of all outputs within the rows' classes, row after row, and for each class
+        (first row, end, first output, end, its logits) as rows are counted in `several`."""
+        inner = np.empty(int(rows.widths.sum()), dtype=outputs.dtype)
+        states = rows.states[rows.several] if len(rows.several) < len(rows.order) else rows.states
+        parts = []
+        ends = np.append(rows.firsts[1:], len(rows.several)).tolist()
+        for i, j, c in zip(rows.firsts.tolist(), ends, rows.classes[rows.several[rows.firsts]].tolist(), strict=True):
+            a, b = int(self.bounds[c]), int(self.bounds[c + 1])
+            o = int(rows.starts[i])
+            block = inner[o : o + (j - i) * (b - a)].reshape(j - i, b - a)
+            np.matmul(states[i:j], outputs[a:b].T, out=block)
+            parts.append((i, j, a, b, block))
+        return inner, [states, parts]
 
     def log_likelihoods(self, texts: list[np.ndarray], start: int, lanes: int = 256) -> np.ndarray:
         """Natural logarithm of each whole text's probability; 0 for an empty sequence."""
         total = np.zeros(len(texts))
-        table = self.embed @ self.wx + self.b
-        h = np.zeros((max(1, min(lanes, len(texts))), self.wh.shape[0]), dtype=np.float32)
+        kind = self.wh.dtype
+        tables = thirds(self.embed @ self.wx + self.b)
+        by_class, by_output = self._biased()
+        ones = np.ones(len(self.bc), dtype=kind)
+        h = np.zeros((max(1, min(lanes, len(texts))), self.wh.shape[0]), dtype=kind)
+        work = None
         for laid in Lanes.pieces(texts, start, lanes):
             for at in range(0, len(laid.inputs), CHUNK):
-                states, spans = [], []
-                for t in range(at, min(at + CHUNK, len(laid.inputs))):
-                    n = laid.active[t]
-                    h = np.where(laid.begins[t, :n, None], np.float32(0), h[:n])
-                    h = self._step(table[laid.inputs[t, :n]], h)[0]
-                    states.append(h)
-                    spans.append((t, n))
-                wanted = np.concatenate([laid.wanted[t, :n] for t, n in spans])
-                owner = np.concatenate([laid.text[t, :n] for t, n in spans])
-                flat = np.concatenate(states)
-                found = log_chosen(flat @ self.wc + self.bc, self.class_of[wanted])
-                for c, rows in self._by_class(wanted):
-                    a, b = self.bounds[c], self.bounds[c + 1]
-                    inner = flat[rows] @ self.wo[a:b].T + self.bo[a:b]
-                    found[rows] += log_chosen(inner, wanted[rows] - a)
-                total += np.bincount(owner, found, len(texts))
+                shape = min(CHUNK, len(laid.inputs) - at), int(laid.active[at])
+                work = Work.of(work, shape, h.shape[1], kind, trains=False)
+                self._run(work, laid, at, h[: shape[1]], tables)
+                h = work.last()
+                rows = self._rows(work, laid, at)
+                logits = rows.states @ by_class
+                found = logits[np.arange(len(logits)), rows.classes].astype(np.float64)
+                found -= exponentials(logits)
+                found -= np.log(logits @ ones)
+                if len(rows.several):
+                    inner, _ = self._inner(rows, by_output)
+                    own = inner[rows.chosen].astype(np.float64)
+                    own -= exponentials(inner, rows.starts)
+                    found[rows.several] += own - np.log(np.add.reduceat(inner, rows.starts))
+                total += np.bincount(rows.text, found, len(texts))
         return total
 
     def train(
         self, texts: list[np.ndarray], start: int, lanes: int = 64, rate: float = 0.02
     ) -> int:
         """One pass of truncated backpropagation with Adam; returns the tokens seen."""
-        moments = {k: (np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))) for k in self.NAMES}
-        h = np.zeros((max(1, min(lanes, len(texts))), self.wh.shape[0]), dtype=np.float32)
+        self._joined()
+        gradient = np.zeros_like(self.flat)
+        named = self._named(gradient)
+        # Sums that fade by 0.9 and 0.999: 10 and 1000 times Adam's moments.
+        first, second = np.zeros_like(gradient), np.zeros_like(gradient)
+        spare = np.empty_like(gradient[:BLOCK])
+        h = np.zeros((max(1, min(lanes, len(texts))), self.wh.shape[0]), dtype=self.wh.dtype)
         rounds = tokens = 0
+        work = None
         for laid in Lanes.pieces(texts, start, lanes):
             tokens += int(laid.active.sum())
             for at in range(0, len(laid.inputs), WINDOW):
-                steps = range(at, min(at + WINDOW, len(laid.inputs)))
-                n = int(laid.active[at])
-                h, gradients = self._window(laid, steps, h[:n])
+                shape = min(WINDOW, len(laid.inputs) - at), int(laid.active[at])
+                work = Work.of(work, shape, h.shape[1], self.wh.dtype)
+                self._gradients(work, laid, at, h[: shape[1]], named)
+                h = work.last()
                 rounds += 1
                 slow = rate / (1 + rounds / 400)
-                for k, g in gradients.items():
-                    m, v = moments[k]
+                fix = np.sqrt(1 - 0.999**rounds) / (1 - 0.9**rounds)
+                for a in range(0, len(gradient), BLOCK):
+                    part = slice(a, a + BLOCK)
+                    g, m, v, s = gradient[part], first[part], second[part], spare[: len(first[part])]
                     np.clip(g, -1, 1, out=g)
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    fix = np.sqrt(1 - 0.999**rounds) / (1 - 0.9**rounds)
-                    getattr(self, k).__isub__((slow * fix * m / (np.sqrt(v) + 1e-8)).astype(np.float32))
+                    m *= 0.9
+                    m += g
+                    g *= g
+                    v *= 0.999
+                    v += g
+                    np.sqrt(v, out=s)
+                    s += 1e-8 * 1000**0.5
+                    np.divide(m, s, out=s)
+                    s *= float(slow * fix * 0.1 * 1000**0.5)
+                    self.flat[part] -= s
         return tokens
 
     def _window(self, laid: Lanes, steps: range, h: np.ndarray) -> tuple[np.ndarray, dict]:
-        size = h.shape[1]
-        table_in, kept_steps = self.embed, []
-        for t in steps:
-            n = laid.active[t]
-            begins = laid.begins[t, :n]
-            before = np.where(begins[:, None], 0, h[:n]).astype(np.float32)
-            x = table_in[laid.inputs[t, :n]]
-            h, z, r, kept, new = self._step(x @ self.wx + self.b, before)
-            kept_steps.append((t, n, begins, before, x, h, z, r, kept, new))
-        flat = np.concatenate([s[5] for s in kept_steps])
-        wanted = np.concatenate([laid.wanted[s[0], : s[1]] for s in kept_steps])
-        rows = np.arange(len(flat))
-        scale = 1.0 / len(flat)
-        d_class = np.exp(log_softmax(flat @ self.wc + self.bc))
-        d_class[rows, self.class_of[wanted]] -= 1
-        d_class *= scale
-        g = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
-        g["wc"], g["bc"] = flat.T @ d_class, d_class.sum(axis=0)
-        d_flat = d_class @ self.wc.T
-        for c, own in self._by_class(wanted):
-            a, b = self.bounds[c], self.bounds[c + 1]
-            inner = np.exp(log_softmax(flat[own] @ self.wo[a:b].T + self.bo[a:b]))
-            inner[np.arange(len(own)), wanted[own] - a] -= 1
-            inner *= scale
-            g["wo"][a:b], g["bo"][a:b] = inner.T @ flat[own], inner.sum(axis=0)
-            d_flat[own] += inner @ self.wo[a:b]
-        ends = np.cumsum([s[1] for s in kept_steps])
-        d_h = np.zeros((0, size), dtype=np.float32)
-        for (t, n, begins, before, x, _, z, r, kept, new), end in zip(
-            reversed(kept_steps), ends[::-1], strict=True
-        ):
-            d = d_flat[end - n : end]
-            d[: len(d_h)] += d_h
-            d_z = d * (before - new) * z * (1 - z)
-            d_new = d * (1 - z) * (1 - new * new)
-            d_r = d_new * kept * r * (1 - r)
-            d_x = np.hstack([d_z, d_r, d_new])
-            d_recurrent = np.hstack([d_z, d_r, d_new * r])
-            g["wx"] += x.T @ d_x
-            g["b"] += d_x.sum(axis=0)
-            g["wh"] += before.T @ d_recurrent
-            np.add.at(g["embed"], laid.inputs[t, :n], d_x @ self.wx.T)
-            d_h = d * z + d_recurrent @ self.wh.T
-            d_h[begins] = 0
-        return h, g
+        """States after the steps, and the gradients of their mean loss."""
+        self._joined()
+        gradient = self._named(np.zeros_like(self.flat))
+        shape = len(steps), int(laid.active[steps[0]])
+        work = Work.of(None, shape, h.shape[1], self.wh.dtype)
+        self._gradients(work, laid, steps[0], h[: shape[1]], gradient)
+        return work.last(), {k: gradient[k] for k in self.NAMES}
+
+    def _gradients(self, work: Work, laid: Lanes, at: int, h: np.ndarray, g: dict) -> None:
+        """Writes the gradients of a window's mean loss to `g`. Matrix products and sums are
+        made once for all steps, but for those that carry the state and its gradient."""
+        size, w = h.shape[1], work
+        shapes = self._named(self.flat)
+        by_class, by_output = shapes["classes"], shapes["outputs"]
+        self._run(w, laid, at, h)
+        rows = self._rows(w, laid, at)
+        n = len(rows.order)
+        scale = 1.0 / n
+        shares = rows.states @ by_class
+        exponentials(shares)
+        shares *= (scale / (shares @ np.ones(shares.shape[1], dtype=shares.dtype)))[:, None]
+        shares[np.arange(n), rows.classes] -= scale
+        np.matmul(rows.states.T, shares, out=g["classes"])
+        d_rows = shares @ self.wc.T
+        g["outputs"].fill(0)
+        if len(rows.several):
+            inner, (states, parts) = self._inner(rows, by_output)
+            exponentials(inner, rows.starts)
+            inner *= np.repeat(scale / np.add.reduceat(inner, rows.starts), rows.widths)
+            inner[rows.chosen] -= scale
+            d_inner = np.empty((len(states), size), dtype=inner.dtype)
+            for i, j, a, b, block in parts:
+                np.matmul(block.T, states[i:j], out=g["outputs"][a:b])
+                np.matmul(block, self.wo[a:b], out=d_inner[i:j])
+            if len(states) == n:
+                d_rows += d_inner
+            else:
+                d_rows[rows.several] += d_inner
+        d = w.d_states
+        if n < w.steps * w.lanes:
+            d.fill(0)
+        d.reshape(-1, size)[rows.order] = d_rows
+        z, r = w.gates
+        # What a state's gradient is multiplied by for z, r, the new state; then for h @ wh.
+        inputs, carried, spare = w.to_inputs, w.to_carried, w.spare
+        np.subtract(1, z, out=spare)
+        np.multiply(w.new, w.new, out=inputs[2])
+        np.subtract(1, inputs[2], out=inputs[2])
+        inputs[2] *= spare
+        np.subtract(w.before, w.new, out=inputs[0])
+        inputs[0] *= spare
+        inputs[0] *= z
+        np.subtract(1, r, out=spare)
+        spare *= r
+        spare *= w.kept
+        np.multiply(inputs[2], spare, out=inputs[1])
+        carried[:2] = inputs[:2]
+        np.multiply(inputs[2], r, out=carried[2])
+        back, backs, wh_t = w.back, w.backs, thirds(self.wh).transpose(0, 2, 1)
+        for t in range(w.steps - 1, -1, -1):
+            here, parts = d[t], carried[:, t]
+            if t < w.steps - 1:
+                here += back
+            np.multiply(parts, here, out=parts)
+            np.matmul(parts, wh_t, out=backs)
+            np.multiply(here, z[t], out=back)
+            back += backs[0]
+            back += backs[1]
+            back += backs[2]
+            back *= w.carried[t]
+        inputs *= d
+        x, before = w.x.reshape(-1, size).T, w.before.reshape(-1, size).T
+        d_wx, d_wh = g["wx"].reshape(size, 3, size), g["wh"].reshape(size, 3, size)
+        ones = np.ones(x.shape[1], dtype=x.dtype)
+        d_embed = np.zeros((x.shape[1], size), dtype=x.dtype)
+        for k, weights in enumerate(thirds(self.wx)):
+            own = inputs[k].reshape(-1, size)
+            d_wx[:, k] = x @ own
+            d_wh[:, k] = before @ carried[k].reshape(-1, size)
+            g["b"][k * size : (k + 1) * size] = ones @ own
+            d_embed += own @ weights.T
+        read = laid.inputs[at : at + w.steps, : w.lanes].ravel()
+        order = np.argsort(read if len(self.class_of) > 65_535 else read.astype(np.uint16), kind="stable")
+        read = read[order]
+        firsts = np.flatnonzero(np.diff(read, prepend=-1))
+        g["embed"].fill(0)
+        g["embed"][read[firsts]] = np.add.reduceat(d_embed[order], firsts, axis=0)

@@ -22,10 +22,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,9 +48,16 @@ END = b""
 NO_KIND = -1
 
 
-def words_of(text: str) -> list[bytes]:
-    """Words as bytes; only A-Z are folded."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts as bytes, only A-Z folded, and each word's text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    owners = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    words = lists.flatten()
+    empty = pc.equal(pc.binary_length(words), 0)  # beside white space at an end of a text
+    if pc.any(empty).as_py():
+        full = pc.invert(empty)
+        words, owners = words.filter(full), owners[full.to_numpy(zero_copy_only=False)]
+    return words.cast(pa.binary()), owners
 
 
 def kind_of(word: bytes) -> int:
@@ -58,6 +66,23 @@ def kind_of(word: bytes) -> int:
     return length * 4 + (word[-1:] in b".,;:!?|") * 2 + (not word.isascii())
 
 
+MARK = np.isin(np.arange(256), list(b".,;:!?|"))
+
+
+def kinds_of(words: pa.Array) -> np.ndarray:
+    """kind_of for many words, none of them empty."""
+    if not len(words):
+        return np.zeros(0, dtype=np.int32)
+    words = pa.concat_arrays([words])  # its buffers begin with the first word
+    lengths = pc.binary_length(words).to_numpy()
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int32, count=words.offset + len(words) + 1)[words.offset + 1 :]
+    marked = MARK[np.frombuffer(data, dtype=np.uint8)[ends - 1]]
+    plain = pc.string_is_ascii(words.view(pa.string())).to_numpy(zero_copy_only=False)
+    level = (lengths > 5).astype(np.int32) + (lengths > 9) + (lengths > 14)
+    return (level * 4 + marked * 2 + ~plain).astype(np.int32)
+
+
 def trains(id_column: Column) -> Column:
     """Rows to learn from: the checksum of the id's digits leaves another rest than 1 by 5."""
     other = F.crc32(id_column.cast("string").cast("binary")) % 5 != 1
@@ -68,30 +93,39 @@ def count_words(docs: DataFrame) -> DataFrame:
     """`word` (binary, empty for the end), `kind`, `n` over the texts of the column `text`."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held, ends = [], 0  # tables of words and counts, not yet added up; texts
+
+        def added() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            words = list(seen)
-            for at in range(0, len(words), 65_536):
-                part = words[at : at + 65_536]
-                kinds = [NO_KIND if w == END else kind_of(w) for w in part]
+            words = added().combine_chunks() if held else None
+            held.clear()
+            for batch in words.to_batches(max_chunksize=65_536) if words else []:
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(part, pa.binary()),
-                        pa.array(kinds, pa.int32()),
-                        pa.array([seen[w] for w in part], pa.int64()),
+                        batch.column("word"),
+                        pa.array(kinds_of(batch.column("word"))),
+                        batch.column("n_sum"),
                     ],
                     names=["word", "kind", "n"],
                 )
-            seen.clear()
 
         for batch in small_batches(batches):
-            for text in batch.column(0).to_pylist():
-                seen.update(words_of(text))
-                seen[END] += 1
-            if len(seen) > 1_000_000:
-                yield from flushed()
+            ends += batch.num_rows
+            found = words_of(batch.column(0))[0].value_counts()
+            held.append(pa.Table.from_arrays(found.flatten(), names=["word", "n"]))
+            if sum(t.num_rows for t in held) > 1_000_000:
+                total = added().rename_columns(["word", "n"])
+                held[:] = [total]
+                if total.num_rows > 500_000:
+                    yield from flushed()
         yield from flushed()
+        if ends:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([END]), pa.array([NO_KIND], pa.int32()), pa.array([ends])],
+                names=["word", "kind", "n"],
+            )
 
     counted = docs.select("text").mapInArrow(task, "word binary, kind int, n bigint")
     return counted.groupBy("word", "kind").agg(F.sum("n").alias("n"))
@@ -149,6 +183,11 @@ class Vocabulary:
     def end(self) -> int:
         return self.model_words
 
+    @cached_property
+    def reader(self) -> Reader:
+        """Made once in each worker that is sent the vocabulary."""
+        return Reader(self)
+
     def outputs(self) -> tuple[np.ndarray, np.ndarray]:
         """First outputs of the classes (and the end), and the outputs' weights."""
         weights = np.concatenate(
@@ -162,42 +201,83 @@ class Vocabulary:
         return np.concatenate([starts, single]).astype(np.int64), weights
 
 
+def sums(owners: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The sum of each of `n` owners' values, also where there are none at all."""
+    return np.bincount(owners, values, n).astype(np.float64)
+
+
 class Reader:
     """Turns texts into outputs and the parts of scores that need no state."""
 
     def __init__(self, vocabulary: Vocabulary):
         v = self.vocabulary = vocabulary
-        self.place = {w: i for i, w in enumerate(v.words)}
+        self.words = pa.array(v.words, pa.binary())
         first_kind = v.end + 1
-        kinds = np.array([kind_of(w) for w in v.words], dtype=np.int32)
-        self.output = np.where(np.arange(len(v.words)) < v.model_words, np.arange(len(v.words)), first_kind + kinds).astype(np.int32)
+        kinds = kinds_of(self.words)
+        places = np.arange(len(v.words))
+        self.output = np.where(places < v.model_words, places, first_kind + kinds).astype(np.int32)
         self.log_count = np.log10(v.counts + 0.5)
         self.first_kind = first_kind
         self.base_of = np.log10(v.total + 0.5 * (v.distinct + 1))
         self.kind_of = np.log10(v.kind_counts + 0.5 * (v.kind_words + 1))
         self.end_log = np.log10(v.end_count + 0.5)
 
-    def read(self, text: str) -> tuple[np.ndarray, int, float, float, Counter]:
-        """Outputs; known words; base and model score without the state's part and without
-        the logarithms of the far words' counts; the far words."""
-        words = words_of(text)
-        get = self.place.get
-        at = np.fromiter(map(get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        outputs = np.empty(len(words) + 1, dtype=np.int32)
-        outputs[-1] = self.vocabulary.end
+    def _looked_up(self, texts: pa.Array) -> tuple:
+        """Words, their texts, their places among the known words (or -1), and their outputs."""
+        words, owners = words_of(texts)
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy()
+        if not len(self.words):
+            return words, owners, at, self.first_kind + kinds_of(words)
+        wanted = self.output[at]
+        far = np.flatnonzero(at < 0)
+        wanted[far] = self.first_kind + kinds_of(words.take(pa.array(far)))
+        return words, owners, at, wanted
+
+    def _by_text(self, wanted: np.ndarray, owners: np.ndarray, texts: int) -> list[np.ndarray]:
+        """Each text's outputs, the end behind them."""
+        flat = np.full(len(wanted) + texts, self.vocabulary.end, dtype=np.int32)
+        flat[np.arange(len(wanted)) + owners] = wanted
+        ends = (np.cumsum(np.bincount(owners, minlength=texts) + 1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def outputs(self, texts: pa.Array) -> list[np.ndarray]:
+        """Each text's outputs."""
+        _, owners, _, wanted = self._looked_up(texts)
+        return self._by_text(wanted, owners, len(texts))
+
+    def read(self, texts: pa.Array | str) -> tuple:
+        """Of each text: outputs; known words; base and model score without the state's part
+        and without the logarithms of the far words' counts; the far words, and how often each
+        occurs. One text given as such: its own, the far words counted."""
+        if isinstance(texts, str):
+            outputs, known, base, inside, far, times = self.read(pa.array([texts]))
+            far = Counter(dict(zip(far[0].as_py(), times[0].as_py(), strict=True)))
+            return outputs[0], int(known[0]), float(base[0]), float(inside[0]), far
+        v, n = self.vocabulary, len(texts)
+        words, owners, at, wanted = self._looked_up(texts)
+        outputs = self._by_text(wanted, owners, n)
         near = at >= 0
-        held = at[near]
-        outputs[:-1][near] = self.output[held]
+        held, held_by = at[near], owners[near]
+        tokens = np.bincount(owners, minlength=n) + 1
+        logs = self.log_count[held]
+        base = sums(held_by, logs, n) + self.end_log - tokens * self.base_of
+        own = held >= v.model_words
+        rare = wanted >= self.first_kind
+        inside = sums(held_by[own], logs[own], n)
+        inside -= sums(owners[rare], self.kind_of[wanted[rare] - self.first_kind], n)
+        known = np.bincount(held_by, minlength=n) + (v.end_count > 0)
         far_at = np.flatnonzero(~near)
-        outputs[far_at] = [self.first_kind + kind_of(words[i]) for i in far_at]
-        far = Counter(words[i] for i in far_at)
-        n = len(words) + 1
-        base = self.log_count[held].sum() + self.end_log - n * self.base_of
-        rare = outputs[outputs >= self.first_kind] - self.first_kind
-        inside = self.log_count[held[held >= self.vocabulary.model_words]].sum()
-        inside -= self.kind_of[rare].sum()
-        known = len(held) + (self.vocabulary.end_count > 0)
-        return outputs, known, float(base), float(inside), far
+        coded = words.take(pa.array(far_at)).dictionary_encode()
+        different = max(1, len(coded.dictionary))
+        pairs, times = np.unique(
+            owners[far_at] * different + coded.indices.to_numpy(), return_counts=True
+        )
+        starts = np.searchsorted(pairs, np.arange(n + 1) * different).astype(np.int32)
+        far = coded.dictionary.take(pa.array(pairs % different))
+        return (
+            outputs, known, base, inside, pa.ListArray.from_arrays(starts, far),
+            pa.ListArray.from_arrays(starts, pa.array(times, pa.int64())),
+        )
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, seed: int = 3) -> bytes:
@@ -214,11 +294,11 @@ def train(docs: DataFrame, vocabulary: Vocabulary, seed: int = 3) -> bytes:
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, start = shared.value
-            reader, model, seen, held, size = Reader(known), Gru.unpack(start), 0, [], 0
+            reader, model, seen, held, size = known.reader, Gru.unpack(start), 0, [], 0
             for batch in small_batches(batches):
-                for text in batch.column(0).to_pylist():
-                    held.append(reader.read(text)[0])
-                    size += len(held[-1])
+                for outputs in reader.outputs(batch.column(0)):
+                    held.append(outputs)
+                    size += len(outputs)
                     if size >= 2 * TRAINER_TOKENS:
                         seen += model.train(held, known.end)
                         held, size = [], 0
@@ -289,37 +369,34 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, parameters = shared.value
-        reader, model = Reader(known), Gru.unpack(parameters)
-        rows, texts, size, id_type = [], [], 0, pa.int64()
+        reader, model = known.reader, Gru.unpack(parameters)
+        held, texts, size = [], [], 0
 
-        def flushed() -> pa.RecordBatch:
+        def flushed() -> Iterator[pa.RecordBatch]:
             states = model.log_likelihoods(texts, known.end) / np.log(10)
-            ids, n, near, base, inside, far = (list(c) for c in zip(*rows, strict=True))
-            columns = [
-                pa.array(ids, id_type),
-                pa.array(n, pa.int64()),
-                pa.array(near, pa.int64()),
-                pa.array(base, pa.float64()),
-                pa.array(np.array(inside) + states),
-                pa.array([list(f) for f in far], pa.list_(pa.binary())),
-                pa.array([list(f.values()) for f in far], pa.list_(pa.int64())),
-            ]
-            rows.clear()
+            tokens = np.array([len(t) for t in texts], dtype=np.int64)
+            at = 0
+            for ids, near, base, inside, far, times in held:
+                part = slice(at, at + len(ids))
+                at = part.stop
+                columns = [
+                    ids, pa.array(tokens[part]), pa.array(near, pa.int64()),
+                    pa.array(base), pa.array(inside + states[part]), far, times,
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+            held.clear()
             texts.clear()
-            return pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
         for batch in small_batches(batches):
-            id_type = batch.column(0).type
-            for owner, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                outputs, near, base, inside, far = reader.read(text)
-                rows.append((owner, len(outputs), near, base, inside, far))
-                texts.append(outputs)
-                size += len(outputs)
-                if size >= BUFFER_TOKENS:
-                    yield flushed()
-                    size = 0
-        if rows:
-            yield flushed()
+            outputs, *others = reader.read(batch.column(1))
+            held.append((batch.column(0), *others))
+            texts += outputs
+            size += sum(map(len, outputs))
+            if size >= BUFFER_TOKENS:
+                yield from flushed()
+                size = 0
+        if held:
+            yield from flushed()
 
     scored = materialize(
         source.mapInArrow(task, schema).withColumn("row", F.monotonically_increasing_id())
