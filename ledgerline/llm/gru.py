@@ -26,8 +26,16 @@ SAFE = 60.0  # logits between -SAFE and SAFE need no shift before exp
 
 
 def thirds(x: np.ndarray) -> np.ndarray:
-    """The columns for the update gate, the reset gate and the new state, as three tables."""
-    return np.ascontiguousarray(x.reshape(len(x), 3, -1).transpose(1, 0, 2))
+    """The columns for the update gate, the reset gate and the new state, as three tables;
+    those for the gates with the sign that they have in sigmoid's exp."""
+    parts = x.reshape(len(x), 3, -1).transpose(1, 0, 2).copy()
+    np.negative(parts[:2], out=parts[:2])
+    return parts
+
+
+def changes(x: np.ndarray) -> np.ndarray:
+    """Places of a sorted vector where another value begins."""
+    return np.append(np.zeros(min(len(x), 1), dtype=np.int64), np.flatnonzero(x[1:] != x[:-1]) + 1)
 
 
 def exponentials(x: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray | float:
@@ -110,6 +118,23 @@ class Lanes:
             yield cls(inputs, wanted, text, begins, (text >= 0).sum(axis=1))
 
 
+def adam(g: np.ndarray, m: np.ndarray, v: np.ndarray, out: np.ndarray, step: float) -> np.ndarray:
+    """Renews the moments m and v (as `train` keeps them) and returns, in `out`, what a
+    gradient takes off its parameters. Overwrites the gradient."""
+    if g.max() > 1 or g.min() < -1:
+        np.clip(g, -1, 1, out=g)
+    m *= 0.9
+    m += g
+    g *= g
+    v *= 0.999
+    v += g
+    np.sqrt(v, out=out)
+    out += 1e-8 * 1000**0.5
+    np.divide(m, out, out=out)
+    out *= step
+    return out
+
+
 class Work:
     """Arrays that a stretch of steps and lanes needs, kept for the next one of its shape."""
 
@@ -120,13 +145,13 @@ class Work:
         self.steps, self.lanes, self.size, self.kind, self.trains = steps, lanes, size, kind, trains
         kept = steps if trains else 1  # steps whose inner values are kept
         # The update gate, the reset gate and the new state's part stand one behind the other.
-        self.projected, self.recurrent = room(3, steps, lanes, size), room(3, lanes, size)
+        self.projected, self.recurrent = room(3, steps, lanes, size), room(3, kept, lanes, size)
         self.h, self.carried = room(steps, lanes, size), room(steps, lanes, 1)
         self.gates, self.before = room(2, kept, lanes, size), room(kept, lanes, size)
-        self.kept, self.new = room(kept, lanes, size), room(kept, lanes, size)
+        self.new = room(kept, lanes, size)
         if trains:
             self.x, self.d_states, self.spare = (room(steps, lanes, size) for _ in range(3))
-            self.to_inputs, self.to_carried = (room(3, steps, lanes, size) for _ in range(2))
+            self.factors = room(4, steps, lanes, size)
             self.backs, self.back = room(3, lanes, size), room(lanes, size)
 
     @classmethod
@@ -221,7 +246,7 @@ class Gru:
         for k in self.NAMES:
             named[k][...] = getattr(self, k)
             setattr(self, k, named[k])
-        self.flat = flat
+        self.flat, self.parts = flat, named
 
     def _named(self, flat: np.ndarray) -> dict[str, np.ndarray]:
         """The parts of a vector that is laid out as the parameters are."""
@@ -247,26 +272,26 @@ class Gru:
         inputs = laid.inputs[at : at + w.steps, : w.lanes].ravel()
         if tables is None:
             x = np.take(self.embed, inputs, axis=0, out=w.x.reshape(-1, size), mode="clip")
-            for weights, b, to in zip(thirds(self.wx), self.b.reshape(3, size), w.projected, strict=True):
+            biases = thirds(self.b[None])
+            for weights, b, to in zip(thirds(self.wx), biases, w.projected, strict=True):
                 np.matmul(x, weights, out=to.reshape(-1, size))
                 to += b
         else:
             for table, to in zip(tables, w.projected, strict=True):
                 np.take(table, inputs, axis=0, out=to.reshape(-1, size), mode="clip")
         np.logical_not(laid.begins[at : at + w.steps, : w.lanes, None], out=w.carried, casting="unsafe")
-        np.negative(w.projected[:2], out=w.projected[:2])
-        recurrent, wh = w.recurrent, thirds(self.wh)
+        wh = thirds(self.wh)
         with np.errstate(over="ignore"):  # exp to infinity, a gate of 0, as it should
             for t in range(w.steps):
                 k = t if w.trains else 0
                 before, gates, new, to = w.before[k], w.gates[:, k], w.new[k], w.h[t]
+                recurrent = w.recurrent[:, k]
                 np.multiply(h, w.carried[t], out=before)
                 np.matmul(before, wh, out=recurrent)
-                np.subtract(w.projected[:2, t], recurrent[:2], out=gates)
+                np.add(w.projected[:2, t], recurrent[:2], out=gates)
                 np.exp(gates, out=gates)
                 np.add(gates, 1, out=gates)
                 np.reciprocal(gates, out=gates)
-                w.kept[k] = recurrent[2]
                 np.multiply(gates[1], recurrent[2], out=new)
                 np.add(new, w.projected[2, t], out=new)
                 np.tanh(new, out=new)
@@ -283,13 +308,14 @@ class Gru:
             order = order[text[order] >= 0]
         wanted = wanted[order]
         classes = self.class_of[wanted]
-        widths = np.diff(self.bounds)[classes]
+        widths = (self.bounds[1:] - self.bounds[:-1])[classes]
         several = np.flatnonzero(widths > 1)
         widths = widths[several]
         starts = np.cumsum(widths) - widths
-        firsts = np.flatnonzero(np.diff(classes[several], prepend=-1))
-        states = np.ones((len(order), work.size + 1), dtype=work.kind)  # ones meet the biases
-        states[:, : work.size] = work.h.reshape(-1, work.size)[order]
+        firsts = changes(classes[several])
+        states = np.empty((len(order), work.size + 1), dtype=work.kind)
+        states[:, : work.size] = np.take(work.h.reshape(-1, work.size), order, axis=0)
+        states[:, work.size] = 1  # meets the biases
         chosen = starts + (wanted - self.bounds[classes])[several]
         return Rows(order, text[order], classes, several, widths, starts, chosen, firsts, states)
 
@@ -339,12 +365,14 @@ class Gru:
     def train(
         self, texts: list[np.ndarray], start: int, lanes: int = 64, rate: float = 0.02
     ) -> int:
-        """One pass of truncated backpropagation with Adam; returns the tokens seen."""
+        """One pass of truncated backpropagation with Adam; returns the tokens seen. A row of the
+        embedding, and its moments, change with the windows that read it."""
         self._joined()
         gradient = np.zeros_like(self.flat)
         named = self._named(gradient)
         # Sums that fade by 0.9 and 0.999: 10 and 1000 times Adam's moments.
         first, second = np.zeros_like(gradient), np.zeros_like(gradient)
+        m_named, v_named = self._named(first), self._named(second)
         spare = np.empty_like(gradient[:BLOCK])
         h = np.zeros((max(1, min(lanes, len(texts))), self.wh.shape[0]), dtype=self.wh.dtype)
         rounds = tokens = 0
@@ -359,20 +387,15 @@ class Gru:
                 rounds += 1
                 slow = rate / (1 + rounds / 400)
                 fix = np.sqrt(1 - 0.999**rounds) / (1 - 0.9**rounds)
-                for a in range(0, len(gradient), BLOCK):
+                step = float(slow * fix * 0.1 * 1000**0.5)
+                read = work.read  # the only rows of the embedding with a gradient
+                parts = [moments["embed"][read] for moments in (named, m_named, v_named)]
+                self.embed[read] -= adam(*parts, np.empty_like(parts[0]), step)
+                m_named["embed"][read], v_named["embed"][read] = parts[1:]
+                for a in range(self.embed.size, len(gradient), BLOCK):
                     part = slice(a, a + BLOCK)
-                    g, m, v, s = gradient[part], first[part], second[part], spare[: len(first[part])]
-                    np.clip(g, -1, 1, out=g)
-                    m *= 0.9
-                    m += g
-                    g *= g
-                    v *= 0.999
-                    v += g
-                    np.sqrt(v, out=s)
-                    s += 1e-8 * 1000**0.5
-                    np.divide(m, s, out=s)
-                    s *= float(slow * fix * 0.1 * 1000**0.5)
-                    self.flat[part] -= s
+                    g = gradient[part]
+                    self.flat[part] -= adam(g, first[part], second[part], spare[: len(g)], step)
         return tokens
 
     def _window(self, laid: Lanes, steps: range, h: np.ndarray) -> tuple[np.ndarray, dict]:
@@ -385,11 +408,11 @@ class Gru:
         return work.last(), {k: gradient[k] for k in self.NAMES}
 
     def _gradients(self, work: Work, laid: Lanes, at: int, h: np.ndarray, g: dict) -> None:
-        """Writes the gradients of a window's mean loss to `g`. Matrix products and sums are
+        """Writes the gradients of a window's mean loss to `g`; of the embedding, those of the
+        rows that the window reads (`work.read`). Matrix products and sums are
         made once for all steps, but for those that carry the state and its gradient."""
         size, w = h.shape[1], work
-        shapes = self._named(self.flat)
-        by_class, by_output = shapes["classes"], shapes["outputs"]
+        by_class, by_output = self.parts["classes"], self.parts["outputs"]
         self._run(w, laid, at, h)
         rows = self._rows(w, laid, at)
         n = len(rows.order)
@@ -419,47 +442,50 @@ class Gru:
             d.fill(0)
         d.reshape(-1, size)[rows.order] = d_rows
         z, r = w.gates
-        # What a state's gradient is multiplied by for z, r, the new state; then for h @ wh.
-        inputs, carried, spare = w.to_inputs, w.to_carried, w.spare
+        # What a state's gradient is multiplied by for the new state, z, r, and the new state's
+        # part of h @ wh; afterwards these gradients.
+        factors, spare, kept = w.factors, w.spare, w.recurrent[2]
         np.subtract(1, z, out=spare)
-        np.multiply(w.new, w.new, out=inputs[2])
-        np.subtract(1, inputs[2], out=inputs[2])
-        inputs[2] *= spare
-        np.subtract(w.before, w.new, out=inputs[0])
-        inputs[0] *= spare
-        inputs[0] *= z
+        np.multiply(w.new, w.new, out=factors[0])
+        np.subtract(1, factors[0], out=factors[0])
+        factors[0] *= spare
+        np.subtract(w.before, w.new, out=factors[1])
+        factors[1] *= spare
+        factors[1] *= z
+        np.multiply(factors[0], r, out=factors[3])
         np.subtract(1, r, out=spare)
-        spare *= r
-        spare *= w.kept
-        np.multiply(inputs[2], spare, out=inputs[1])
-        carried[:2] = inputs[:2]
-        np.multiply(inputs[2], r, out=carried[2])
-        back, backs, wh_t = w.back, w.backs, thirds(self.wh).transpose(0, 2, 1)
+        spare *= kept
+        np.multiply(factors[3], spare, out=factors[2])
+        back, backs, wh_t = w.back, w.backs, self.wh.reshape(size, 3, size).transpose(1, 2, 0).copy()
+        begun = laid.begins[at : at + w.steps, : w.lanes].any(axis=1).tolist()
         for t in range(w.steps - 1, -1, -1):
-            here, parts = d[t], carried[:, t]
+            here, parts = d[t], factors[:, t]
             if t < w.steps - 1:
                 here += back
             np.multiply(parts, here, out=parts)
-            np.matmul(parts, wh_t, out=backs)
+            np.matmul(parts[1:], wh_t, out=backs)
             np.multiply(here, z[t], out=back)
             back += backs[0]
             back += backs[1]
             back += backs[2]
-            back *= w.carried[t]
-        inputs *= d
+            if begun[t]:
+                back *= w.carried[t]
         x, before = w.x.reshape(-1, size).T, w.before.reshape(-1, size).T
         d_wx, d_wh = g["wx"].reshape(size, 3, size), g["wh"].reshape(size, 3, size)
+        new, z, r, carried = factors.reshape(4, -1, size)
         ones = np.ones(x.shape[1], dtype=x.dtype)
-        d_embed = np.zeros((x.shape[1], size), dtype=x.dtype)
-        for k, weights in enumerate(thirds(self.wx)):
-            own = inputs[k].reshape(-1, size)
+        weights = self.wx.reshape(size, 3, size).transpose(1, 2, 0)
+        d_embed = z @ weights[0]
+        d_embed += r @ weights[1]
+        d_embed += new @ weights[2]
+        for k, own in enumerate((z, r, new)):
             d_wx[:, k] = x @ own
-            d_wh[:, k] = before @ carried[k].reshape(-1, size)
             g["b"][k * size : (k + 1) * size] = ones @ own
-            d_embed += own @ weights.T
+        for k, own in enumerate((z, r, carried)):
+            d_wh[:, k] = before @ own
         read = laid.inputs[at : at + w.steps, : w.lanes].ravel()
         order = np.argsort(read if len(self.class_of) > 65_535 else read.astype(np.uint16), kind="stable")
         read = read[order]
-        firsts = np.flatnonzero(np.diff(read, prepend=-1))
-        g["embed"].fill(0)
-        g["embed"][read[firsts]] = np.add.reduceat(d_embed[order], firsts, axis=0)
+        firsts = changes(read)
+        w.read = read[firsts]
+        g["embed"][w.read] = np.add.reduceat(np.take(d_embed, order, axis=0), firsts, axis=0)

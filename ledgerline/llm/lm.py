@@ -41,9 +41,9 @@ KNOWN_WORDS = 100_000
 CLASSES = 64
 KINDS = 16
 ROUNDS = 2  # a hash deals the training documents to them, each to one
-TRAINER_TOKENS = 400_000
+TRAINER_TOKENS = 1_600_000  # lanes as long as long texts, lest few lanes run on alone
 GROUP = 16  # models averaged in one task
-BUFFER_TOKENS = 2_000_000
+BUFFER_TOKENS = 5_000_000  # for the same reason
 END = b""
 NO_KIND = -1
 
