@@ -135,6 +135,39 @@ def adam(g: np.ndarray, m: np.ndarray, v: np.ndarray, out: np.ndarray, step: flo
     return out
 
 
+class Late:
+    """What Adam does to rows in rounds in which they have no gradient, all at once: moments
+    fade by 0.9 and 0.999, and the row goes on by what is left of them. The small number in
+    the denominator is taken as if it faded, too. Beyond MOST rounds nothing is left to go on by."""
+
+    MOST = 400
+    FADE = 0.9 / 0.999**0.5
+
+    def __init__(self, rows: int):
+        self.rounds, self.seen = 0, np.zeros(rows, dtype=np.int64)
+        self.fades = self.FADE ** np.arange(self.MOST + 1)
+        self.way = np.zeros(self.MOST + 1)  # of the last k rounds, by k
+
+    def passed(self, step: float) -> None:
+        """A round ended that went on by `step`."""
+        self.rounds += 1
+        self.way[1:] = self.way[:-1] + step * self.fades[1:]
+
+    def caught_up(self, held: np.ndarray, m: np.ndarray, v: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+        """Brings `rows` of the parameters up to the rounds that have passed; their moments."""
+        rounds = self.rounds - self.seen[rows]
+        self.seen[rows] = self.rounds + 1  # the coming one has a gradient
+        own_m, own_v = np.take(m, rows, axis=0), np.take(v, rows, axis=0)
+        out = np.sqrt(own_v)
+        out += 1e-8 * 1000**0.5
+        np.divide(own_m, out, out=out)
+        out *= self.way[np.minimum(rounds, self.MOST)].astype(out.dtype)[:, None]
+        held[rows] -= out
+        own_m *= np.exp(rounds * np.log(0.9)).astype(out.dtype)[:, None]
+        own_v *= np.exp(rounds * np.log(0.999)).astype(out.dtype)[:, None]
+        return [own_m, own_v]
+
+
 class Work:
     """Arrays that a stretch of steps and lanes needs, kept for the next one of its shape."""
 
@@ -324,11 +357,12 @@ class Gru:
         (first row, end, first output, end, its logits) as rows are counted in `several`."""
         inner = np.empty(int(rows.widths.sum()), dtype=outputs.dtype)
         states = rows.states[rows.several] if len(rows.several) < len(rows.order) else rows.states
-        parts = []
-        ends = np.append(rows.firsts[1:], len(rows.several)).tolist()
-        for i, j, c in zip(rows.firsts.tolist(), ends, rows.classes[rows.several[rows.firsts]].tolist(), strict=True):
-            a, b = int(self.bounds[c]), int(self.bounds[c + 1])
-            o = int(rows.starts[i])
+        parts, firsts = [], rows.firsts
+        bounds, begins = self.bounds.tolist(), firsts.tolist()
+        ends, places = [*begins[1:], len(rows.several)], rows.starts[firsts].tolist()
+        classes = rows.classes[rows.several[firsts]].tolist()
+        for i, j, o, c in zip(begins, ends, places, classes, strict=True):
+            a, b = bounds[c], bounds[c + 1]
             block = inner[o : o + (j - i) * (b - a)].reshape(j - i, b - a)
             np.matmul(states[i:j], outputs[a:b].T, out=block)
             parts.append((i, j, a, b, block))
@@ -365,8 +399,9 @@ class Gru:
     def train(
         self, texts: list[np.ndarray], start: int, lanes: int = 64, rate: float = 0.02
     ) -> int:
-        """One pass of truncated backpropagation with Adam; returns the tokens seen. A row of the
-        embedding, and its moments, change with the windows that read it."""
+        """One pass of truncated backpropagation with Adam; returns the tokens seen. What Adam does
+        to a row of the embedding in windows that do not read it is made up for when it is
+        next read, and at the end."""
         self._joined()
         gradient = np.zeros_like(self.flat)
         named = self._named(gradient)
@@ -375,6 +410,7 @@ class Gru:
         m_named, v_named = self._named(first), self._named(second)
         spare = np.empty_like(gradient[:BLOCK])
         h = np.zeros((max(1, min(lanes, len(texts))), self.wh.shape[0]), dtype=self.wh.dtype)
+        late = Late(len(self.embed))
         rounds = tokens = 0
         work = None
         for laid in Lanes.pieces(texts, start, lanes):
@@ -382,28 +418,40 @@ class Gru:
             for at in range(0, len(laid.inputs), WINDOW):
                 shape = min(WINDOW, len(laid.inputs) - at), int(laid.active[at])
                 work = Work.of(work, shape, h.shape[1], self.wh.dtype)
+                self._reads(work, laid, at)
+                read = work.read  # the only rows of the embedding with a gradient
+                moments = late.caught_up(self.embed, m_named["embed"], v_named["embed"], read)
                 self._gradients(work, laid, at, h[: shape[1]], named)
                 h = work.last()
                 rounds += 1
                 slow = rate / (1 + rounds / 400)
                 fix = np.sqrt(1 - 0.999**rounds) / (1 - 0.9**rounds)
                 step = float(slow * fix * 0.1 * 1000**0.5)
-                read = work.read  # the only rows of the embedding with a gradient
-                parts = [moments["embed"][read] for moments in (named, m_named, v_named)]
-                self.embed[read] -= adam(*parts, np.empty_like(parts[0]), step)
-                m_named["embed"][read], v_named["embed"][read] = parts[1:]
+                late.passed(step)
+                g = np.take(named["embed"], read, axis=0)
+                self.embed[read] -= adam(g, *moments, np.empty_like(g), step)
+                m_named["embed"][read], v_named["embed"][read] = moments
                 for a in range(self.embed.size, len(gradient), BLOCK):
                     part = slice(a, a + BLOCK)
                     g = gradient[part]
                     self.flat[part] -= adam(g, first[part], second[part], spare[: len(g)], step)
+        late.caught_up(self.embed, m_named["embed"], v_named["embed"], np.arange(len(self.embed)))
         return tokens
 
+    def _reads(self, work: Work, laid: Lanes, at: int) -> None:
+        """The rows of the embedding that a window reads, and where."""
+        read = laid.inputs[at : at + work.steps, : work.lanes].ravel()
+        order = np.argsort(read if len(self.class_of) > 65_535 else read.astype(np.uint16), kind="stable")
+        firsts = changes(read[order])
+        work.read, work.read_order, work.read_firsts = read[order[firsts]], order, firsts
+
     def _window(self, laid: Lanes, steps: range, h: np.ndarray) -> tuple[np.ndarray, dict]:
         """States after the steps, and the gradients of their mean loss."""
         self._joined()
         gradient = self._named(np.zeros_like(self.flat))
         shape = len(steps), int(laid.active[steps[0]])
         work = Work.of(None, shape, h.shape[1], self.wh.dtype)
+        self._reads(work, laid, steps[0])
         self._gradients(work, laid, steps[0], h[: shape[1]], gradient)
         return work.last(), {k: gradient[k] for k in self.NAMES}
 
@@ -483,9 +531,4 @@ class Gru:
             g["b"][k * size : (k + 1) * size] = ones @ own
         for k, own in enumerate((z, r, carried)):
             d_wh[:, k] = before @ own
-        read = laid.inputs[at : at + w.steps, : w.lanes].ravel()
-        order = np.argsort(read if len(self.class_of) > 65_535 else read.astype(np.uint16), kind="stable")
-        read = read[order]
-        firsts = changes(read)
-        w.read = read[firsts]
-        g["embed"][w.read] = np.add.reduceat(np.take(d_embed, order, axis=0), firsts, axis=0)
+        g["embed"][w.read] = np.add.reduceat(np.take(d_embed, w.read_order, axis=0), w.read_firsts, axis=0)

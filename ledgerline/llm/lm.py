@@ -149,18 +149,21 @@ class Vocabulary:
         """Collects at most `known` words, those above a count that few words reach."""
         eighths = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
         plain = counts.filter(F.col("kind") != NO_KIND)
-        levels = plain.groupBy(eighths.alias("level")).agg(F.count(F.lit(1)).alias("words"))
+        by_kind = counts.groupBy("kind", eighths.alias("level")).agg(
+            F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")
+        ).collect()  # some 500 levels of 17 kinds
+        levels: Counter = Counter()
+        for row in by_kind:
+            if row["kind"] != NO_KIND:
+                levels[row["level"]] += row["words"]
         least, held = None, 0
-        for row in sorted(levels.collect(), key=lambda r: -r["level"]):  # some 500 levels
-            held += row["words"]
+        for level in sorted(levels, reverse=True):
+            held += levels[level]
             if held > known:
                 break
-            least = row["level"]
+            least = level
         chosen = [] if least is None else plain.filter(eighths >= least).collect()
         chosen.sort(key=lambda r: (-r["n"], bytes(r["word"])))
-        by_kind = counts.groupBy("kind").agg(
-            F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")
-        ).collect()
         kind_counts, kind_words = np.zeros(KINDS), np.zeros(KINDS)
         total = distinct = end = 0
         for row in by_kind:
@@ -250,8 +253,8 @@ class Reader:
         and without the logarithms of the far words' counts; the far words, and how often each
         occurs. One text given as such: its own, the far words counted."""
         if isinstance(texts, str):
-            outputs, known, base, inside, far, times = self.read(pa.array([texts]))
-            far = Counter(dict(zip(far[0].as_py(), times[0].as_py(), strict=True)))
+            outputs, known, base, inside, far = self.read(pa.array([texts]))
+            far = Counter({f["word"]: f["times"] for f in far[0].as_py()})
             return outputs[0], int(known[0]), float(base[0]), float(inside[0]), far
         v, n = self.vocabulary, len(texts)
         words, owners, at, wanted = self._looked_up(texts)
@@ -273,11 +276,11 @@ class Reader:
             owners[far_at] * different + coded.indices.to_numpy(), return_counts=True
         )
         starts = np.searchsorted(pairs, np.arange(n + 1) * different).astype(np.int32)
-        far = coded.dictionary.take(pa.array(pairs % different))
-        return (
-            outputs, known, base, inside, pa.ListArray.from_arrays(starts, far),
-            pa.ListArray.from_arrays(starts, pa.array(times, pa.int64())),
-        )
+        far = pa.StructArray.from_arrays(
+            [coded.dictionary.take(pa.array(pairs % different)), pa.array(times, pa.int64())],
+            names=["word", "times"],
+        )
+        return outputs, known, base, inside, pa.ListArray.from_arrays(starts, far)
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, seed: int = 3) -> bytes:
@@ -355,6 +358,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     vocabulary = Vocabulary.of(counts, KNOWN_WORDS, MODEL_WORDS)
     packed = train(training, vocabulary)
     shared = spark.sparkContext.broadcast((vocabulary, packed))
+    far_type = T.StructType().add("word", T.BinaryType()).add("times", T.LongType())
     schema = T.StructType(
         [
             T.StructField("id", source.schema["id"].dataType),
@@ -362,8 +366,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
             T.StructField("near", T.LongType()),
             T.StructField("base", T.DoubleType()),
             T.StructField("model", T.DoubleType()),
-            T.StructField("far", T.ArrayType(T.BinaryType())),
-            T.StructField("times", T.ArrayType(T.LongType())),
+            T.StructField("far", T.ArrayType(far_type)),
         ]
     )
 
@@ -376,12 +379,12 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
             states = model.log_likelihoods(texts, known.end) / np.log(10)
             tokens = np.array([len(t) for t in texts], dtype=np.int64)
             at = 0
-            for ids, near, base, inside, far, times in held:
+            for ids, near, base, inside, far in held:
                 part = slice(at, at + len(ids))
                 at = part.stop
                 columns = [
                     ids, pa.array(tokens[part]), pa.array(near, pa.int64()),
-                    pa.array(base), pa.array(inside + states[part]), far, times,
+                    pa.array(base), pa.array(inside + states[part]), far,
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
             held.clear()
@@ -401,9 +404,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     scored = materialize(
         source.mapInArrow(task, schema).withColumn("row", F.monotonically_increasing_id())
     )
-    far = scored.select("row", F.explode(F.arrays_zip("far", "times")).alias("f")).select(
-        "row", F.col("f.far").alias("word"), F.col("f.times").alias("times")
-    )
+    far = scored.select("row", F.explode("far").alias("f")).select("row", "f.word", "f.times")
     looked_up = (
         far.join(counts.select("word", "n"), "word", "left")
         .groupBy("row")
@@ -412,7 +413,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
             F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("found"),
         )
     )
-    return scored.drop("far", "times").join(looked_up, "row", "left").select(
+    return scored.drop("far").join(looked_up, "row", "left").select(
         F.col("id").alias(id_column),
         (~trains(F.col("id"))).alias("held_out"),
         "n_tokens",

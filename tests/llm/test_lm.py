@@ -181,6 +181,105 @@ def test_memory_does_not_follow_the_longest_text(model):
         assert most < 17 * 2_000 * 256
 
 
+def test_a_long_text_leaves_few_lanes_no_windows():
+    """A trainer's share and a scoring buffer with a text as long as the longest of sf0.1."""
+    for size, lanes in ((lm.TRAINER_TOKENS, 64), (lm.BUFFER_TOKENS, 256)):
+        texts = [np.zeros(n, dtype=np.int32) for n in [20_021] + [500] * ((size - 20_021) // 500)]
+        steps = [laid.active for laid in gru.Lanes.pieces(texts, 0, lanes)]
+        assert np.concatenate(steps).mean() > 0.9 * lanes
+
+
+def test_a_window_makes_few_products(model, monkeypatch):
+    """The embedding's gradient is added up once for all steps of a window."""
+    calls = []
+    kept = np.matmul
+    monkeypatch.setattr(np, "matmul", lambda *a, **k: calls.append(1) or kept(*a, **k))
+    monkeypatch.setattr(np, "hstack", lambda *a, **k: pytest.fail("a step's gradients on their own"))
+    texts = some_texts(6, 6, 30)
+    laid = gru.Lanes.of(texts, 8, 3)
+    steps = len(laid.inputs)
+    model._window(laid, range(steps), np.zeros((laid.inputs.shape[1], 4)))
+    assert 2 * steps <= len(calls) <= 2 * steps + 20
+
+
+@pytest.mark.parametrize("factor", [1, 100, -100])
+def test_logits_of_any_size(model, factor):
+    """Beyond the range of exp, too."""
+    for k in ("bc", "bo", "wc", "wo"):
+        setattr(model, k, getattr(model, k) * factor)
+    texts = some_texts(7, 10, 20)
+    texts = [np.array([t % 9 for t in text], dtype=np.int32) for text in texts]
+    with np.errstate(all="ignore"):
+        wanted = [slow_shifted(model, t, 8) for t in texts]
+    assert model.log_likelihoods(texts, 8) == pytest.approx(wanted, rel=1e-6)
+
+
+def slow_shifted(model, text, start):
+    """slow_likelihood with shifted logits."""
+    h, before, total = np.zeros(len(model.wh)), start, 0.0
+    for y in text:
+        x, r = model.embed[before] @ model.wx + model.b, h @ model.wh
+        z, gate = 1 / (1 + np.exp(-(x[:4] + r[:4]))), 1 / (1 + np.exp(-(x[4:8] + r[4:8])))
+        h = z * h + (1 - z) * np.tanh(x[8:] + gate * r[8:])
+        c = model.class_of[y]
+        a, b = model.bounds[c], model.bounds[c + 1]
+        for logits, at in ((h @ model.wc + model.bc, c), (model.wo[a:b] @ h + model.bo[a:b], y - a)):
+            total += logits[at] - logits.max() - np.log(np.exp(logits - logits.max()).sum())
+        before = y
+    return total
+
+
+def test_reading_many_texts():
+    """As words one by one in Python; texts with white space of all kinds, none, none but."""
+    import pyarrow as pa
+
+    texts = ["", " \t\n\x0b\f\r ", "A b  a", " ÄB\u00a0c éa Zz. \u2003x", "x" * 20 + "! y\x1cz", "b"] + edge.words(5, 200).split(".")
+    batch = pa.array(["left out", *texts]).slice(1)
+    words, owners = lm.words_of(batch)
+    plain = [t.encode().lower().split() for t in texts]
+    assert words.to_pylist() == [w for ws in plain for w in ws]
+    assert owners.tolist() == [i for i, ws in enumerate(plain) for _ in ws]
+    assert lm.kinds_of(words).tolist() == [lm.kind_of(w) for ws in plain for w in ws]
+    assert lm.kinds_of(words.slice(3)).tolist() == [lm.kind_of(w) for ws in plain for w in ws][3:]
+    vocabulary = small_vocabulary([w for ws in plain for w in ws])
+    reader = vocabulary.reader
+    assert reader is vocabulary.reader
+    together, alone = reader.read(batch), [reader.read(t) for t in texts]
+    for k in range(4):
+        for a, b in zip(together[k], [found[k] for found in alone], strict=True):
+            assert np.array_equal(a, b)
+    for a, b, ws in zip(together[4].to_pylist(), alone, plain, strict=True):
+        far = Counter(w for w in ws if w not in vocabulary.words)
+        assert {f["word"]: f["times"] for f in a} == far == b[4]
+    for a, b in zip(reader.outputs(batch), together[0], strict=True):
+        assert np.array_equal(a, b)
+
+
+def test_rows_that_a_window_does_not_read_go_on(model):
+    """As if Adam changed all parameters after every window."""
+    random_ = np.random.default_rng(8)
+    texts = [np.where(random_.random(40) < 0.02, 5, random_.integers(0, 4, 40)).astype(np.int32) for _ in range(60)]
+    plain = gru.Gru.unpack(model.pack())
+    model.train(texts, 8, 2)
+    moments = {k: (np.zeros_like(getattr(plain, k)), np.zeros_like(getattr(plain, k))) for k in gru.Gru.NAMES}
+    h, rounds = np.zeros((2, 4)), 0
+    for laid in gru.Lanes.pieces(texts, 8, 2):
+        for at in range(0, len(laid.inputs), gru.WINDOW):
+            steps = range(at, min(at + gru.WINDOW, len(laid.inputs)))
+            h, gradients = plain._window(laid, steps, h[: laid.active[at]])
+            rounds += 1
+            for k, g in gradients.items():
+                m, v = moments[k]
+                m += 0.1 * (np.clip(g, -1, 1) - m)
+                v += 0.001 * (np.clip(g, -1, 1) ** 2 - v)
+                fix = np.sqrt(1 - 0.999**rounds) / (1 - 0.9**rounds)
+                held = getattr(plain, k).copy()
+                setattr(plain, k, held - 0.02 / (1 + rounds / 400) * fix * m / (np.sqrt(v) + 1e-8))
+    assert rounds > 40
+    for k in gru.Gru.NAMES:
+        assert getattr(model, k) == pytest.approx(getattr(plain, k), abs=1e-4)
+
+
 def test_gradients(model):
     texts = some_texts(2, 6, 9)
     laid = gru.Lanes.of(texts, 8, 3)
