@@ -19,8 +19,6 @@ import numpy as np
 WINDOW = 24  # steps that gradients flow back
 CHUNK = 32  # steps whose outputs are evaluated together when scoring
 PIECE = 16 * WINDOW * 4  # steps laid out at a time; whole windows and whole chunks
-
-
 BLOCK = 32_768  # parameters updated together, few enough for a core's own cache
 SAFE = 60.0  # logits between -SAFE and SAFE need no shift before exp
 

@@ -73,7 +73,6 @@ def kinds_of(words: pa.Array) -> np.ndarray:
     """kind_of for many words, none of them empty."""
     if not len(words):
         return np.zeros(0, dtype=np.int32)
-    words = pa.concat_arrays([words])  # its buffers begin with the first word
     lengths = pc.binary_length(words).to_numpy()
     _, offsets, data = words.buffers()
     ends = np.frombuffer(offsets, dtype=np.int32, count=words.offset + len(words) + 1)[words.offset + 1 :]
